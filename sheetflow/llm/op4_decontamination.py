@@ -3,8 +3,10 @@
 Texts and items are compared in a plain form (lower case, runs of anything but letters and digits
 become one blank). An item of n characters has an error budget ``k = floor(error_rate * n)``; it is
 cut into k + 1 pieces, and wherever it occurs with at most k edits one piece occurs unchanged. One
-Aho-Corasick automaton finds all pieces of all items in one walk over a whole text; each hit fixes
-where the item can lie, and Myers' bit-parallel algorithm (one big integer per column) decides.
+Aho-Corasick automaton finds all pieces of all items in one walk over a whole text. A hit is verified
+up a binary tree over the pieces: where the whole has at most k errors, some path from the root to a
+piece has at most m - 1 errors in each node of m pieces, so a chance hit fails at a pair of pieces already.
+Myers' bit-parallel algorithm (one big integer per column) decides each node and gives the distance.
 
 Items are held by the tasks in blocks of at most ``block_chars`` characters, so what is broadcast
 is bounded and a larger benchmark means more passes, not a larger automaton. Documents are handled
@@ -50,79 +52,91 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def best_match(pattern: str, text: str, k: int) -> tuple[int, int] | None:
-    """Least distance of the pattern to a substring of the text and where that ends, if at most k."""
-    n = len(pattern)
-    masks: dict[str, int] = defaultdict(int)
+def char_masks(pattern: str) -> dict[str, int]:
+    """For each character the bits of its places in the pattern."""
+    masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
-        masks[c] |= 1 << i
+        masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
+def best_match(pattern: str, text: str, k: int, masks: dict[str, int] | None = None) -> int | None:
+    """Least distance of the pattern to a substring of the text, if at most k."""
+    n = len(pattern)
+    masks = char_masks(pattern) if masks is None else masks
     full, top = (1 << n) - 1, 1 << (n - 1)
-    up, down, score, best = full, 0, n, None
-    for j, c in enumerate(text):
+    up, down, score, best = full, 0, n, n
+    for c in text:
         eq = masks.get(c, 0)
-        x = eq | down
-        d0 = (((x & up) + up) ^ up) | x
+        d0 = ((((eq | down) & up) + up) ^ up) | eq | down
         h_up = down | (full & ~(d0 | up))
         h_down = up & d0
         if h_up & top:
             score += 1
         elif h_down & top:
             score -= 1
+            if score < best:
+                best = score
+                if not score:
+                    break
         h_up = (h_up << 1) & full  # row 0 is free: a match may start anywhere
         h_down = (h_down << 1) & full
         up = h_down | (full & ~(d0 | h_up))
         down = h_up & d0
-        if score <= k and (best is None or score < best[0]):
-            best = score, j + 1
-            if score == 0:
-                break
-    return best
+    return best if best <= k else None
 
 
 class Finder:
     def __init__(self, items: list[tuple[int, str]], budget: Budget):
-        self.items = [(i, t, int(budget.error_rate * len(t))) for i, t in ((i, plain(t)) for i, t in items) if t]
+        self.items = [(i, t, pieces(t, int(budget.error_rate * len(t)))) for i, t in ((i, plain(t)) for i, t in items) if t]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for at, (_, text, k) in enumerate(self.items):
-            for offset, piece in pieces(text, k):
-                places[piece].append((at, offset))
+        for at, (_, _, cuts) in enumerate(self.items):
+            for k, (_, piece) in enumerate(cuts):
+                places[piece].append((at, k))
         self.find = ahocorasick.Automaton()
         for piece, where in places.items():
             self.find.add_word(piece, (len(piece), where))
         self.ready = bool(places)
         if self.ready:
             self.find.make_automaton()
+        self.nodes: dict[tuple[int, int, int], tuple] = {}
+
+    def _node(self, at: int, first: int, last: int) -> tuple:
+        """Offset, pattern and masks of the pieces first to last - 1 of an item."""
+        if (at, first, last) not in self.nodes:
+            _, text, cuts = self.items[at]
+            pattern = text[cuts[first][0] : cuts[last][0] if last < len(cuts) else len(text)]
+            self.nodes[at, first, last] = cuts[first][0], pattern, char_masks(pattern)
+        return self.nodes[at, first, last]
+
+    def _verify(self, text: str, start: int, at: int, piece: int) -> int | None:
+        """Distance of the item to the text around a piece that was found at ``start``."""
+        cuts, width, distance = self.items[at][2], 1, 0
+        while width < len(cuts):
+            width *= 2
+            first = piece // width * width
+            last = min(first + width, len(cuts))
+            offset, pattern, masks = self._node(at, first, last)
+            k = last - first - 1
+            begin = start - (cuts[piece][0] - offset)
+            distance = best_match(pattern, text[max(0, begin - k) : max(0, begin + len(pattern) + k)], k, masks)
+            if distance is None:
+                return None
+        return distance
 
     def __call__(self, text: str | None) -> list[tuple[int, int]]:
         """(item identifier, distance) of all items that the text contains."""
         text = plain(text)
         if not text or not self.ready:
             return []
-        starts: dict[int, set[int]] = defaultdict(set)
+        best: dict[int, int] = {}
         for end, (n, where) in self.find.iter(text):
-            for at, offset in where:
-                starts[at].add(end + 1 - n - offset)
-        out = []
-        for at, found in starts.items():
-            identity, item, k = self.items[at]
-            best, reach = None, None
-            windows: list[list[int]] = []
-            for start in sorted(found):  # windows that overlap are searched as one
-                lo, hi = max(0, start - k), min(len(text), start + len(item) + k)
-                if reach is not None and lo <= reach:
-                    windows[-1][1] = hi
-                else:
-                    windows.append([lo, hi])
-                reach = hi
-            for lo, hi in windows:
-                match = best_match(item, text[lo:hi], k)
-                if match and (best is None or match[0] < best):
-                    best = match[0]
-                    if best == 0:
-                        break
-            if best is not None:
-                out.append((identity, best))
-        return sorted(out)
+            for at, piece in where:
+                if best.get(at) != 0:
+                    distance = self._verify(text, end + 1 - n, at, piece)
+                    if distance is not None:
+                        best[at] = min(distance, best.get(at, distance))
+        return sorted((self.items[at][0], distance) for at, distance in best.items())
 
 
 def blocks(benchmark: DataFrame, budget: Budget, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
