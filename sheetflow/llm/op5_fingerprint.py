@@ -10,8 +10,9 @@ common / all digests. All documents of a batch are sketched and peeled at once i
 
 ``fingerprint`` is the sketch of the first size, with the number of digests, in hexadecimal.
 
-Neighbours: texts move once, into ranges of the identifier, and each task walks its sorted range; only
-the last and first row of each range are paired across ranges afterwards.
+Neighbours: texts move once, into ranges of the identifier, and each task walks its sorted range. The
+ranges' bounds come from a quantile sketch; the first row of each range is dealt to the range before as
+well, so the walk finds every neighbour and nothing has to be stored in between.
 
 Defined results: a null text is empty; an empty text has no digests, two texts without digests are
 alike (1.0), one without and one with are not (0.0); rows with equal identifiers are ordered by text;
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table, text_bytes
+from .common import table, text_bytes
 from .wordhash import M64, mix, words
 
 
@@ -181,59 +182,71 @@ def compare(texts: list[str], following: list[str], s: Sketch) -> list[pa.Array]
 NAMES = [c.split()[0] for c in RESULT.split(", ")]
 
 
+def _ranges(rows: DataFrame, n: int) -> tuple[list[int], list[tuple[int, int | None, int]]]:
+    """Bounds of about n ranges of ``id``, and for each range that has rows (range, least id, range before)."""
+    cuts = rows.approxQuantile("id", [k / n for k in range(1, n)], 0.25 / n) if n > 1 else []
+    bounds = sorted({int(c) for c in cuts})
+    # one row for each range
+    least = rows.groupBy(_range(bounds).alias("part")).agg(F.min("id").alias("low"), F.count_if(F.col("id").isNull()).alias("nulls")).collect()
+    order = sorted(((r.part, None if r.nulls else r.low) for r in least), key=lambda r: r[0])
+    return bounds, [(part, low, order[k - 1][0]) for k, (part, low) in enumerate(order)]
+
+
+def _range(bounds: list[int]):
+    """Number of bounds below ``id``; nulls come first."""
+    if not bounds:
+        return F.lit(0)
+    at = F.array(*[F.lit(b).cast("long") for b in bounds])
+    return F.coalesce(F.size(F.filter(at, lambda b: b < F.col("id"))), F.lit(0)) if len(bounds) < 64 else F.when(F.col("id").isNull(), 0).otherwise(F.expr(_tree(bounds, 0, len(bounds))))
+
+
+def _tree(bounds: list[int], lo: int, hi: int) -> str:
+    """A balanced tree of comparisons."""
+    if lo == hi:
+        return str(lo)
+    mid = (lo + hi) // 2
+    return f"if(id <= {bounds[mid]}L, {_tree(bounds, lo, mid)}, {_tree(bounds, mid + 1, hi)})"
+
+
 def fingerprint_documents(docs: DataFrame, s: Sketch = Sketch(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    spark, where = docs.sparkSession, shared_dir(docs.sparkSession)
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds, firsts = _ranges(rows.select("id"), n)
+    heads = spark.createDataFrame([(low, before) for _, low, before in firsts], "h_id long, before int")
+    # as many rows as there are ranges; a repeated first identifier is dealt to the range before as a whole
+    dealt = rows.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("h_id")), "left").select(
+        "id", "text", F.explode(F.filter(F.array(F.struct(_range(bounds).alias("part"), F.lit(False).alias("extra")), F.struct(F.col("before").alias("part"), F.lit(True).alias("extra"))), lambda x: x["part"].isNotNull())).alias("to")
+    )
+    ranged = dealt.select("id", "text", "to.part", "to.extra").repartitionByRange(n, "part").sortWithinPartitions("part", "extra", F.col("id").asc_nulls_first(), "text")
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         texts: list[str] = []
-        size, first = 0, True
+        size, at, closed = 0, None, False
 
-        def out(last: bool) -> Iterator[pa.RecordBatch]:
-            n = len(ids) - 1
-            if n:
-                cols = compare(texts[:-1], texts[1:], s)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(ids[:-1], pa.int64()), pa.nulls(n, pa.string()), *cols], ["kind", "id", "text", *NAMES])
-            if last:
-                yield mark(2)
-
-        def mark(kind: int) -> pa.RecordBatch:
-            """The first (1) or last (2) row of a range, with its text."""
-            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([ids[-1]], pa.int64()), pa.array([texts[-1]], pa.string()), *(pa.nulls(1, t) for t in types)], ["kind", "id", "text", *NAMES])
+        def out() -> Iterator[pa.RecordBatch]:
+            """All rows under way but the last, which is the neighbour of the one before."""
+            if len(ids) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[:-1], pa.int64()), *compare(texts[:-1], texts[1:], s)], ["id", *NAMES])
 
         for batch in batches:
-            for i, t in zip(batch.column(0), batch.column(1), strict=True):
-                ids.append(i.as_py())
-                texts.append(t.as_py())
-                size += len(texts[-1])
-                if first:
-                    yield mark(1)
-                    first = False
-                if size >= s.slice_chars and len(ids) > 1:
-                    yield from out(False)
+            for i, t, part, extra in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if part != at:
+                    yield from out()
+                    ids, texts, size, at, closed = [], [], 0, part, False
+                if closed:
+                    continue  # a repeat of the next range's first identifier
+                closed = extra
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+                if size >= s.slice_chars and len(ids) > 1 and not closed:
+                    yield from out()
                     ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
-        if ids:
-            yield from out(True)
-
-    walked = stored(ranged.mapInArrow(walk, f"kind int, id long, text string, {RESULT}").withColumn("part", F.spark_partition_id()), f"{where}/walked")
-    inner = walked.filter("kind = 0").select(F.col("id").alias(id_col), *NAMES)
-    # one identifier for each end of a range: as many rows as there were tasks
-    ends = sorted((r.id is not None, r.id or 0, r.part) for r in walked.filter("kind = 1").select("id", "part").collect())
-    order = [part for _, _, part in ends]
-    after = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:] + order[:1], strict=True)], "t_part int, h_part int")
-    tails = walked.filter("kind = 2").select("id", "text", F.col("part").alias("t_part"))
-    heads = walked.filter("kind = 1").select(F.col("text").alias("following"), F.col("part").alias("h_part"))
-    pairs = tails.join(after, "t_part").join(heads, "h_part").select("id", "text", "following")
-
-    def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = compare(batch.column(1).to_pylist(), batch.column(2).to_pylist(), s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", *NAMES])
+        yield from out()
 
-    return inner.unionByName(pairs.mapInArrow(across, f"id long, {RESULT}").withColumnRenamed("id", id_col))
+    return ranged.mapInArrow(walk, f"id long, {RESULT}").withColumnRenamed("id", id_col)
 
 
 def op5_fingerprint(spark, sf_dir):
