@@ -49,7 +49,8 @@ def diff_page(local: DataFrame, remote: DataFrame, keys: list[str], offset: int,
 def cell_diff(local: DataFrame, remote: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each changed cell of modified rows: keys, column, local, remote."""
     columns = [c for c in local.columns if c not in keys and c in remote.columns]
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"l.`{c}`").cast("string").alias("local"), F.col(f"r.`{c}`").cast("string").alias("remote"), ~F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")).alias("changed")) for c in columns])
+    changed = lambda c: (~F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`"))).alias("changed")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"l.`{c}`").cast("string").alias("local"), F.col(f"r.`{c}`").cast("string").alias("remote"), changed(c)) for c in columns])
     both = paired(local, remote, keys).filter("l is not null and r is not null")
     return both.select(*keys, F.explode(F.filter(cells, lambda x: x["changed"])).alias("cell")).select(*keys, "cell.column", "cell.local", "cell.remote")
 
