@@ -87,7 +87,11 @@ def describe_tables(spark, sf_dir):
     return test_catalogue(spark, sf_dir).describe(spark)
 
 
-@query("SELECT 'customer' AS table_name, 'Different' AS status, '1500' AS local_rows, (SELECT CAST(count(*) AS VARCHAR) FROM (" + MUTATED + ")) AS remote_rows UNION ALL SELECT 'nation', 'Identical', '25', '25' UNION ALL SELECT 'region', 'OnlyLocal', '5', NULL UNION ALL SELECT 'supplier', 'OnlyRemote', NULL, '100'".replace("'1500'", "(SELECT CAST(count(*) AS VARCHAR) FROM customer)").replace("'100'", "(SELECT CAST(count(*) AS VARCHAR) FROM supplier)"))
+_N = "(SELECT CAST(count(*) AS VARCHAR) FROM {})"
+
+
+@query(f"""SELECT 'customer' AS table_name, 'Different' AS status, {_N.format('customer')} AS local_rows, {_N.format(f'({MUTATED})')} AS remote_rows
+UNION ALL SELECT 'nation', 'Identical', '25', '25' UNION ALL SELECT 'region', 'OnlyLocal', '5', NULL UNION ALL SELECT 'supplier', 'OnlyRemote', NULL, {_N.format('supplier')}""")
 def table_diff(spark, sf_dir):
     local, remote = _both(spark, sf_dir)
     t = lambda n: table(spark, sf_dir, n)
