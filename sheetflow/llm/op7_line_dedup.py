@@ -12,7 +12,8 @@ and lines under ``min_chars`` characters are compared for equality only.
   segment and length difference at threshold 1). Keys that only one line has are dropped by a map-side minimum
   and maximum; lines that share the others are candidate pairs.
 * *Hot keys.* A segment that more than ``most_pairs`` lines share is not paired: the matching segment is
-  cut out and the rest, again within the threshold, is partitioned in the same way, level by level.
+  cut out and the rest, again within the threshold, is partitioned in the same way, level by level. An
+  empty segment cannot be cut out: it is left of rests no longer than the threshold, which are paired.
 * *Verification* is Spark's ``levenshtein`` with a threshold: a dynamic program in a band of that width.
   Spark has no bit-parallel form of it and a native path can have no other.
 
@@ -65,7 +66,7 @@ def _keys(text: Column, group: Column, threshold: int) -> Column:
         size = F.floor(m * i / parts).cast("int") - begin
         at = begin + shift
         piece = F.substring(text, at + 1, size)
-        key = F.when((m > 0) & (size > 0) & (at >= 0) & (at + size <= n), F.xxhash64(group, m, F.lit(i), piece))
+        key = F.when((m >= 0) & (at >= 0) & (at + size <= n), F.xxhash64(group, m, F.lit(i), piece))
         out.append(F.struct(key.alias("key"), F.lit(longer == 0 and shift == 0).alias("own"), at.alias("at"), size.alias("size")))
     return F.filter(F.array(*out), lambda k: k["key"].isNotNull())
 
@@ -104,13 +105,13 @@ def candidates(lines: DataFrame, p: Lines, where: str) -> DataFrame:
     level, pairs = lines.withColumn("group", F.lit(0).cast("long")), None
     for k in range(p.most_levels):
         last = k + 1 == p.most_levels
-        keys = stored(_exploded(level, p).select("key", "h1", "own"), f"{where}/keys-{k}")
+        keys = stored(_exploded(level, p).select("key", "h1", "own", (F.col("size") > 0).alias("cut")), f"{where}/keys-{k}")
         met = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own")).filter("low < high and own").select(F.col("key").alias("m_key"))
         met = stored(met, f"{where}/met-{k}")
-        rows = _picked(keys, "key", met).groupBy("key", "h1").agg(F.max("own").alias("own"))
+        rows = _picked(keys, "key", met).groupBy("key", "h1").agg(F.max("own").alias("own"), F.max("cut").alias("cut"))
         rows = stored(rows, f"{where}/rows-{k}")
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("lines"))
-        hot = stored(counts.filter(F.col("lines") > p.most_pairs).select(F.col("key").alias("hot_key")), f"{where}/hot-{k}")
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.max("cut").alias("cut"))
+        hot = stored(counts.filter((F.col("lines") > p.most_pairs) & F.col("cut")).select(F.col("key").alias("hot_key")), f"{where}/hot-{k}")
         cold = rows if last else rows.join(hot.hint("merge"), F.col("key") == F.col("hot_key"), "left_anti")
         mine = cold.filter("own").select(F.col("key").alias("o_key"), F.col("h1").alias("o_h1"))
         new = cold.join(mine.hint("merge"), F.col("key") == F.col("o_key")).filter("h1 <> o_h1")
