@@ -84,9 +84,12 @@ def replayable(quarantined: DataFrame, version: int) -> DataFrame:
 
 
 def outgoing(changelog: DataFrame, peers: DataFrame, acks: DataFrame) -> DataFrame:
-    """(peer, change) pairs to send: never back to the origin, only above the acknowledged sequence."""
+    """(peer, change) pairs to send: never back to the origin, only above the acknowledged sequence.
+
+    Peers are the configured nodes of a star, a short list, not data.
+    """
     acked = acks.select(F.col("peer").alias("a_peer"), F.col("origin").alias("a_origin"), F.col("epoch").alias("a_epoch"), "acked_seq")
-    routed = changelog.join(F.broadcast(peers.limit(10_000)), F.col("origin") != F.col("peer"))
+    routed = changelog.join(F.broadcast(peers), F.col("origin") != F.col("peer"))
     joined = routed.join(acked, (F.col("peer") == F.col("a_peer")) & (F.col("origin") == F.col("a_origin")) & (F.col("epoch") == F.col("a_epoch")), "left")
     return joined.filter(F.col("seq") > F.coalesce("acked_seq", F.lit(-1))).drop("a_peer", "a_origin", "a_epoch", "acked_seq")
 
@@ -103,7 +106,7 @@ def outbound_watermark(changelog: DataFrame, acks: DataFrame) -> DataFrame:
     acked = acks.select(F.col("peer").alias("a_peer"), F.col("origin").alias("a_origin"), F.col("epoch").alias("a_epoch"), "acked_seq")
     head = changelog.agg(F.coalesce(F.max("local_seq"), F.lit(-1)).alias("head"))
     open_ = (
-        changelog.crossJoin(F.broadcast(peers.limit(10_000)))
+        changelog.crossJoin(F.broadcast(peers))
         .join(acked, (F.col("peer") == F.col("a_peer")) & (F.col("origin") == F.col("a_origin")) & (F.col("epoch") == F.col("a_epoch")), "left")
         .filter(F.col("seq") > F.coalesce("acked_seq", F.lit(-1))).groupBy("peer").agg(F.min("local_seq").alias("least"))
     )
