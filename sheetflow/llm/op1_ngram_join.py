@@ -7,18 +7,22 @@ The Jaccard distance ``1 - |A & B| / |A | B|`` is a metric; documents link when
    with the smallest identifier, so copies by the thousand are one point of the space.
 2. *Pivots and regions.* In most text the distance of two documents is 1, so pivots drawn at random
    would put every document into every region. Pivots are taken where documents are: for each code
-   in a set's prefix (the codes that any linked partner must share one of) the smallest document is
-   the pivot of its code, and a document enters the Voronoi region of every pivot among its codes.
-   Two documents that link share a prefix code, so both lie in the region of its pivot. Codes are
-   ordered rarest first by a counting sketch of fixed size over all documents, so frequent passages
-   lead to no region.
+   in a set's prefix (the codes that any linked partner must share one of) the document with the smallest share
+   of codes of its own is the pivot, and a document enters the Voronoi region of every pivot among its codes.
+   Two documents that link share a prefix code, so both lie in the region of its pivot. The prefix
+   may follow any one order of all codes: first come the codes of a zone (the lowest ``zone`` of the hash
+   range) that stand in one document only, then the others of the zone by classes of frequency, then the rest. Most documents
+   have a prefix of codes that nobody shares: they can link with none and enter no region; passages that
+   many documents have lead to none. The count is repeated among the documents that are left, over the
+   whole hash range, which leaves those whose text is shared for four fifths. Bloom filters of bounded size say which codes are shared by how many; their errors move a code
+   in the order, for all documents alike, and change no result.
 3. *Windows.* Each document's distance to its pivots is found exactly (or bounded from the prefixes when
    the bound already excludes a link). Documents within eps of the pivot are the inner ball: they
    are connected through it and need no comparison with each other. A document outside the ball can link
    only to members whose distance to the pivot differs by at most eps: just those boundary pairs
    are made.
-4. *Recursion.* The documents outside the ball become pivots of the region in turn, in classes of about
-   ``pivots_per_round``; what has joined the ball meanwhile is no pivot any more. It ends when nothing
+4. *Recursion.* The documents outside the ball become pivots of the region in turn, first the most central one
+   a few times, then the others in classes of about ``pivots_per_round``; what has joined the ball meanwhile is no pivot any more. It ends when nothing
    is left outside, so the join is exact: a pair is skipped only where both are connected already or
    the triangle inequality or a prefix bound excludes a link.
 5. *Components* of all links, then back from sets to documents.
@@ -34,6 +38,7 @@ fewer words than a shingle is one shingle; rows of one identifier are expected t
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,9 +58,14 @@ class Join:
     #: Similarity from which documents link, as a fraction.
     num: int = 4
     den: int = 5
-    sketch_bits: int = 18
+    #: Part of the hash range whose codes are counted, for each narrowing of the candidates.
+    zones: tuple[float, ...] = (0.4, 1.0, 1.0)
+    #: Numbers of documents from which a code stands later in the order of codes; six at most.
+    frequent: tuple[int, ...] = (2, 6, 20, 64, 256, 1024)
+    #: Rounds with one new pivot for each region, before all that are left take their turn.
+    central_rounds: int = 1
     pivots_per_round: int = 64
-    most_rounds: int = 8
+    most_rounds: int = 4
 
     @property
     def eps(self) -> float:
@@ -86,86 +96,101 @@ def shingles(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-class Coder:
-    """Shingle codes whose order is rarest class first: 5 bits of class, 58 bits of hash."""
+def codes(texts: pa.Array, j: Join) -> Iterator[np.ndarray]:
+    """The distinct shingle codes of each text in order; three bits are left for the class."""
+    for h in shingles(texts, j.words):
+        yield np.unique(h >> np.uint64(3))
 
-    def __init__(self, counts: np.ndarray):
-        middle = float(np.median(counts))
-        spread = middle**0.5 + 1
-        excess = np.maximum((counts - middle - 4 * spread) / spread, 0.0)
-        self.shift = np.uint64(64 - (len(counts).bit_length() - 1))
-        self.classes = np.minimum(np.where(excess > 0, 1 + np.floor(np.log2(1 + excess)), 0), 31).astype(np.uint64) << np.uint64(58)
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        return np.unique(self.classes[(hashes >> self.shift).astype(np.int64)] | (hashes >> np.uint64(6)))
+def _edge(zone: float) -> np.uint64:
+    """First code beyond the zone."""
+    return np.uint64(int(zone * (1 << 61)))
 
 
-def count_shingles(rows: DataFrame, j: Join) -> np.ndarray:
-    """In how many documents the shingles of each slot stand."""
-    shift = np.uint64(64 - j.sketch_bits)
-
-    def fill(counts: np.ndarray, batch: pa.RecordBatch) -> None:
-        for _, _, texts in text_slices(batch.column(0), SLICE):
-            found = [np.unique(h) for h in shingles(texts, j.words)]
-            if found:
-                counts += np.bincount((np.concatenate(found) >> shift).astype(np.int64), minlength=len(counts))
-
-    return blobs.gather(rows.select("text"), fill, 1 << j.sketch_bits, "int64", np.add)
-
-
-def signatures(rows: DataFrame, coder, j: Join) -> DataFrame:
-    """id, n (set size), a 128-bit hash of the set, prefix codes."""
+def signatures(rows: DataFrame, j: Join) -> DataFrame:
+    """id, n (set size) and a 128-bit hash of the set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder.value
         for batch in batches:
             for a, b, texts in text_slices(batch.column(1), SLICE):
-                n, h1, h2, first, ends = [], [], [], [], [0]
-                for h in shingles(texts, j.words):
-                    u = code(h)
+                n, h1, h2 = [], [], []
+                for u in codes(texts, j):
                     mixed = mix(u + np.uint64(77))
                     n.append(len(u))
                     h1.append(mixed.sum(dtype=np.uint64) if len(u) else np.uint64(0))
                     h2.append(np.bitwise_xor.reduce(mix(mixed)) if len(u) else np.uint64(0))
-                    first.append(u[: j.prefix(len(u))])
-                    ends.append(ends[-1] + len(first[-1]))
-                flat = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                    ["id", "n", "h1", "h2", "prefix"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64))], ["id", "n", "h1", "h2"])
 
-    return rows.mapInArrow(run, "id long, n int, h1 long, h2 long, prefix array<long>")
+    return rows.mapInArrow(run, "id long, n int, h1 long, h2 long")
 
 
-def _ids(batch: pa.RecordBatch, k: int = 0) -> np.ndarray:
-    return batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+def shared_codes(rows: DataFrame, j: Join, zone: float, where: str) -> list[np.ndarray]:
+    """Bloom filters of the zone's codes that stand in two documents or more, then in ever more."""
+    edge = _edge(zone)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, texts in text_slices(batch.column(1), SLICE):
+                found = [u[: np.searchsorted(u, edge)] for u in codes(texts, j)]
+                flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(ids[a:b], [len(f) for f in found]))], ["code", "id"])
+
+    each = rows.mapInArrow(run, "code long, id long").groupBy("code").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("docs"))
+    shared = stored(each.filter("low < high").select("code", "docs"), f"{where}/shared")
+    out = []
+    for least in j.frequent if zone >= 1 else j.frequent[:1]:
+        some = shared.filter(F.col("docs") >= least).select("code")
+        entries = some.count()
+        if not entries:
+            break
+        out.append(blobs.bloom(some, entries, _ids))
+    return out
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of a list column, from its own start."""
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
+def candidates(rows: DataFrame, shared, j: Join, zone: float) -> DataFrame:
+    """id, n, rank, prefix and its codes that others may have, of documents that can link with any.
 
-def regions(points: DataFrame, where: str) -> DataFrame:
-    """A row (pivot, id) for each document in the region of a pivot other than itself."""
-    spark = points.sparkSession
-    each = points.select("id", F.explode("prefix").alias("code"))
-    multi = stored(each.groupBy("code").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").select(F.col("code").alias("m_code"), "pivot"), f"{where}/pivots")
-    filt = spark.sparkContext.broadcast(blobs.bloom(multi.select("m_code"), multi.count(), _ids))
+    The rank is the share of codes that no other document has, in thousandths: of a text and its altered
+    copies the text itself has the least, and as a pivot it links with most of them.
+    """
+    edge = _edge(zone)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, offsets = _lists(batch.column(1))
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(offsets))
-            keep = blobs.bloom_has(filt.value, codes.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(codes[keep])], ["id", "code"])
+            for a, _, texts in text_slices(batch.column(1), SLICE):
+                at, sizes, ranks, prefixes, keys = [], [], [], [], []
+                for k, u in enumerate(codes(texts, j), a):
+                    inner = np.searchsorted(u, edge)
+                    need = j.prefix(len(u))
+                    level = np.zeros(inner, np.uint64)
+                    for filt in shared.value:
+                        level += blobs.bloom_has(filt, u[:inner])
+                    own = int((level == 0).sum())
+                    if need <= own:
+                        continue  # the prefix holds codes of this document alone
+                    order = np.concatenate([np.sort(u[:inner] | level << np.uint64(61)), u[inner:need] | np.uint64(7 << 61)])[:need]
+                    at.append(k)
+                    sizes.append(len(u))
+                    ranks.append(1000 * own // max(int(inner), 1))
+                    prefixes.append(order.tobytes())
+                    keys.append((order[own:] & np.uint64((1 << 61) - 1)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.array(ranks, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "rank", "prefix", "keys"])
+
+    return rows.mapInArrow(run, "id long, n int, rank int, prefix binary, keys array<long>")
 
-    shared = points.select("id", "prefix").mapInArrow(run, "id long, code long")
-    met = shared.join(multi.hint("merge"), F.col("code") == F.col("m_code")).filter("id <> pivot")
-    return stored(met.groupBy("pivot", "id").agg(F.lit(1).alias("one")).select("pivot", "id"), f"{where}/regions")
+
+def _ids(batch: pa.RecordBatch, k: int = 0) -> np.ndarray:
+    return batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def regions(points: DataFrame, where: str) -> DataFrame:
+    """A row (pivot, id, rank) for each document in the region of a pivot other than itself."""
+    each = stored(points.select("id", "rank", F.explode("keys").alias("code")), f"{where}/keys")
+    multi = each.groupBy("code").agg(F.min(F.struct("rank", "id")).alias("p"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    multi = stored(multi.select(F.col("code").alias("m_code"), F.col("p.id").alias("pivot")), f"{where}/pivots")
+    met = each.join(multi.hint("merge"), F.col("code") == F.col("m_code")).filter("id <> pivot")
+    return stored(met.groupBy("pivot", "id").agg(F.min("rank").alias("rank")), f"{where}/regions")
 
 
 def _most(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> int:
@@ -176,9 +201,8 @@ def _most(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> int:
     return int(same + min(na - ka, nb - kb))
 
 
-def _only(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows (id first) that pairs (a, b) may need: a filter of bounded size instead of a shuffle of all."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id first) of these ids and few others: a filter of bounded size instead of a shuffle of all."""
     filt = rows.sparkSession.sparkContext.broadcast(blobs.bloom(ids, ids.count(), _ids))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +212,10 @@ def _only(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+
 def _beside(pairs: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
     """Pairs with the named columns of rows for both ends."""
     for end in ("b", "a"):
@@ -196,31 +224,43 @@ def _beside(pairs: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
     return pairs
 
 
-def distances(pairs: DataFrame, points: DataFrame, rows: DataFrame, coder, j: Join, where: str) -> DataFrame:
+@contextmanager
+def _small_batches(spark, rows: int = 128):
+    """Whole sets travel in small Arrow batches: a batch of the usual number of rows may be gigabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def distances(pairs: DataFrame, points: DataFrame, rows: DataFrame, j: Join, where: str) -> DataFrame:
     """For distinct pairs (a, b): d (a lower bound of the distance, exact where ``exact``) and linked."""
     pairs = stored(pairs, f"{where}/pairs")
 
     def bound(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
-            (pa_, oa), (pb_, ob) = _lists(batch.column("a_prefix")), _lists(batch.column("b_prefix"))
+            na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             d, maybe = np.ones(batch.num_rows), np.zeros(batch.num_rows, bool)
-            for k in range(batch.num_rows):
+            for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
                 most = min(na[k], nb[k])
                 if j.linked(most, na[k], nb[k]):
-                    most = min(most, _most(pa_[oa[k] : oa[k + 1]], na[k], pb_[ob[k] : ob[k + 1]], nb[k]))
-                d[k] = 1 - most / (int(na[k]) + int(nb[k]) - most)
+                    most = min(most, _most(np.frombuffer(x.as_buffer(), np.uint64), na[k], np.frombuffer(y.as_buffer(), np.uint64), nb[k]))
+                d[k] = 1 - most / (na[k] + nb[k] - most)
                 maybe[k] = j.linked(most, na[k], nb[k])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d), pa.array(maybe)], ["a", "b", "d", "maybe"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d), pa.array(maybe)], ["a", "b", "d", "maybe"])
 
-    near = _beside(pairs, _only(points.select("id", "n", "prefix"), pairs), ["n", "prefix"])
-    checked = stored(near.select("a", "b", "a_n", "b_n", "a_prefix", "b_prefix").mapInArrow(bound, "a long, b long, d double, maybe boolean"), f"{where}/bounds")
+    near = _beside(pairs, _only(points.select("id", "n", "prefix"), _ends(pairs)), ["n", "prefix"])
+    with _small_batches(pairs.sparkSession, 1024):
+        checked = stored(near.select("a", "b", "a_n", "b_n", "a_prefix", "b_prefix").mapInArrow(bound, "a long, b long, d double, maybe boolean"), f"{where}/bounds")
     left = checked.filter("maybe").select("a", "b")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_slices(batch.column(1), SLICE):
-                found = [coder.value(h).tobytes() for h in shingles(texts, j.words)]
+                found = [u.tobytes() for u in codes(texts, j)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], ["id", "codes"])
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,10 +273,11 @@ def distances(pairs: DataFrame, points: DataFrame, rows: DataFrame, coder, j: Jo
                 linked.append(bool(inter and j.linked(inter, len(x), len(y))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "d", "linked"])
 
-    whole = _beside(left, _only(rows, left).mapInArrow(sets, "id long, codes binary"), ["codes"])
+    whole = _beside(left, _only(rows, _ends(left)).mapInArrow(sets, "id long, codes binary"), ["codes"])
     exact = whole.select("a", "b", "a_codes", "b_codes").mapInArrow(verify, "a long, b long, d double, linked boolean").withColumn("exact", F.lit(True))
     far = checked.filter("not maybe").select("a", "b", "d", F.lit(False).alias("linked"), F.lit(False).alias("exact"))
-    return stored(exact.unionByName(far), f"{where}/distances")
+    with _small_batches(pairs.sparkSession):
+        return stored(exact.unionByName(far), f"{where}/distances")
 
 
 def _boundary(members: DataFrame, outer: DataFrame, eps: float) -> DataFrame:
@@ -248,34 +289,53 @@ def _boundary(members: DataFrame, outer: DataFrame, eps: float) -> DataFrame:
     return met.select(F.greatest("id", "p_id").alias("a"), F.least("id", "p_id").alias("b")).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
 
 
-def links(rows: DataFrame, points: DataFrame, coder, j: Join, where: str) -> DataFrame:
+def links(rows: DataFrame, points: DataFrame, j: Join, where: str) -> DataFrame:
     """Links (a, b) between documents of different sets that have the components of all links."""
     met = regions(points, where)
-    first = distances(met.select(F.col("id").alias("a"), F.col("pivot").alias("b")), points, rows, coder, j, f"{where}/pivot-distances")
-    members = first.select(F.col("b").alias("pivot"), F.col("a").alias("id"), "d", "linked", "exact")
-    found = [first.filter("linked").select("a", "b")]
-    # pairs of a region of which one at least is outside the ball; a region of one member has none
-    sizes = stored(members.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.sum((~F.col("linked")).cast("int")).alias("outer")).filter("members > 1 and outer > 0").withColumnRenamed("pivot", "s_pivot"), f"{where}/sizes")
-    most = sizes.agg(F.max("outer")).first()[0] or 0
-    per_round = max(j.pivots_per_round, -(-most // j.most_rounds))
+    first = distances(met.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct(), points, rows, j, f"{where}/pivot-distances")
+    found, seen = [first.filter("linked").select("a", "b")], [first.select("a", "b")]
+    on = (F.greatest("id", "pivot") == F.col("a")) & (F.least("id", "pivot") == F.col("b"))
+    members = met.join(first.hint("merge"), on).select("pivot", "id", "rank", "d", "linked", "exact")
+    # a region needs more only if it has several members and one of them is outside the ball
+    sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("linked")).alias("outer")).filter("members > 1 and outer > 0")
+    sizes = stored(sizes.select(F.col("pivot").alias("s_pivot")), f"{where}/sizes")
     open_ = stored(members.join(sizes.hint("merge"), F.col("pivot") == F.col("s_pivot")).drop("s_pivot"), f"{where}/open")
-    outside = open_.filter("not linked").withColumn("turn", F.pmod(F.xxhash64("id"), F.ceil(F.col("outer") / per_round)).cast("int"))
-    done = None
-    for turn in range(-(-most // per_round)):
-        now = outside.filter(F.col("turn") == turn)
-        if turn:  # what the links so far have connected to its pivot is no pivot any more
+    outside, turn, classes = open_.filter("not linked"), 0, 0
+    while True:
+        if turn:  # what is connected to its region's pivot by now is outside no more
             label = components(_all(found), f"{where}/labels-{turn}")
-            now = (
-                now.join(label.select(F.col("node").alias("id"), F.col("label").alias("mine")), "id", "left")
+            outside = (
+                outside.join(label.select(F.col("node").alias("id"), F.col("label").alias("mine")), "id", "left")
                 .join(label.select(F.col("node").alias("pivot"), F.col("label").alias("its")), "pivot", "left")
                 .filter("not coalesce(mine, id) <=> coalesce(its, pivot)").drop("mine", "its")
             )
-        pairs = _boundary(open_, now, j.eps)
-        known = first.select("a", "b") if done is None else first.select("a", "b").union(done)
-        pairs = pairs.join(known.withColumnsRenamed({"a": "k_a", "b": "k_b"}).hint("merge"), (F.col("a") == F.col("k_a")) & (F.col("b") == F.col("k_b")), "left_anti")
-        more = distances(pairs, points, rows, coder, j, f"{where}/round-{turn}")
+        if turn < j.central_rounds:  # first the most central document outside, for each region
+            outside = stored(outside, f"{where}/outside-{turn}")
+            if outside.isEmpty():
+                break
+            best = outside.groupBy("pivot").agg(F.min(F.struct("rank", "id")).alias("b")).select(F.col("pivot").alias("b_pivot"), F.col("b.id").alias("b_id"))
+            chosen = (F.col("pivot") == F.col("b_pivot")) & (F.col("id") == F.col("b_id"))
+            now = outside.join(best.hint("merge"), chosen).drop("b_pivot", "b_id")
+            outside = outside.join(best.hint("merge"), chosen, "left_anti")
+        else:  # then all that are left, in classes
+            if turn == j.central_rounds:
+                left = outside.groupBy("pivot").agg(F.count(F.lit(1)).alias("outer")).withColumnRenamed("pivot", "o_pivot")
+                outside = outside.join(left.hint("merge"), F.col("pivot") == F.col("o_pivot")).drop("o_pivot")
+            outside = stored(outside, f"{where}/outside-{turn}")
+            if turn == j.central_rounds:
+                most = outside.agg(F.max("outer")).first()[0] or 0
+                per_round = max(j.pivots_per_round, -(-most // j.most_rounds))
+                classes = -(-most // per_round)
+                outside = outside.withColumn("turn", F.pmod(F.xxhash64("id"), F.ceil(F.col("outer") / per_round)).cast("int") + turn)
+            if turn >= j.central_rounds + classes:
+                break
+            now, outside = outside.filter(F.col("turn") == turn), outside.filter(F.col("turn") > turn)
+        known = _all(seen).withColumnsRenamed({"a": "k_a", "b": "k_b"})
+        pairs = _boundary(open_, now, j.eps).join(known.hint("merge"), (F.col("a") == F.col("k_a")) & (F.col("b") == F.col("k_b")), "left_anti")
+        more = distances(pairs, points, rows, j, f"{where}/round-{turn}")
         found.append(more.filter("linked").select("a", "b"))
-        done = more.select("a", "b") if done is None else done.union(more.select("a", "b"))
+        seen.append(more.select("a", "b"))
+        turn += 1
     return _all(found)
 
 
@@ -290,12 +350,17 @@ def join_documents(docs: DataFrame, j: Join = Join(), id_col: str = "doc_id", te
     """id, n_shingles and component_id of each row with an identifier."""
     spark = docs.sparkSession
     where, rows = shared_dir(spark), _rows(docs, id_col, text_col)
-    coder = spark.sparkContext.broadcast(Coder(count_shingles(rows, j)))
-    signed = stored(signatures(rows, coder, j), f"{where}/signatures")
+    signed = stored(signatures(rows, j), f"{where}/signatures")
     sets = stored(signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("first")), f"{where}/sets")
     firsts = sets.select(F.col("first").alias("f_id"), F.col("n").alias("f_n"))
-    points = stored(signed.select("id", "n", "prefix").join(firsts.hint("merge"), (F.col("id") == F.col("f_id")) & (F.col("n") == F.col("f_n"))).select("id", "n", "prefix"), f"{where}/points")
-    label = components(links(rows, points, coder, j, where), f"{where}/components")
+    points, left = None, rows
+    for k, zone in enumerate(j.zones):
+        left = rows if points is None else _only(rows, points.select("id"))
+        shared = spark.sparkContext.broadcast(shared_codes(left, j, zone, f"{where}/narrow-{k}"))
+        able = candidates(left, shared, j, zone).join(firsts.hint("merge"), (F.col("id") == F.col("f_id")) & (F.col("n") == F.col("f_n")))
+        points = stored(able.select("id", "n", "rank", "prefix", "keys"), f"{where}/narrow-{k}/points")
+        shared.destroy()
+    label = components(links(rows, points, j, where), f"{where}/components")
     named = stored(sets.join(label.hint("merge"), F.col("first") == F.col("node"), "left").select("h1", "h2", F.col("n").alias("s_n"), F.coalesce("label", "first").alias("component_id")), f"{where}/named")
     out = signed.select("id", F.col("n").alias("n"), F.col("h1").alias("d1"), F.col("h2").alias("d2")).join(
         named.hint("merge"), (F.col("d1") == F.col("h1")) & (F.col("d2") == F.col("h2")) & (F.col("n") == F.col("s_n")), "left"

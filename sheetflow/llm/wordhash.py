@@ -14,7 +14,7 @@ M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once; bounds the working memory of a task.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 _pow = {}
 
