@@ -19,6 +19,7 @@ table gives an empty table; other columns of the inputs are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -164,9 +165,12 @@ def _training(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(cells, pa.binary()), pa.array(sizes, pa.binary())], ["y", "ids", "sizes"])
 
     found = rows.select("text", "y").mapInArrow(bags, "y int, ids binary, sizes binary").toArrow()
-    out = [(y, np.frombuffer(i, np.int32), np.frombuffer(n, np.int32)) for y, i, n in zip(*(found.column(k).to_pylist() for k in range(3)), strict=True)]
+    out = []
+    for batch in found.to_batches():  # views of the Arrow memory: the sample is held once
+        views = (np.frombuffer(v.as_buffer(), np.int32) for pair in zip(batch.column(1), batch.column(2), strict=True) for v in pair)
+        out += list(zip(batch.column(0).to_pylist(), views, views))
     # a fixed order: sums of floats, and so the weights, do not depend on the partitions
-    return sorted(out, key=lambda bag: (bag[0], len(bag[1]), bag[1].tobytes()))
+    return sorted(out, key=lambda bag: (bag[0], len(bag[1]), zlib.crc32(bag[1])))
 
 
 @dataclass(frozen=True)
@@ -177,7 +181,9 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col="doc_id", text_col="text", label_col="toxic") -> Model:
-    return Model(*fit(_training(docs, labels, s, id_col, text_col, label_col), s), s)
+    model = Model(*fit(_training(docs, labels, s, id_col, text_col, label_col), s), s)
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 SCORED = "score double, n_sentences int, offending array<struct<sentence:int,start:int,end:int,score:double>>"
