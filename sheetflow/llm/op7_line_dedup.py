@@ -2,15 +2,18 @@
 
 A line goes if an equal line stands earlier, or if a line within ``threshold`` edits of it first stood
 earlier (order: identifier, then line number). Lines are compared without outer blanks; blank lines stay,
-and lines under ``min_chars`` characters are compared for equality only.
+and lines under ``min_chars`` characters are compared for equality only. The query compares at the threshold its SQL
+has, the pipeline stage at one that grows with the length (``STAGE``).
 
 * *Equal lines* meet by two 64-bit hashes; minima are taken map-side.
-* *Near lines.* A line of n characters is cut into threshold + 1 segments, and in any line within the
-  threshold one of them occurs unchanged, shifted by few places. Each line has index keys (length, segment
-  number, hash of the segment) and, for each length a partner may have, probe keys of the substrings at the
-  shifts that are possible at that length (multi-match-aware selection: one key for each
-  segment and length difference at threshold 1). Keys that only one line has are dropped by a map-side minimum
-  and maximum; lines that share the others are candidate pairs.
+* *Near lines.* The threshold may grow with the length of the shorter line of a pair. Lines of like lengths form a
+  class with one threshold t and one grid of t + 1 segments; in any line within t edits of a line of the class one
+  of them occurs unchanged, the i-th shifted by less than i places to either side and by no more than t + 1 - i
+  to the left. Each line has index keys (class, segment number, hash of the segment) of its own class and probe keys
+  of the substrings at these shifts for each class a shorter partner may have (27 keys at threshold 5 for most
+  lines). A constant threshold and the rests of hot keys have a class for each length (4 keys at threshold 1).
+  Keys that only one line has are dropped by a map-side minimum and maximum; lines that share the others and
+  whose lengths differ by no more than t are candidate pairs.
 * *Hot keys.* A segment that more than ``most_pairs`` lines share is not paired: the matching segment is
   cut out and the rest, again within the threshold, is partitioned in the same way, level by level. An
   empty segment cannot be cut out: it is left of rests no longer than the threshold, which are paired.
@@ -43,32 +46,64 @@ class Lines:
     min_chars: int = 20
     most_pairs: int = 64
     most_levels: int = 8
+    #: From ``threshold`` to ``most`` edits, one for each so many characters of the shorter line; 0: always ``threshold``.
+    per_chars: int = 0
+    most: int = 5
 
+    @property
+    def highest(self) -> int:
+        return max(self.threshold, self.most) if self.per_chars else self.threshold
 
-def shifts(threshold: int) -> list[tuple[int, int, int]]:
-    """(how much longer than its partner a line is, segment number, shift) of all keys of a line."""
-    out = []
-    for longer in range(threshold + 1):
-        for i in range(1, threshold + 2):
-            low = max(1 - i, longer - (threshold + 1 - i))
-            high = min(i - 1, longer + (threshold + 1 - i))
-            out += [(longer, i, s) for s in range(low, high + 1)]
-    return out
-
-
-def _keys(text: Column, group: Column, threshold: int) -> Column:
-    """An array of (key, index, from, size) of a line: index is true for its own segments."""
-    n, parts = F.length(text), threshold + 1
-    out = []
-    for longer, i, shift in shifts(threshold):
-        m = n - longer
-        begin = F.floor(m * (i - 1) / parts).cast("int")
-        size = F.floor(m * i / parts).cast("int") - begin
-        at = begin + shift
-        piece = F.substring(text, at + 1, size)
-        key = F.when((m >= 0) & (at >= 0) & (at + size <= n), F.xxhash64(group, m, F.lit(i), piece))
-        out.append(F.struct(key.alias("key"), F.lit(longer == 0 and shift == 0).alias("own"), at.alias("at"), size.alias("size")))
-    return F.filter(F.array(*out), lambda k: k["key"].isNotNull())
+    def edits(self, n: Column) -> Column:
+        """The threshold of a pair whose shorter line has ``n`` characters."""
+        grown = F.floor(n / self.per_chars).cast("int") if self.per_chars else F.lit(self.threshold)
+        return F.least(F.greatest(grown, F.lit(self.threshold)), F.lit(self.highest))
+
+
+#: The pipeline's near lines: within one edit from 10 characters, two from 40, and so on to five from 100.
+STAGE = Lines(min_chars=10, per_chars=20)
+
+
+def shifts(threshold: int) -> list[tuple[int, int]]:
+    """(segment number, shift) of all keys of a line in one class."""
+    return [(i, s) for i in range(1, threshold + 2) for s in range(max(1 - i, i - threshold - 1), i)]
+
+
+def _least(m: Column, t: Column, p: Lines) -> Column:
+    """A length that stands for the class of the lines of ``m`` characters; none of them is shorter."""
+    power = F.pow(F.lit(2.0), F.length(F.bin(m)) - 1).cast("int")
+    half = (power + power / 2).cast("int")
+    grown = t * p.per_chars
+    return F.greatest(F.when(m >= half, half).otherwise(power), F.lit(p.min_chars), F.when(m >= grown, grown))
+
+
+def _exploded(lines: DataFrame, p: Lines, first: bool) -> DataFrame:
+    """(h1, line, group, t) rows to a row for each key; ``own`` is true for segments of the line itself.
+
+    At the first level the threshold follows from the lengths; rests keep that of their class. Where the
+    threshold is given, each length is a class of its own, which also bounds the shifts.
+    """
+    coarse = first and p.per_chars > 0
+    n = F.length("line")
+    rows = lines.select("h1", "line", "group", "t", n.alias("n"), F.explode(F.array(*[F.lit(d) for d in range(p.highest + 1)])).alias("shorter"))
+
+    def of(m: Column) -> tuple[Column, Column]:
+        t = p.edits(m) if first else F.col("t")
+        return t, _least(m, t, p) if coarse else m
+
+    m = F.col("n") - F.col("shorter")
+    (t, least), (next_t, next_least) = of(m), of(m + 1)
+    rows = rows.filter(m >= (p.min_chars if first else 0)).select("h1", "line", "group", "n", "shorter", t.alias("t"), least.alias("least"), next_t.alias("next_t"), next_least.alias("next_least"))
+    # each class once: at its greatest length that a partner may have
+    rows = rows.filter("shorter = 0 or t <> next_t or least <> next_least or (shorter - 1 > next_t)").filter("shorter <= t")
+    every = [F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in shifts(k)]) for k in range(p.highest + 1)]
+    rows = rows.select("h1", "line", "group", "n", "shorter", "t", "least", F.floor(F.col("least") / (F.col("t") + 1)).cast("int").alias("size"), F.explode(F.element_at(F.array(*every), F.col("t") + 1)).alias("k"))
+    rows = rows.select("h1", "line", "group", "n", "shorter", "t", "least", "size", F.col("k.i").alias("i"), F.col("k.s").alias("s"), (F.col("size") * (F.col("k.i") - 1) + F.col("k.s")).alias("at"))
+    if not coarse:
+        rows = rows.filter("s between shorter - (t + 1 - i) and shorter + (t + 1 - i)")
+    rows = rows.filter("at >= 0 and at + size <= n and (size > 0 or (i = 1 and s = 0))")
+    key = F.xxhash64("group", "t", "least", "i", F.expr("substring(line, at + 1, size)"))
+    return rows.select("h1", "line", "n", "t", "at", "size", key.alias("key"), F.expr("shorter = 0 and s = 0").alias("own"))
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -93,34 +128,30 @@ def _picked(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return near.join(wanted.hint("merge"), F.col(column) == F.col(w)).drop(w)
 
 
-def _exploded(lines: DataFrame, p: Lines) -> DataFrame:
-    """(h1, line, group) rows to a row for each key."""
-    return lines.select("h1", "line", F.explode(_keys(F.col("line"), F.col("group"), p.threshold)).alias("k")).select(
-        "h1", "line", F.col("k.key").alias("key"), F.col("k.own").alias("own"), F.col("k.at").alias("at"), F.col("k.size").alias("size")
-    )
-
-
 def candidates(lines: DataFrame, p: Lines, where: str) -> DataFrame:
     """Distinct pairs (a, b) of lines (h1, line) that share an index key."""
-    level, pairs = lines.withColumn("group", F.lit(0).cast("long")), None
+    level, pairs = lines.withColumns({"group": F.lit(0).cast("long"), "t": F.lit(0)}), None
     for k in range(p.most_levels):
         last = k + 1 == p.most_levels
-        keys = stored(_exploded(level, p).select("key", "h1", "own", (F.col("size") > 0).alias("cut")), f"{where}/keys-{k}")
+        keys = _exploded(level, p, k == 0)
         met = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own")).filter("low < high and own").select(F.col("key").alias("m_key"))
         met = stored(met, f"{where}/met-{k}")
-        rows = _picked(keys, "key", met).groupBy("key", "h1").agg(F.max("own").alias("own"), F.max("cut").alias("cut"))
+        rows = _picked(keys.select("key", "h1", "own", "n", "t", (F.col("size") > 0).alias("cut")), "key", met)
+        rows = rows.groupBy("key", "h1").agg(F.max("own").alias("own"), F.max("n").alias("n"), F.max("t").alias("t"), F.max("cut").alias("cut"))
         rows = stored(rows, f"{where}/rows-{k}")
         counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.max("cut").alias("cut"))
         hot = stored(counts.filter((F.col("lines") > p.most_pairs) & F.col("cut")).select(F.col("key").alias("hot_key")), f"{where}/hot-{k}")
         cold = rows if last else rows.join(hot.hint("merge"), F.col("key") == F.col("hot_key"), "left_anti")
-        mine = cold.filter("own").select(F.col("key").alias("o_key"), F.col("h1").alias("o_h1"))
-        new = cold.join(mine.hint("merge"), F.col("key") == F.col("o_key")).filter("h1 <> o_h1")
+        mine = cold.filter("own").select(F.col("key").alias("o_key"), F.col("h1").alias("o_h1"), F.col("n").alias("o_n"))
+        new = cold.join(mine.hint("merge"), F.col("key") == F.col("o_key")).filter("h1 <> o_h1 and n >= o_n and n - o_n <= t")
         new = new.select(F.least("h1", "o_h1").alias("a"), F.greatest("h1", "o_h1").alias("b"))
         pairs = new if pairs is None else pairs.union(new)
         if last or hot.isEmpty():
             break
         rest = F.concat(F.expr("substring(line, 1, at)"), F.expr("substring(line, at + size + 1)"))
-        level = _picked(_exploded(level, p), "key", hot).select("h1", F.col("key").alias("group"), rest.alias("line")).distinct()
+        ids = stored(rows.join(hot.hint("merge"), F.col("key") == F.col("hot_key"), "left_semi").select("h1").distinct(), f"{where}/hot-lines-{k}")
+        few = _exploded(_picked(level, "h1", ids.withColumnRenamed("h1", "hot_h1")), p, k == 0)
+        level = _picked(few, "key", hot).select("h1", F.col("key").alias("group"), "t", rest.alias("line")).distinct()
         level = stored(level, f"{where}/level-{k}")
     return pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
 
@@ -140,7 +171,8 @@ def repeated(docs: DataFrame, p: Lines, where: str, id_col: str, text_col: str)
     known = texts.join(firsts.hint("merge"), "h1")
     for end in ("a", "b"):
         pairs = pairs.join(known.select(F.col("h1").alias(end), F.col("line").alias(f"{end}_line"), F.col("first").alias(f"{end}_first")).hint("merge"), end)
-    near = pairs.filter(F.levenshtein("a_line", "b_line", p.threshold) >= 0)
+    pairs = pairs.withColumn("edits", p.edits(F.least(F.length("a_line"), F.length("b_line"))))
+    near = pairs.filter(F.expr("levenshtein(a_line, b_line, edits)") >= 0)
     later = stored(near.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("late")).distinct(), f"{where}/late")
     bad = groups.join(later.hint("merge"), F.col("h1") == F.col("late"), "left").filter("late is not null or first < last")
     bad = stored(bad.select("h1", "h2", "first", F.col("late").isNotNull().alias("near")), f"{where}/repeats").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first", "near")
@@ -164,7 +196,7 @@ def dedup_lines(docs: DataFrame, p: Lines = Lines(), id_col: str = "doc_id", tex
 
 def op7_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select(
+    return dedup_lines(docs, Lines(threshold=1, min_chars=20)).select(  # as the SQL below
         "doc_id", F.greatest("__n_lines", F.lit(0)).alias("n_lines"), F.greatest("__n_removed", F.lit(0)).alias("n_removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
@@ -172,7 +204,7 @@ def op7_line_dedup(spark, sf_dir):
 
 def line_dedup_stage(spark, docs, sf_dir):
     """Pipeline stage: repeated lines go; every document stays, with its new text and length."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, STAGE)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -332,6 +332,36 @@ def test_lines_against_brute_force(spark, p):
     assert op7_line_dedup.dedup_lines(docs(spark, texts).limit(0), p).count() == 0
 
 
+@pytest.mark.parametrize("p", [op7_line_dedup.STAGE, op7_line_dedup.Lines(min_chars=6, per_chars=9, most=4, most_pairs=3)])
+def test_line_threshold_grows_with_the_length(spark, p):
+    rng = np.random.default_rng(5)
+    bases = ["".join(rng.choice(list("abcdefgh "), n)).strip() for n in (9, 12, 19, 23, 40, 61, 97, 104, 131)]
+    texts = {}
+    for _ in range(110):
+        e = list(bases[rng.integers(len(bases))])
+        for _ in range(rng.integers(0, 8)):
+            at = rng.integers(len(e))
+            e[at : at + rng.integers(0, 2)] = [str(rng.choice(list("xyz"))) for _ in range(rng.integers(0, 2))]
+        texts[len(texts)] = "".join(e)
+    lines = sorted({t.strip(" ") for t in texts.values()} - {""})
+    first = {t: min(k for k, v in texts.items() if v.strip(" ") == t) for t in lines}
+
+    def near(a, b):
+        n = min(len(a), len(b))
+        most = min(max(n // p.per_chars, p.threshold), p.most)
+        return n >= p.min_chars and abs(len(a) - len(b)) <= most and edits(a, b) <= most
+
+    late = {b for a in lines for b in lines if first[a] < first[b] and near(a, b)}
+    want = {k: int(bool(t.strip(" ")) and (t.strip(" ") in late or first[t.strip(" ")] != k)) for k, t in texts.items()}
+    assert {r.doc_id: r["__n_removed"] for r in op7_line_dedup.dedup_lines(docs(spark, list(texts.values())), p).collect()} == want
+
+
+def test_line_stage_takes_a_changed_word(spark):
+    line = "the quick brown fox jumps over the lazy dog while seven other animals look on from the far side of the river"
+    two = op7_line_dedup.line_dedup_stage(spark, docs(spark, [line, line.replace("quick", "rapid")]).withColumn("n_chars", F.lit(0)), SF)
+    assert {r.doc_id: r.text for r in two.collect()} == {0: line, 1: ""}
+
+
 # 8: substring dedup
 
 
