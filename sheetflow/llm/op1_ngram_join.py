@@ -25,6 +25,8 @@ The Jaccard distance ``1 - |A & B| / |A | B|`` is a metric; documents link when
    a few times, then the others in classes of about ``pivots_per_round``; what has joined the ball meanwhile is no pivot any more. It ends when nothing
    is left outside, so the join is exact: a pair is skipped only where both are connected already or
    the triangle inequality or a prefix bound excludes a link.
+   Where all links are wanted (the query counts them), every member of a region is compared with the others
+   inside its window, ball or not, in one round instead of the recursion.
 5. *Components* of all links, then back from sets to documents.
 
 Regions are never gathered in one task: they are rows, minima are taken map-side, and joins are
@@ -339,6 +341,18 @@ def links(rows: DataFrame, points: DataFrame, j: Join, where: str) -> DataFrame:
     return _all(found)
 
 
+def every_link(rows: DataFrame, points: DataFrame, j: Join, where: str) -> DataFrame:
+    """All links (a, b) between documents of different sets, those inside the balls too: every member of a region is its pivot."""
+    met = regions(points, where)
+    first = distances(met.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct(), points, rows, j, f"{where}/pivot-distances")
+    on = (F.greatest("id", "pivot") == F.col("a")) & (F.least("id", "pivot") == F.col("b"))
+    members = stored(met.join(first.hint("merge"), on).select("pivot", "id", "d", "exact"), f"{where}/members")
+    known = first.select(F.col("a").alias("k_a"), F.col("b").alias("k_b"))
+    pairs = _boundary(members, members, j.eps).join(known.hint("merge"), (F.col("a") == F.col("k_a")) & (F.col("b") == F.col("k_b")), "left_anti")
+    more = distances(pairs, points, rows, j, f"{where}/member-distances")
+    return stored(_all([first, more]).filter("linked").select("a", "b"), f"{where}/every-link")
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -346,12 +360,16 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def join_documents(docs: DataFrame, j: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles and component_id of each row with an identifier."""
+def join_documents(docs: DataFrame, j: Join = Join(), id_col: str = "doc_id", text_col: str = "text", every: bool = True) -> DataFrame:
+    """id, n_shingles, component_id and n_links of each row with an identifier.
+
+    ``n_links`` counts the other rows a row links with, copies too. Without ``every`` it is left out, and only as
+    many links are looked for as the components need.
+    """
     spark = docs.sparkSession
     where, rows = shared_dir(spark), _rows(docs, id_col, text_col)
     signed = stored(signatures(rows, j), f"{where}/signatures")
-    sets = stored(signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("first")), f"{where}/sets")
+    sets = stored(signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), f"{where}/sets")
     firsts = sets.select(F.col("first").alias("f_id"), F.col("n").alias("f_n"))
     points, left = None, rows
     for k, zone in enumerate(j.zones):
@@ -360,12 +378,20 @@ def join_documents(docs: DataFrame, j: Join = Join(), id_col: str = "doc_id", te
         able = candidates(left, shared, j, zone).join(firsts.hint("merge"), (F.col("id") == F.col("f_id")) & (F.col("n") == F.col("f_n")))
         points = stored(able.select("id", "n", "rank", "prefix", "keys"), f"{where}/narrow-{k}/points")
         shared.destroy()
-    label = components(links(rows, points, j, where), f"{where}/components")
-    named = stored(sets.join(label.hint("merge"), F.col("first") == F.col("node"), "left").select("h1", "h2", F.col("n").alias("s_n"), F.coalesce("label", "first").alias("component_id")), f"{where}/named")
+    found = every_link(rows, points, j, where) if every else links(rows, points, j, where)
+    label = components(found, f"{where}/components")
+    named = sets.join(label.hint("merge"), F.col("first") == F.col("node"), "left").drop("node")
+    if every:
+        both = found.select(F.col("a").alias("l_id"), F.col("b").alias("other")).union(found.select("b", "a"))
+        sizes = sets.select(F.col("first").alias("o_id"), F.col("copies").alias("o_copies"))
+        degree = both.join(sizes.hint("merge"), F.col("other") == F.col("o_id")).groupBy("l_id").agg(F.sum("o_copies").alias("others"))
+        named = named.join(degree.hint("merge"), F.col("first") == F.col("l_id"), "left")
+    n_links = [(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")] if every else []
+    named = stored(named.select("h1", "h2", F.col("n").alias("s_n"), F.coalesce("label", "first").alias("component_id"), *n_links), f"{where}/named")
     out = signed.select("id", F.col("n").alias("n"), F.col("h1").alias("d1"), F.col("h2").alias("d2")).join(
         named.hint("merge"), (F.col("d1") == F.col("h1")) & (F.col("d2") == F.col("h2")) & (F.col("n") == F.col("s_n")), "left"
     )
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if every else []))
 
 
 def op1_ngram_join(spark, sf_dir):
@@ -374,7 +400,7 @@ def op1_ngram_join(spark, sf_dir):
 
 def near_duplicate_stage(spark, docs, sf_dir):
     """Pipeline stage: of each component the document with the smallest identifier stays."""
-    found = join_documents(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    found = join_documents(docs, every=False).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(found, F.col("doc_id") == F.col("gone"), "left_anti").select(*docs.columns)
 
 

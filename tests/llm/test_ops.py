@@ -89,6 +89,21 @@ def test_join_families_around_the_threshold(spark):
     assert joined(docs(spark, texts)) == brute_components(dict(enumerate(texts)))
 
 
+def test_join_counts_every_link(spark):
+    """Links of two members of a ball and of copies count too."""
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base), " ".join(base), "", "alone in the table with no link"]
+    for _ in range(30):
+        w = list(base)
+        for at in rng.integers(0, 60, rng.integers(0, 4)):
+            w[at] = f"v{rng.integers(3)}"
+        texts.append(" ".join(w))
+    sets = [shingle_set(t) for t in texts]
+    want = {i: sum(i != k and bool(y) and 5 * len(x & y) >= 4 * len(x | y) for k, y in enumerate(sets)) for i, x in enumerate(sets)}
+    assert {r.doc_id: r.n_links for r in op1_ngram_join.join_documents(docs(spark, texts)).collect()} == want
+
+
 def test_join_test_table(spark):
     rows = {r.doc_id: r.text for r in table(spark, SF, "documents").select("doc_id", "text").collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op1_ngram_join.op1_ngram_join(spark, SF).collect()}
