@@ -7,11 +7,13 @@
    above goes to the others by weight until none is above.
 3. A source's blocks stand in a random permuted order. Its target is so many whole passes over all
    blocks, then whole blocks of a further pass, then a part of one *boundary* block, whose documents
-   are taken in hashed order while they fit.
+   are taken in hashed order while they fit; the boundary draw is one more draw of the tree.
 4. The block draws of all sources are dealt to the output shards by a binary tree: at each node the
    draws that go left are a multivariate-hypergeometric sample of the node's quotas, so every shard
    has an exact quota of blocks of each source and the shards' draws are disjoint. Leaves take their
-   quotas in permuted order; a hash orders the documents inside a shard.
+   quotas in permuted order.
+5. ``draws`` gives a row for each draw of a document: its shard and its local position there, in the order of
+   a hash of the draw. Positions are counted in hash ranges of a shard, so no shard is sorted in one task.
 
 The driver holds block sums only: at most ``max_blocks`` for each source, and no more than
 ``max_sources`` sources (checked; more is an error, not a cut).
@@ -99,8 +101,8 @@ def _plan(blocks: list, p: Mix) -> tuple[list, list]:
             rest -= by[s][order[take]]
             take += 1
         orders.append(order)
-        draws.append(passes * len(order) + take)
         parts.append((order[take], int(rest)) if take < len(order) and rest >= 1 and passes < p.cap else (None, 0))
+        draws.append(passes * len(order) + take + (parts[-1][0] is not None))
     quotas = split_tree(np.array(draws, np.int64), p.shards, rng) if names else np.zeros((p.shards, 0), np.int64)
     plan = []
     for i, s in enumerate(names):
@@ -108,12 +110,14 @@ def _plan(blocks: list, p: Mix) -> tuple[list, list]:
         n = len(orders[i])
         for k, block in enumerate(orders[i]):
             mine = [int(x) for x in shard_of[k::n]] if n else []
-            plan.append((s, block, len(mine), mine, parts[i][1] if parts[i][0] == block else 0))
+            part = parts[i][0] == block
+            last = mine.pop() if part else None  # the boundary draw is the source's last
+            plan.append((s, block, len(mine), mine, parts[i][1] if part else 0, last))
     return [(s, a, float(t)) for s, a, t in zip(names, sizes, goal, strict=True)], plan
 
 
 def mix(docs: DataFrame, p: Mix = Mix(), id_col="doc_id", text_col="text", source_col="source", weights_of=None) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies, part_copy, shards, order_key."""
+    """One row per document: doc_id, size, source_size, target, taken, copies, part_copy, shards, order_key, part_shard."""
     spark = docs.sparkSession
     where = shared_dir(spark)
     rows = stored(sized(docs, id_col, text_col, source_col), f"{where}/sizes")
@@ -131,7 +135,7 @@ def mix(docs: DataFrame, p: Mix = Mix(), id_col="doc_id", text_col="text", sourc
     sums = dealt.groupBy("source", "block").agg(F.sum("size").alias("words")).collect()
     of_source, plan = _plan([(r.source, r.block, int(r.words)) for r in sums], p)
     sources = spark.createDataFrame(of_source, "s_source string, source_size long, target double")
-    blocks = spark.createDataFrame(plan, "b_source string, b_block int, copies int, shards array<int>, part long")
+    blocks = spark.createDataFrame(plan, "b_source string, b_block int, copies int, shards array<int>, part long, part_shard int")
     # both tables are bounded by max_sources and max_blocks; Spark broadcasts them only under its own size limit
     joined = dealt.join(blocks, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block"))).join(
         F.broadcast(sources), F.col("source").eqNullSafe(F.col("s_source"))
@@ -149,11 +153,32 @@ def mix(docs: DataFrame, p: Mix = Mix(), id_col="doc_id", text_col="text", sourc
         "copies", extra.alias("part_copy"),
         F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"),
         order_key.alias("order_key"),
+        F.when(extra > 0, F.col("part_shard")).alias("part_shard"),
     )
 
 
+def draws(mixed: DataFrame, p: Mix = Mix(), ranges: int = 64) -> DataFrame:
+    """One row per draw of a document of ``mix``: shard, position (from 0, shuffled), doc_id, size, draw."""
+    whole = F.filter(F.split("shards", ","), lambda x: x != "").cast("array<int>")
+    every = F.concat(whole, F.when(F.col("part_shard").isNull(), F.array().cast("array<int>")).otherwise(F.array("part_shard")))
+    rows = mixed.select("doc_id", "size", F.posexplode(every).alias("draw", "shard"))
+    rows = rows.withColumn("at", F.xxhash64(F.lit(p.seed + 2), "doc_id", "draw")).withColumn("range", F.shiftrightunsigned("at", 32) * ranges / F.lit(1 << 32))
+    rows = stored(rows.withColumn("range", F.floor("range").cast("int")), f"{shared_dir(mixed.sparkSession)}/draws")
+    # at most shards x ranges counts
+    before = rows.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("shard").alias("b_shard"), F.col("range").alias("b_range"), F.expr("sum(n) OVER (PARTITION BY shard ORDER BY range) - n").alias("before")
+    )
+    placed = rows.withColumn("place", F.expr("row_number() OVER (PARTITION BY shard, range ORDER BY shiftrightunsigned(at, 32), at, doc_id, draw)"))
+    placed = placed.join(F.broadcast(before), (F.col("shard") == F.col("b_shard")) & (F.col("range") == F.col("b_range")))
+    return placed.select("shard", (F.col("before") + F.col("place") - 1).cast("long").alias("position"), "doc_id", "size", "draw")
+
+
 def op6_mixing(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents"))
+    """``mix`` with the shard:position of each document's draws."""
+    mixed = stored(mix(table(spark, sf_dir, "documents")), f"{shared_dir(spark)}/mixed")
+    placed = draws(mixed).groupBy(F.col("doc_id").alias("d_doc")).agg(F.array_sort(F.collect_list(F.struct("shard", "position"))).alias("places"))
+    text = F.array_join(F.transform("places", lambda x: F.concat_ws(":", x["shard"].cast("string"), x["position"].cast("string"))), ",")
+    return mixed.join(placed, F.col("doc_id") == F.col("d_doc"), "left").select(*mixed.columns, F.coalesce(text, F.lit("")).alias("draws"))
 
 
 def mixing_stage(spark, docs, sf_dir):

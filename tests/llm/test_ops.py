@@ -297,6 +297,17 @@ def test_mix(spark, texts):
         assert all(abs(r.target - want) < 1e-6 for r in by[k]) and want - 50 <= sum(r.taken for r in by[k]) <= want + 1e-6
 
 
+def test_every_draw_has_a_place(spark):
+    mixed = op6_mixing.mix(docs(spark, ["w " * (k % 50) for k in range(120)])).cache()
+    rows = op6_mixing.draws(mixed, ranges=4).collect()
+    taken, shards = {}, {}
+    for r in rows:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.size
+        shards.setdefault(r.shard, []).append(r.position)
+    assert all(taken.get(r.doc_id, 0) == r.taken and len([x for x in rows if x.doc_id == r.doc_id]) == r.copies + r.part_copy for r in mixed.collect())
+    assert any(r.part_copy for r in mixed.collect()) and all(sorted(v) == list(range(len(v))) for v in shards.values())
+
+
 # 7: line dedup
 
 
