@@ -38,6 +38,14 @@ def stored(df: DataFrame, where: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_slices(column: pa.Array, limit: int):
     """Ranges of rows of ``column`` of about ``limit`` bytes of text each (one row at least)."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -5,42 +5,44 @@ The Jaccard distance ``1 - |A & B| / |A | B|`` is a metric; documents link when
 
 1. *Sets.* A text's shingles become 64-bit codes; documents with equal sets are collapsed to the one
    with the smallest identifier, so copies by the thousand are one point of the space.
-2. *Pivots and regions.* In most text the distance of two documents is 1, so pivots drawn at random
-   would put every document into every region. Pivots are taken where documents are: for each code
-   in a set's prefix (the codes that any linked partner must share one of) the document with the smallest share
-   of codes of its own is the pivot, and a document enters the Voronoi region of every pivot among its codes.
-   Two documents that link share a prefix code, so both lie in the region of its pivot. The prefix
-   may follow any one order of all codes: first come the codes of a zone (the lowest ``zone`` of the hash
-   range) that stand in one document only, then the others of the zone by classes of frequency, then the rest. Most documents
-   have a prefix of codes that nobody shares: they can link with none and enter no region; passages that
-   many documents have lead to none. The count is repeated among the documents that are left, over the
-   whole hash range, which leaves those whose text is shared for four fifths. Bloom filters of bounded size say which codes are shared by how many; their errors move a code
-   in the order, for all documents alike, and change no result.
-3. *Windows.* Each document's distance to its pivots is found exactly (or bounded from the prefixes when
-   the bound already excludes a link). Documents within eps of the pivot are the inner ball: they
-   are connected through it and need no comparison with each other. A document outside the ball can link
-   only to members whose distance to the pivot differs by at most eps: just those boundary pairs
-   are made.
-4. *Recursion.* The documents outside the ball become pivots of the region in turn, first the most central one
-   a few times, then the others in classes of about ``pivots_per_round``; what has joined the ball meanwhile is no pivot any more. It ends when nothing
-   is left outside, so the join is exact: a pair is skipped only where both are connected already or
-   the triangle inequality or a prefix bound excludes a link.
-   Where all links are wanted (the query counts them), every member of a region is compared with the others
-   inside its window, ball or not, in one round instead of the recursion.
-5. *Components* of all links, then back from sets to documents.
-
-Regions are never gathered in one task: they are rows, minima are taken map-side, and joins are
-sort-merge joins over stored tables that Spark splits where they are skewed.
+2. *Territories.* In most text the distance of two documents is 1, so pivots drawn at random from all documents
+   could not split this space. The first pivots are taken where documents are: for each code in a set's prefix (the
+   codes that any linked partner must share one of) the document with the smallest share of codes of its own is the
+   pivot, and a document enters the territory of the pivot of each code of its prefix. Two documents that link share a
+   prefix code, so both lie in its pivot's territory. The prefix may follow any one order of all codes: first come the
+   codes of a zone (the lowest ``zone`` of the hash range) that stand in one document only, then the others of the zone
+   by classes of frequency, then the rest. Most documents have a prefix of codes that nobody shares: they can link with
+   none and enter no territory. The count is repeated among the documents that are left, over the whole hash range,
+   which leaves those whose text is shared for four fifths. Bloom filters of bounded size say which codes are shared by
+   how many; their errors move a code in the order, for all documents alike, and change no result.
+3. *Voronoi regions and windows, recursively.* A territory of more than a block of documents is split: its pivot and
+   up to ``sub_pivots`` of its documents are pivots, each document belongs to the region of the nearest, and it is
+   replicated to a region of lower number only if its distance to that pivot is at most 2 eps more than to its own (by
+   the triangle inequality it can link with no document of the region otherwise). Regions that are still larger are
+   split again by new pivots among their own documents. A pair counts in one region only: that of lower number of its
+   two, and of all territories that both are in, the one with the smallest pivot.
+4. *Dense regions.* Where a split would not help, as in a group of near copies within 2 eps of each other, the
+   region's documents are laid out in rings by their distance to its pivot and cut into blocks; two blocks meet in
+   one task if their rings are at most eps apart. A document is sent once for each such block, so the rows grow
+   with documents times blocks, never with pairs. Where only components are wanted (the pipeline stage), documents
+   within eps of the pivot are linked through it and their blocks do not meet.
+5. *Blocks.* Within a block, or two that meet, all intersections are counted at once (a matrix product for frequent
+   codes, runs for the others). A row for each document comes out: its number of links there and the smallest document
+   it is connected to, never a pair.
+6. *Components* of these connections, then back from sets to documents.
+
+The join is exact: a pair is left out only where a prefix or the triangle inequality excludes a link. Joins
+are sort-merge joins over stored tables that Spark splits where they are skewed.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; a text of
-fewer words than a shingle is one shingle; rows of one identifier are expected to have equal texts
-(else links of any hold for all); an empty table gives an empty table; other columns are not read.
+fewer words than a shingle is one shingle; a row without an identifier keeps its set size, links with nothing and has
+a null component; rows of one identifier are expected to have equal texts (else links of any hold for all);
+an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import shared_dir, stored, table, text_bytes, text_slices
+from .common import fresh, shared_dir, stored, table, text_bytes, text_slices
 from .components import components
 from .wordhash import SLICE, mix, runs, sequence, words
 
@@ -64,10 +66,15 @@ class Join:
     zones: tuple[float, ...] = (0.4, 1.0, 1.0)
     #: Numbers of documents from which a code stands later in the order of codes; six at most.
     frequent: tuple[int, ...] = (2, 6, 20, 64, 256, 1024)
-    #: Rounds with one new pivot for each region, before all that are left take their turn.
-    central_rounds: int = 1
-    pivots_per_round: int = 64
-    most_rounds: int = 4
+    #: Documents and codes of a block; two blocks at most meet in a task.
+    block_docs: int = 256
+    block_codes: int = 1 << 19
+    #: New pivots inside a region that is split, beside its own.
+    sub_pivots: int = 7
+    most_levels: int = 6
+    #: A split helps if it makes at most so many rows of each document, and no region of more than this share.
+    most_rows: float = 1.5
+    most_share: float = 0.75
 
     @property
     def eps(self) -> float:
@@ -82,7 +89,7 @@ class Join:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def shingles(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -151,7 +158,7 @@ def shared_codes(rows: DataFrame, j: Join, zone: float, where: str) -> list[np.n
 
 
 def candidates(rows: DataFrame, shared, j: Join, zone: float) -> DataFrame:
-    """id, n, rank, prefix and its codes that others may have, of documents that can link with any.
+    """id, n, rank, codes of the prefix that others may have, and all codes, of documents that can link with any.
 
     The rank is the share of codes that no other document has, in thousandths: of a text and its altered
     copies the text itself has the least, and as a pivot it links with most of them.
@@ -161,7 +168,7 @@ def candidates(rows: DataFrame, shared, j: Join, zone: float) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, texts in text_slices(batch.column(1), SLICE):
-                at, sizes, ranks, prefixes, keys = [], [], [], [], []
+                at, sizes, ranks, keys, sets = [], [], [], [], []
                 for k, u in enumerate(codes(texts, j), a):
                     inner = np.searchsorted(u, edge)
                     need = j.prefix(len(u))
@@ -175,193 +182,286 @@ def candidates(rows: DataFrame, shared, j: Join, zone: float) -> DataFrame:
                     at.append(k)
                     sizes.append(len(u))
                     ranks.append(1000 * own // max(int(inner), 1))
-                    prefixes.append(order.tobytes())
                     keys.append((order[own:] & np.uint64((1 << 61) - 1)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.array(ranks, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "rank", "prefix", "keys"])
+                    sets.append(u.tobytes() if zone >= 1 else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int32()), pa.array(ranks, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "n", "rank", "keys", "codes"])
 
-    return rows.mapInArrow(run, "id long, n int, rank int, prefix binary, keys array<long>")
+    return rows.mapInArrow(run, "id long, n int, rank int, keys array<long>, codes binary")
 
 
 def _ids(batch: pa.RecordBatch, k: int = 0) -> np.ndarray:
     return batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def regions(points: DataFrame, where: str) -> DataFrame:
-    """A row (pivot, id, rank) for each document in the region of a pivot other than itself."""
+def territories(points: DataFrame, where: str) -> DataFrame:
+    """A row (region, id) for each document in the territory of a pivot, the pivot too."""
     each = stored(points.select("id", "rank", F.explode("keys").alias("code")), f"{where}/keys")
     multi = each.groupBy("code").agg(F.min(F.struct("rank", "id")).alias("p"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    multi = stored(multi.select(F.col("code").alias("m_code"), F.col("p.id").alias("pivot")), f"{where}/pivots")
-    met = each.join(multi.hint("merge"), F.col("code") == F.col("m_code")).filter("id <> pivot")
-    return stored(met.groupBy("pivot", "id").agg(F.min("rank").alias("rank")), f"{where}/regions")
+    multi = stored(multi.select(F.col("code").alias("m_code"), F.col("p.id").alias("region")), f"{where}/pivots")
+    met = each.join(multi.hint("merge"), F.col("code") == F.col("m_code")).groupBy("region", "id").agg(F.lit(1).alias("one"))
+    return stored(met.select("region", "id"), f"{where}/territories")
 
 
-def _most(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> int:
-    """An upper bound of the intersection of two sets from their prefixes."""
-    edge = min(a[-1], b[-1])
-    ka, kb = np.searchsorted(a, edge, "right"), np.searchsorted(b, edge, "right")
-    same = len(np.intersect1d(a[:ka], b[:kb], assume_unique=True))
-    return int(same + min(na - ka, nb - kb))
-
-
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (id first) of these ids and few others: a filter of bounded size instead of a shuffle of all."""
-    filt = rows.sparkSession.sparkContext.broadcast(blobs.bloom(ids, ids.count(), _ids))
+def _filtered(rows: DataFrame, shared) -> DataFrame:
+    """The rows (id first) whose identifier passes a shared Bloom filter."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(blobs.bloom_has(filt.value, _ids(batch))))
+            yield batch.filter(pa.array(blobs.bloom_has(shared.value, _ids(batch))))
 
     return rows.mapInArrow(run, rows.schema)
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def intersections(sets: list[np.ndarray], frequent: int = 16) -> np.ndarray:
+    """Sizes of the intersections of all sets: frequent codes by a matrix product, the others along runs of equal codes."""
+    m = len(sets)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(m), [len(u) for u in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    head = np.flatnonzero(new)
+    count = np.diff(np.append(head, len(flat)))
+    each = np.repeat(count, count)
+    some = (each > 1) & (each < frequent)
+    run, mine = np.repeat(head, count)[some], owner[some]
+    inter = np.zeros(m * m, np.int64)
+    for step in range(1, min(frequent - 1, m)):
+        same = run[step:] == run[:-step]
+        if not same.any():
+            break
+        inter += np.bincount(mine[:-step][same] * m + mine[step:][same], minlength=m * m)
+    inter = inter.reshape(m, m)
+    many = each >= frequent
+    if many.any():
+        column, mine = np.repeat(np.arange(len(head)), count)[many], owner[many]
+        column = np.cumsum(np.append(0, column[1:] != column[:-1]))
+        wide = 1 << 12
+        for lo in range(0, int(column[-1]) + 1, wide):
+            a, b = np.searchsorted(column, [lo, lo + wide])
+            has = np.zeros((m, int(column[b - 1]) - lo + 1), np.float32)
+            has[mine[a:b], column[a:b] - lo] = 1
+            inter += np.triu(has @ has.T, 1).astype(np.int64)
+    return inter
+
+
+def _compared(unit: dict[str, list], region: int, apart: bool, j: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of documents with a link, place of the smallest connected document, number of linked rows)."""
+    n, copies, alien, side = (np.array(unit[c], np.int64) for c in ("n", "copies", "alien", "side"))
+    inter = intersections(unit["codes"])
+    link = (inter > 0) & (j.den * inter >= j.num * (n[:, None] + n[None, :] - inter)) & ((alien[:, None] & alien[None, :]) == 0)
+    if apart:
+        link &= side[:, None] != side[None, :]
+    # a pair that several territories hold counts in the one with the smallest pivot
+    lower = [p[p < region] for p in unit["pivots"]]
+    sizes = [len(p) for p in lower]
+    if sum(sizes) and link.any():
+        values, column = np.unique(np.concatenate(lower), return_inverse=True)
+        owner, shared = np.repeat(np.arange(len(n)), sizes), np.zeros((len(n), len(n)), np.float32)
+        for lo in range(0, len(values), 1 << 12):
+            cut = (column >= lo) & (column < lo + (1 << 12))
+            has = np.zeros((len(n), min(len(values) - lo, 1 << 12)), np.float32)
+            has[owner[cut], column[cut] - lo] = 1
+            shared += has @ has.T
+        link &= shared == 0
+    link |= link.T
+    label = np.arange(len(n))
+    while True:
+        least = np.minimum(label, np.where(link, label[None, :], len(n)).min(1))
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            break
+        label = least
+    at = np.flatnonzero(link.any(1))
+    return at, label[at], (link @ copies)[at]
 
 
-def _beside(pairs: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
-    """Pairs with the named columns of rows for both ends."""
-    for end in ("b", "a"):
-        mine = rows.select(F.col("id").alias(f"{end}_id"), *[F.col(c).alias(f"{end}_{c}") for c in names])
-        pairs = pairs.join(mine.hint("merge"), F.col(end) == F.col(f"{end}_id")).drop(f"{end}_id")
-    return pairs
+UNIT = ["unit", "region", "apart", "id", "n", "copies", "alien", "side", "pivots", "codes"]
 
 
-@contextmanager
-def _small_batches(spark, rows: int = 128):
-    """Whole sets travel in small Arrow batches: a batch of the usual number of rows may be gigabytes."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def compared(units: DataFrame, j: Join) -> DataFrame:
+    """A row (id, low, others) for each document of a unit with links: the smallest document it is connected to there, and its links.
 
+    The rows of a unit come together, in order; one unit is held at a time.
+    """
 
-def distances(pairs: DataFrame, points: DataFrame, rows: DataFrame, j: Join, where: str) -> DataFrame:
-    """For distinct pairs (a, b): d (a lower bound of the distance, exact where ``exact``) and linked."""
-    pairs = stored(pairs, f"{where}/pairs")
+    def found(key, unit: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        if len(unit["id"]) > 1:
+            order = sorted(range(len(unit["id"])), key=unit["id"].__getitem__)
+            unit = {c: [v[k] for k in order] for c, v in unit.items()}
+            at, low, others = _compared(unit, key[1], key[2], j)
+            if len(at):
+                ids = np.array(unit["id"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[low]), pa.array(others)], ["id", "low", "others"])
 
-    def bound(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            d, maybe = np.ones(batch.num_rows), np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-                most = min(na[k], nb[k])
-                if j.linked(most, na[k], nb[k]):
-                    most = min(most, _most(np.frombuffer(x.as_buffer(), np.uint64), na[k], np.frombuffer(y.as_buffer(), np.uint64), nb[k]))
-                d[k] = 1 - most / (na[k] + nb[k] - most)
-                maybe[k] = j.linked(most, na[k], nb[k])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d), pa.array(maybe)], ["a", "b", "d", "maybe"])
-
-    near = _beside(pairs, _only(points.select("id", "n", "prefix"), _ends(pairs)), ["n", "prefix"])
-    with _small_batches(pairs.sparkSession, 1024):
-        checked = stored(near.select("a", "b", "a_n", "b_n", "a_prefix", "b_prefix").mapInArrow(bound, "a long, b long, d double, maybe boolean"), f"{where}/bounds")
-    left = checked.filter("maybe").select("a", "b")
-
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, unit = None, {c: [] for c in UNIT[3:]}
         for batch in batches:
-            for a, b, texts in text_slices(batch.column(1), SLICE):
-                found = [u.tobytes() for u in codes(texts, j)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.binary())], ["id", "codes"])
+            plain = {c: batch.column(k).to_pylist() for k, c in enumerate(UNIT[:8])}
+            pivots, sets = batch.column(8), batch.column(9)
+            for k in range(batch.num_rows):
+                key = (plain["unit"][k], plain["region"][k], plain["apart"][k])
+                if key != now:
+                    if now is not None:
+                        yield from found(now, unit)
+                    now, unit = key, {c: [] for c in UNIT[3:]}
+                for c in UNIT[3:8]:
+                    unit[c].append(plain[c][k])
+                unit["pivots"].append(np.array(pivots[k].as_py(), np.int64))
+                unit["codes"].append(np.frombuffer(sets[k].as_py(), np.uint64))
+        if now is not None:
+            yield from found(now, unit)
+
+    return units.select(*UNIT).repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "id long, low long, others long")
+
+
+CELL = ["region", "path"]
+
+
+def _same_cell(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows joined with a table by cell (null-free); the other table's names stay, its cell goes."""
+    named = other.withColumnsRenamed({c: f"c_{c}" for c in CELL})
+    met = rows.join(named.hint("merge"), (F.col("region") == F.col("c_region")) & (F.col("path") == F.col("c_path")), how)
+    return met.drop("c_region", "c_path") if how != "left_anti" else met
+
 
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_pivots(cells: DataFrame, sets: DataFrame, j: Join, level: int, where: str) -> DataFrame:
+    """For each document of each cell its row in every Voronoi region that it belongs to or is replicated to.
+
+    Region 0 is that of the cell's own centre. ``d`` is the distance to the region's pivot, ``d0`` to the centre.
+    """
+    drawn = cells.groupBy(*CELL, F.pmod(F.xxhash64(F.lit(level), "id"), F.lit(j.sub_pivots)).alias("part")).agg(F.min(F.struct(F.xxhash64(F.lit(level + 99), "id").alias("h"), "id")).alias("p"))
+    drawn = drawn.select(*CELL, (F.col("part") + 1).cast("int").alias("idx"), F.col("p.id").alias("p_id"))
+    centre = cells.groupBy(*CELL).agg(F.min("centre").alias("p_id")).select(*CELL, F.lit(0).alias("idx"), "p_id")
+    pivots = centre.unionByName(drawn).join(sets.select(F.col("id").alias("s_id"), F.col("n").alias("p_n"), F.col("codes").alias("p_codes")).hint("merge"), F.col("p_id") == F.col("s_id"))
+    # at most sub_pivots + 1 sets for each cell
+    pivots = stored(pivots.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("idx", "p_id", "p_codes"))).alias("pivots")), f"{where}/pivots-{level}")
+    own = cells.select(*CELL, "id", "alien").join(sets.select(F.col("id").alias("s_id"), "n", "codes").hint("merge"), F.col("id") == F.col("s_id")).drop("s_id")
+    slack, bit = 2 * j.eps + 1e-9, 1 << level
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, linked = [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                inter = len(np.intersect1d(x, y, assume_unique=True))
-                d.append(1 - inter / max(len(x) + len(y) - inter, 1))
-                linked.append(bool(inter and j.linked(inter, len(x), len(y))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "d", "linked"])
-
-    whole = _beside(left, _only(rows, _ends(left)).mapInArrow(sets, "id long, codes binary"), ["codes"])
-    exact = whole.select("a", "b", "a_codes", "b_codes").mapInArrow(verify, "a long, b long, d double, linked boolean").withColumn("exact", F.lit(True))
-    far = checked.filter("not maybe").select("a", "b", "d", F.lit(False).alias("linked"), F.lit(False).alias("exact"))
-    with _small_batches(pairs.sparkSession):
-        return stored(exact.unionByName(far), f"{where}/distances")
-
-
-def _boundary(members: DataFrame, outer: DataFrame, eps: float) -> DataFrame:
-    """Pairs of a region's new pivots with its other members that the triangle inequality lets link."""
-    p = outer.select(F.col("pivot").alias("p_pivot"), F.col("id").alias("p_id"), F.col("d").alias("p_d"), F.col("exact").alias("p_exact"))
-    met = members.join(p.hint("merge"), F.col("pivot") == F.col("p_pivot")).filter("id <> p_id")
-    slack = eps + 1e-9
-    met = met.filter(~((F.col("exact") & (F.col("p_d") - F.col("d") > slack)) | (F.col("p_exact") & (F.col("d") - F.col("p_d") > slack))))
-    return met.select(F.greatest("id", "p_id").alias("a"), F.least("id", "p_id").alias("b")).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
-
-
-def links(rows: DataFrame, points: DataFrame, j: Join, where: str) -> DataFrame:
-    """Links (a, b) between documents of different sets that have the components of all links."""
-    met = regions(points, where)
-    first = distances(met.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct(), points, rows, j, f"{where}/pivot-distances")
-    found, seen = [first.filter("linked").select("a", "b")], [first.select("a", "b")]
-    on = (F.greatest("id", "pivot") == F.col("a")) & (F.least("id", "pivot") == F.col("b"))
-    members = met.join(first.hint("merge"), on).select("pivot", "id", "rank", "d", "linked", "exact")
-    # a region needs more only if it has several members and one of them is outside the ball
-    sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("linked")).alias("outer")).filter("members > 1 and outer > 0")
-    sizes = stored(sizes.select(F.col("pivot").alias("s_pivot")), f"{where}/sizes")
-    open_ = stored(members.join(sizes.hint("merge"), F.col("pivot") == F.col("s_pivot")).drop("s_pivot"), f"{where}/open")
-    outside, turn, classes = open_.filter("not linked"), 0, 0
-    while True:
-        if turn:  # what is connected to its region's pivot by now is outside no more
-            label = components(_all(found), f"{where}/labels-{turn}")
-            outside = (
-                outside.join(label.select(F.col("node").alias("id"), F.col("label").alias("mine")), "id", "left")
-                .join(label.select(F.col("node").alias("pivot"), F.col("label").alias("its")), "pivot", "left")
-                .filter("not coalesce(mine, id) <=> coalesce(its, pivot)").drop("mine", "its")
-            )
-        if turn < j.central_rounds:  # first the most central document outside, for each region
-            outside = stored(outside, f"{where}/outside-{turn}")
-            if outside.isEmpty():
-                break
-            best = outside.groupBy("pivot").agg(F.min(F.struct("rank", "id")).alias("b")).select(F.col("pivot").alias("b_pivot"), F.col("b.id").alias("b_id"))
-            chosen = (F.col("pivot") == F.col("b_pivot")) & (F.col("id") == F.col("b_id"))
-            now = outside.join(best.hint("merge"), chosen).drop("b_pivot", "b_id")
-            outside = outside.join(best.hint("merge"), chosen, "left_anti")
-        else:  # then all that are left, in classes
-            if turn == j.central_rounds:
-                left = outside.groupBy("pivot").agg(F.count(F.lit(1)).alias("outer")).withColumnRenamed("pivot", "o_pivot")
-                outside = outside.join(left.hint("merge"), F.col("pivot") == F.col("o_pivot")).drop("o_pivot")
-            outside = stored(outside, f"{where}/outside-{turn}")
-            if turn == j.central_rounds:
-                most = outside.agg(F.max("outer")).first()[0] or 0
-                per_round = max(j.pivots_per_round, -(-most // j.most_rounds))
-                classes = -(-most // per_round)
-                outside = outside.withColumn("turn", F.pmod(F.xxhash64("id"), F.ceil(F.col("outer") / per_round)).cast("int") + turn)
-            if turn >= j.central_rounds + classes:
-                break
-            now, outside = outside.filter(F.col("turn") == turn), outside.filter(F.col("turn") > turn)
-        known = _all(seen).withColumnsRenamed({"a": "k_a", "b": "k_b"})
-        pairs = _boundary(open_, now, j.eps).join(known.hint("merge"), (F.col("a") == F.col("k_a")) & (F.col("b") == F.col("k_b")), "left_anti")
-        more = distances(pairs, points, rows, j, f"{where}/round-{turn}")
-        found.append(more.filter("linked").select("a", "b"))
-        seen.append(more.select("a", "b"))
-        turn += 1
-    return _all(found)
-
-
-def every_link(rows: DataFrame, points: DataFrame, j: Join, where: str) -> DataFrame:
-    """All links (a, b) between documents of different sets, those inside the balls too: every member of a region is its pivot."""
-    met = regions(points, where)
-    first = distances(met.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct(), points, rows, j, f"{where}/pivot-distances")
-    on = (F.greatest("id", "pivot") == F.col("a")) & (F.least("id", "pivot") == F.col("b"))
-    members = stored(met.join(first.hint("merge"), on).select("pivot", "id", "d", "exact"), f"{where}/members")
-    known = first.select(F.col("a").alias("k_a"), F.col("b").alias("k_b"))
-    pairs = _boundary(members, members, j.eps).join(known.hint("merge"), (F.col("a") == F.col("k_a")) & (F.col("b") == F.col("k_b")), "left_anti")
-    more = distances(pairs, points, rows, j, f"{where}/member-distances")
-    return stored(_all([first, more]).filter("linked").select("a", "b"), f"{where}/every-link")
+            out: dict[str, list] = {c: [] for c in ("region", "path", "id", "alien", "idx", "centre", "d", "d0", "home")}
+            for region, path, one, alien, _, mine, pivots in zip(*(batch.column(k) for k in range(7)), strict=True):
+                mine, path = np.frombuffer(mine.as_py(), np.uint64), path.as_py()
+                d, ids = [], []
+                for p in pivots.as_py():
+                    other = np.frombuffer(p["p_codes"], np.uint64)
+                    inter = len(np.intersect1d(mine, other, assume_unique=True))
+                    d.append(1 - inter / max(len(mine) + len(other) - inter, 1))
+                    ids.append(p["p_id"])
+                home = int(np.argmin(d))
+                for k in range(home + 1):
+                    if k == home or d[k] <= d[home] + slack:
+                        for c, v in zip(out, (region.as_py(), path, one.as_py(), alien.as_py() | (0 if k == home else bit), k, ids[k], d[k], d[0], k == home), strict=True):
+                            out[c].append(v)
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
+
+    met = _same_cell(own, pivots).select(*CELL, "id", "alien", "n", "codes", "pivots")
+    return stored(met.mapInArrow(run, "region long, path string, id long, alien long, idx int, centre long, d double, d0 double, home boolean"), f"{where}/regions-{level}")
+
+
+def _sizes(cells: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
+    sized = cells.select(*keys, "id").join(sets.select(F.col("id").alias("s_id"), "n").hint("merge"), F.col("id") == F.col("s_id"))
+    return sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("codes"))
+
+
+def _dense_units(cells: DataFrame, sets: DataFrame, j: Join, every: bool, where: str) -> tuple[DataFrame, DataFrame]:
+    """Units of two blocks each of the dense cells (rows with d0), and links with their centres."""
+    ring = F.floor(F.col("d0") * (2 / j.eps) + 1e-9).cast("int").alias("ring")
+    rows = stored(cells.select(*CELL, "id", "alien", "centre", "d0", ring), f"{where}/dense")
+    parts = F.greatest(F.ceil(F.col("docs") / j.block_docs), F.ceil(F.col("codes") / j.block_codes)).cast("int")
+    sizes = stored(_sizes(rows, sets, [*CELL, "ring"]).select(*CELL, "ring", parts.alias("parts")), f"{where}/rings")
+    blocks = sizes.select(*CELL, F.col("ring").alias("ring"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    other = blocks.select("region", "path", F.col("ring").alias("o_ring"), F.col("part").alias("o_part"))
+    # documents in rings three apart are further than eps from each other
+    meet = _same_cell(blocks, other).filter("o_ring - ring between 0 and 2 and (o_ring > ring or o_part >= part)")
+    if not every:
+        meet = meet.filter("o_ring > 1")  # documents in rings 0 and 1 are linked to the centre
+    unit = F.concat_ws("/", "region", "path", "ring", "part", "o_ring", "o_part").alias("unit")
+    apart = ((F.col("ring") != F.col("o_ring")) | (F.col("part") != F.col("o_part"))).alias("apart")
+    both = meet.select(*CELL, unit, apart, F.explode(F.array(F.struct("ring", "part", F.lit(0).alias("side")), F.struct(F.col("o_ring").alias("ring"), F.col("o_part").alias("part"), F.lit(1).alias("side")))).alias("b"))
+    both = both.select(*CELL, "unit", "apart", F.col("b.ring").alias("b_ring"), F.col("b.part").alias("b_part"), F.col("b.side").alias("side")).filter("apart or side = 0")
+    dealt = rows.join(sizes.select(*[F.col(c).alias(f"z_{c}") for c in [*CELL, "ring"]], "parts").hint("merge"), (F.col("region") == F.col("z_region")) & (F.col("path") == F.col("z_path")) & (F.col("ring") == F.col("z_ring")))
+    dealt = dealt.select(*CELL, "id", "alien", "ring", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    units = stored(_same_cell_block(dealt, both).select("unit", "region", "apart", "id", "alien", "side"), f"{where}/dense-units")
+    near = rows.filter("ring < 2 and id <> centre").select("id", F.col("centre").alias("low"))
+    return units, near
+
+
+def _same_cell_block(dealt: DataFrame, both: DataFrame) -> DataFrame:
+    named = both.withColumnsRenamed({c: f"c_{c}" for c in CELL})
+    on = (F.col("region") == F.col("c_region")) & (F.col("path") == F.col("c_path")) & (F.col("ring") == F.col("b_ring")) & (F.col("part") == F.col("b_part"))
+    return dealt.join(named.hint("merge"), on)
+
+
+def links(points: DataFrame, j: Join, where: str, every: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, low): connections that have the components of all links; (id, others): rows linked with, complete where ``every``."""
+    sets = points.select("id", "n", "copies", "codes")
+    met = territories(points, where)
+    pivots = stored(met.groupBy(F.col("id").alias("v_id")).agg(F.sort_array(F.collect_list("region")).alias("pivots")), f"{where}/pivot-lists")
+    cells = met.select("region", F.lit("").alias("path"), "id", F.lit(0).cast("long").alias("alien"), F.col("region").alias("centre"))
+    units, dense = [], []
+    for level in range(j.most_levels + 1):
+        sizes = stored(_sizes(cells, points, CELL), f"{where}/sizes-{level}")
+        large = (F.col("docs") > j.block_docs) | (F.col("codes") > j.block_codes)
+        big = sizes.filter(large & (F.col("docs") > 1)).select(*CELL)
+        if big.isEmpty():
+            units.append(cells)
+            break
+        units.append(_same_cell(cells, big, "left_anti"))
+        split = _to_pivots(_same_cell(cells, big), points, j, level, where)
+        parts = split.groupBy(*CELL, "idx").agg(F.count(F.lit(1)).alias("rows"), F.count_if("home").alias("own"))
+        whole = parts.groupBy(*CELL).agg(F.sum("rows").alias("rows"), F.sum("own").alias("own"), F.max("rows").alias("most"))
+        useful = (F.col("rows") <= j.most_rows * F.col("own")) & (F.col("most") <= j.most_share * F.col("own")) if level < j.most_levels else F.lit(False)
+        judged = stored(whole.select(*CELL, useful.alias("useful")), f"{where}/judged-{level}")
+        split = _same_cell(split, judged)
+        dense.append(split.filter("home and not useful").select(*CELL, "id", F.col("alien").alias("alien"), "d0"))
+        dense[-1] = _same_cell(dense[-1], cells.groupBy(*CELL).agg(F.min("centre").alias("centre")))
+        cells = stored(split.filter("useful").select("region", F.concat_ws(".", "path", F.col("idx").cast("string")).alias("path"), "id", "alien", "centre"), f"{where}/cells-{level + 1}")
+    small = _all(units).select(F.concat_ws("/", "region", "path").alias("unit"), "region", F.lit(False).alias("apart"), "id", "alien", F.lit(0).alias("side"))
+    near = None
+    if dense:
+        more, near = _dense_units(_all(dense), points, j, every, f"{where}/dense")
+        small = small.unionByName(more)
+    # codes are joined by document, once for each unit it is in
+    whole = small.join(pivots.hint("merge"), F.col("id") == F.col("v_id")).join(sets.withColumnRenamed("id", "s_id").hint("merge"), F.col("id") == F.col("s_id"))
+    found = stored(compared(whole, j), f"{where}/found")
+    low = found.filter("id <> low").select("id", "low")
+    return (low if near is None else low.union(near)), found.groupBy("id").agg(F.sum("others").alias("others"))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
-        out = out.union(part)
+        out = out.unionByName(part)
     return out
 
 
+def _points(rows: DataFrame, sets: DataFrame, j: Join, where: str) -> DataFrame:
+    """id, n, copies, rank, keys and codes of one document of each set that can link with another."""
+    spark = rows.sparkSession
+    firsts = sets.select(F.col("first").alias("f_id"), F.col("n").alias("f_n"), "copies")
+    points, left, narrowed = None, rows.filter("id is not null"), None
+    for k, zone in enumerate(j.zones):
+        if points is not None:
+            ids = points.select("id")
+            narrowed = spark.sparkContext.broadcast(blobs.bloom(ids, ids.count(), _ids))
+            left = _filtered(rows.filter("id is not null"), narrowed)
+        shared = spark.sparkContext.broadcast(shared_codes(left, j, zone, f"{where}/narrow-{k}"))
+        able = candidates(left, shared, j, zone).join(firsts.hint("merge"), (F.col("id") == F.col("f_id")) & (F.col("n") == F.col("f_n")))
+        # rows that repeat an identifier are one point
+        points = stored(able.select("id", "n", "copies", "rank", "keys", "codes").dropDuplicates(["id", "n"]), f"{where}/narrow-{k}/points")
+        for sent in (shared, narrowed):
+            if sent is not None:
+                sent.destroy()
+    return points
+
+
 def join_documents(docs: DataFrame, j: Join = Join(), id_col: str = "doc_id", text_col: str = "text", every: bool = True) -> DataFrame:
-    """id, n_shingles, component_id and n_links of each row with an identifier.
+    """id, n_shingles, component_id and n_links of each row.
 
     ``n_links`` counts the other rows a row links with, copies too. Without ``every`` it is left out, and only as
     many links are looked for as the components need.
@@ -369,27 +469,16 @@ def join_documents(docs: DataFrame, j: Join = Join(), id_col: str = "doc_id", te
     spark = docs.sparkSession
     where, rows = shared_dir(spark), _rows(docs, id_col, text_col)
     signed = stored(signatures(rows, j), f"{where}/signatures")
-    sets = stored(signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), f"{where}/sets")
-    firsts = sets.select(F.col("first").alias("f_id"), F.col("n").alias("f_n"))
-    points, left = None, rows
-    for k, zone in enumerate(j.zones):
-        left = rows if points is None else _only(rows, points.select("id"))
-        shared = spark.sparkContext.broadcast(shared_codes(left, j, zone, f"{where}/narrow-{k}"))
-        able = candidates(left, shared, j, zone).join(firsts.hint("merge"), (F.col("id") == F.col("f_id")) & (F.col("n") == F.col("f_n")))
-        points = stored(able.select("id", "n", "rank", "prefix", "keys"), f"{where}/narrow-{k}/points")
-        shared.destroy()
-    found = every_link(rows, points, j, where) if every else links(rows, points, j, where)
-    label = components(found, f"{where}/components")
+    sets = stored(signed.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), f"{where}/sets")
+    near, degree = links(_points(rows, sets, j, where), j, where, every)
+    label = components(near.select(F.col("id").alias("a"), F.col("low").alias("b")), f"{where}/components")
     named = sets.join(label.hint("merge"), F.col("first") == F.col("node"), "left").drop("node")
     if every:
-        both = found.select(F.col("a").alias("l_id"), F.col("b").alias("other")).union(found.select("b", "a"))
-        sizes = sets.select(F.col("first").alias("o_id"), F.col("copies").alias("o_copies"))
-        degree = both.join(sizes.hint("merge"), F.col("other") == F.col("o_id")).groupBy("l_id").agg(F.sum("o_copies").alias("others"))
-        named = named.join(degree.hint("merge"), F.col("first") == F.col("l_id"), "left")
+        named = named.join(degree.hint("merge"), F.col("first") == F.col("id"), "left").drop("id")
     n_links = [(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")] if every else []
     named = stored(named.select("h1", "h2", F.col("n").alias("s_n"), F.coalesce("label", "first").alias("component_id"), *n_links), f"{where}/named")
     out = signed.select("id", F.col("n").alias("n"), F.col("h1").alias("d1"), F.col("h2").alias("d2")).join(
-        named.hint("merge"), (F.col("d1") == F.col("h1")) & (F.col("d2") == F.col("h2")) & (F.col("n") == F.col("s_n")), "left"
+        named.hint("merge"), F.col("id").isNotNull() & (F.col("d1") == F.col("h1")) & (F.col("d2") == F.col("h2")) & (F.col("n") == F.col("s_n")), "left"
     )
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if every else []))
 
@@ -399,9 +488,10 @@ def op1_ngram_join(spark, sf_dir):
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
-    """Pipeline stage: of each component the document with the smallest identifier stays."""
-    found = join_documents(docs, every=False).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("gone"), "left_anti").select(*docs.columns)
+    """Pipeline stage: of each component the document with the smallest identifier stays, and rows without an identifier."""
+    found = join_documents(docs, every=False).filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = found.withColumnRenamed("doc_id", fresh("gone", docs.columns))
+    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
 
 
 QUERIES = {"op1_ngram_join": op1_ngram_join}
