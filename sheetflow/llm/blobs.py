@@ -73,3 +73,17 @@ def bloom_has(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def bloom(rows: DataFrame, entries: int, key: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
     """A Bloom filter over the keys of all rows."""
     return gather(rows, lambda table, batch: bloom_add(table, key(batch)), bloom_size(entries) // 8, "uint8", np.bitwise_or)
+
+
+def nested_blooms(rows: DataFrame, entries: list[int], key: Callable[[pa.RecordBatch], np.ndarray], level: Callable[[pa.RecordBatch], np.ndarray]) -> list[np.ndarray]:
+    """Bloom filters gathered in one pass: the k-th over the keys whose level is above k."""
+    ends = np.cumsum([bloom_size(n) // 8 for n in entries])
+    cuts = list(zip([0, *ends[:-1]], ends, strict=True))
+
+    def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
+        keys, above = key(batch), level(batch)
+        for k, (lo, hi) in enumerate(cuts):
+            bloom_add(table[lo:hi], keys[above > k])
+
+    every = gather(rows, fill, int(ends[-1]), "uint8", np.bitwise_or)
+    return [every[lo:hi] for lo, hi in cuts]

@@ -147,14 +147,13 @@ def shared_codes(rows: DataFrame, j: Join, zone: float, where: str) -> list[np.n
 
     each = rows.mapInArrow(run, "code long, id long").groupBy("code").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("docs"))
     shared = stored(each.filter("low < high").select("code", "docs"), f"{where}/shared")
-    out = []
-    for least in j.frequent if zone >= 1 else j.frequent[:1]:
-        some = shared.filter(F.col("docs") >= least).select("code")
-        entries = some.count()
-        if not entries:
-            break
-        out.append(blobs.bloom(some, entries, _ids))
-    return out
+    limits = j.frequent if zone >= 1 else j.frequent[:1]
+    counts = shared.agg(*[F.count_if(F.col("docs") >= least).alias(f"c{k}") for k, least in enumerate(limits)]).first()
+    counts = [n for n in counts if n]
+    if not counts:
+        return []
+    level = lambda batch: np.searchsorted(limits, batch.column(1).to_numpy(zero_copy_only=False), "right")
+    return blobs.nested_blooms(shared.select("code", "docs"), counts, _ids, level)
 
 
 def candidates(rows: DataFrame, shared, j: Join, zone: float) -> DataFrame:
