@@ -2,9 +2,13 @@
 
 All routes of a class live side by side in one DataFrame: a struct of target columns, an array of errors and
 a failed flag for each route. Validation, temporal conversion and foreign key injection are column expressions;
-lookups are left joins with a table aggregated by its key; uniqueness and the foreign key preflight are an
-aggregation and a distinct key set joined back. No step makes more than one shuffle, and none windows over or
-gathers the rows of a key.
+lookups are left joins with a table aggregated by its key. Uniqueness of all routes is one aggregation by (route, key)
+and one join back by row, and so is the foreign key preflight of the routes that need one: the sheet is read three times
+for a class however many routes it has (nine times with such a preflight), and nothing windows over or gathers the rows
+of a key.
+
+The preflight tests keys against the parents that passed uniqueness, all routes at once. A key injected from
+an ancestor needs no test: a route that did not fail has ancestors that did not fail, in the same row and so in the batch.
 """
 
 from __future__ import annotations
@@ -191,78 +195,97 @@ def compile_class(sheet: DataFrame, profile: Profile, spec: ClassSpec, catalogue
         failed[route.table] = F.col(f"failed_{k}")
         bound[route.table] = list(columns)
     out = Compiled(spec, routes, rows, bound)
-    for k, route in enumerate(routes):
-        out.rows = unique(out, k, route, route.table in parents)
-        out.rows = inherit(out, k)
-    for k, route in enumerate(routes):
-        for f in route.inject:
-            out.rows = preflight(out, k, route, f, catalogue)
-        out.rows = inherit(out, k)
+    out.rows = inherit(out, unique(out, parents))
+    out.rows = inherit(out, preflight(out, catalogue))
     return out
 
 
-def inherit(c: Compiled, k: int) -> DataFrame:
+def inherit(c: Compiled, rows: DataFrame) -> DataFrame:
     """A route fails with its parent."""
-    parent = c.routes[k].parent
-    if not parent:
+    for k, route in enumerate(c.routes):
+        if route.parent:
+            at = next(i for i, r in enumerate(c.routes) if r.table == route.parent)
+            rows = rows.withColumn(f"failed_{k}", F.col(f"failed_{k}") | F.col(f"failed_{at}"))
+    return rows
+
+
+def key_text(keys: list[Column]) -> Column:
+    """One text for a key: each part behind its length, so no two keys share one."""
+    parts = [k.cast("string") for k in keys]
+    return F.concat(*[F.concat(F.length(x).cast("string"), F.lit(":"), x) for x in parts])
+
+
+def _marked(c: Compiled, rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with the found errors (excel_row, k, e) added to their routes; at most one row of errors for each row."""
+    marks = found.groupBy(F.col("excel_row").alias("m_row")).agg(F.collect_list(F.struct("k", "e")).alias("marks"))
+    rows = rows.join(marks, F.col("excel_row") == F.col("m_row"), "left")
+    for k in range(len(c.routes)):
+        mine = F.transform(F.filter("marks", lambda x: x["k"] == k), lambda x: x["e"])  # noqa: B023  used at once
+        more = F.coalesce(mine, F.expr(NO_ERRORS))
+        rows = rows.withColumns({f"errors_{k}": F.concat(f"errors_{k}", more), f"failed_{k}": F.col(f"failed_{k}") | (F.size(more) > 0)})
+    return rows.drop("m_row", "marks")
+
+
+def _exploded(rows: DataFrame, parts: list[Column]) -> DataFrame:
+    """excel_row and the fields of each of the structs that is not null."""
+    return rows.select("excel_row", F.explode(F.array(*parts)).alias("x")).filter("x is not null").select("excel_row", "x.*")
+
+
+def unique(c: Compiled, parents: set[str]) -> DataFrame:
+    """Of the rows with one conflict key of a route the first stays; equal repeats of a parent are no error."""
+    tested = []
+    for k, route in enumerate(c.routes):
+        if not route.conflict or any(x not in c.bound[route.table] for x in route.conflict):
+            continue
+        record = f"r_{route.table}"
+        keys = [F.col(f"{record}.`{x}`") for x in route.conflict]
+        # binds are compared as JSON text, nulls included: structs have no null-safe order in one aggregate
+        binds = F.to_json(F.col(record), {"ignoreNullFields": "false"}) if route.table in parents else F.lit(None).cast("string")
+        text = key_text(keys)  # null with any part
+        tested.append(F.when(~F.col(f"failed_{k}") & text.isNotNull(), F.struct(F.lit(k).alias("k"), text.alias("key"), F.concat_ws(",", *[x.cast("string") for x in keys]).alias("raw"), binds.alias("binds"))))
+    if not tested:
         return c.rows
-    at = next(i for i, r in enumerate(c.routes) if r.table == parent)
-    return c.rows.withColumn(f"failed_{k}", F.col(f"failed_{k}") | F.col(f"failed_{at}"))
-
-
-def _fail(rows: DataFrame, k: int, bad: Column, what: Column) -> DataFrame:
-    more = F.when(bad, F.array(what)).otherwise(F.expr(NO_ERRORS))
-    return rows.withColumns({f"errors_{k}": F.concat(f"errors_{k}", more), f"failed_{k}": F.col(f"failed_{k}") | bad})
+    every = _exploded(c.rows, tested)
+    first = every.groupBy(F.col("k").alias("u_k"), F.col("key").alias("u_key")).agg(F.min(F.struct("excel_row", "binds")).alias("u_first"), F.count(F.lit(1)).alias("u_n")).filter("u_n > 1")
+    late = every.join(first, (F.col("k") == F.col("u_k")) & (F.col("key") == F.col("u_key"))).filter("excel_row > u_first.excel_row and (binds is null or binds <> u_first.binds)")
+    named = F.element_at(F.array(*[F.lit(",".join(r.conflict)) for r in c.routes]), F.col("k") + 1)
+    message = F.concat(F.lit("repeats the key of row "), F.col("u_first.excel_row").cast("string"))
+    what = F.struct(named.alias("column"), F.col("raw"), F.lit("E_VALIDATE_DUPLICATE").alias("code"), message.alias("message")).cast(ERROR)
+    return _marked(c, c.rows, late.select("excel_row", "k", what.alias("e")))
 
 
-def unique(c: Compiled, k: int, route: Route, has_children: bool) -> DataFrame:
-    """Of the rows with one conflict key the first stays; equal repeats of a parent are no error."""
-    if not route.conflict or any(x not in c.bound[route.table] for x in route.conflict):
-        return c.rows
-    record, rows = f"r_{route.table}", c.rows
-    keys = [F.col(f"{record}.`{x}`") for x in route.conflict]
-    whole = F.lit(True)
-    for key in keys:
-        whole = whole & key.isNotNull()
-    tested = rows.filter(~F.col(f"failed_{k}") & whole)
-    # binds are compared as JSON text, nulls included: structs have no null-safe order in one aggregate
-    binds = lambda: F.to_json(F.col(record), {"ignoreNullFields": "false"})
-    first = tested.groupBy(*[key.alias(f"u{i}") for i, key in enumerate(keys)]).agg(F.min(F.struct("excel_row", binds().alias("binds"))).alias("u_first"), F.count(F.lit(1)).alias("u_n")).filter("u_n > 1").drop("u_n")
-    on = keys[0] == F.col("u0")
-    for i, key in enumerate(keys[1:], 1):
-        on = on & (key == F.col(f"u{i}"))
-    joined = rows.join(first, on, "left")
-    bad = F.coalesce(~F.col(f"failed_{k}") & (F.col("excel_row") > F.col("u_first.excel_row")), F.lit(False))
-    if has_children:
-        bad = bad & F.coalesce(binds() != F.col("u_first.binds"), F.lit(False))
-    text = F.concat_ws(",", *[key.cast("string") for key in keys])
-    message = F.concat(F.lit("repeats the key of row "), F.col("u_first.excel_row").cast("string"))
-    marked = _fail(joined, k, bad, error(",".join(route.conflict), text, "E_VALIDATE_DUPLICATE", message))
-    return marked.drop("u_first", *[f"u{i}" for i in range(len(keys))])
+def ancestors_of(c: Compiled, route: Route) -> set[str]:
+    out: set[str] = set()
+    while route.parent and route.parent not in out:
+        out.add(route.parent)
+        route = next(r for r in c.routes if r.table == route.parent)
+    return out
 
 
-def preflight(c: Compiled, k: int, route: Route, f, catalogue: Catalogue) -> DataFrame:
+def preflight(c: Compiled, catalogue: Catalogue) -> DataFrame:
     """Injected keys must exist among the batch's parents or in the parent table."""
-    parent = next((r for r in c.routes if r.table == f.parent), None)
-    if parent is None or any(p in {t for x in parent.lookups for _, t in x.select} for p, _ in f.pairs):
+    wanted, there, stored = [], [], None
+    for k, route in enumerate(c.routes):
+        for f in route.inject:
+            parent = next((r for r in c.routes if r.table == f.parent), None)
+            if parent is None or f.parent in ancestors_of(c, route) or any(p in {t for x in parent.lookups for _, t in x.select} for p, _ in f.pairs):
+                continue
+            at, n = c.routes.index(parent), len(wanted)
+            child, given = [F.col(f"r_{route.table}.`{b}`") for _, b in f.pairs], [F.col(f"r_{f.parent}.`{p}`") for p, _ in f.pairs]
+            column, raw = F.lit(",".join(b for _, b in f.pairs)), F.concat_ws(",", *[b.cast("string") for b in child])
+            wanted.append(F.when(~F.col(f"failed_{k}") & key_text(child).isNotNull(), F.struct(F.lit(k).alias("k"), F.lit(n).alias("n"), key_text(child).alias("key"), column.alias("column"), raw.alias("raw"), F.lit(f.parent).alias("parent"))))
+            there.append(F.when(~F.col(f"failed_{at}") & key_text(given).isNotNull(), F.struct(F.lit(n).alias("n"), key_text(given).alias("key"))))
+            if f.parent in catalogue.read:
+                kept = catalogue.frame(f.parent).select(F.lit(n).alias("n"), key_text([F.col(p) for p, _ in f.pairs]).alias("key")).filter("key is not null")
+                stored = kept if stored is None else stored.unionByName(kept)
+    if not wanted:
         return c.rows
-    at, rows = c.routes.index(parent), c.rows
-    child = [F.col(f"r_{route.table}.`{b}`") for _, b in f.pairs]
-    batch = rows.filter(~F.col(f"failed_{at}")).select(*[F.col(f"r_{f.parent}.`{p}`").cast("string").alias(f"p{i}") for i, (p, _) in enumerate(f.pairs)])
-    if f.parent in catalogue.read:
-        batch = batch.union(catalogue.frame(f.parent).select(*[F.col(p).cast("string") for p, _ in f.pairs]))
-    known = batch.distinct().withColumn("p_known", F.lit(True))
-    on = child[0].cast("string") == F.col("p0")
-    for i, b in enumerate(child[1:], 1):
-        on = on & (b.cast("string") == F.col(f"p{i}"))
-    joined = rows.join(known, on, "left")
-    whole = F.lit(True)
-    for b in child:
-        whole = whole & b.isNotNull()
-    bad = ~F.col(f"failed_{k}") & whole & F.col("p_known").isNull()
-    text = F.concat_ws(",", *[b.cast("string") for b in child])
-    marked = _fail(joined, k, bad, error(",".join(b for _, b in f.pairs), text, "E_VALIDATE_FK", f"no such row in {f.parent}"))
-    return marked.drop("p_known", *[f"p{i}" for i in range(len(child))])
+    known = _exploded(c.rows, there).select("n", "key")
+    known = known if stored is None else known.unionByName(stored)
+    known = known.select(F.col("n").alias("p_n"), F.col("key").alias("p_key"))
+    lost = _exploded(c.rows, wanted).join(known, (F.col("n") == F.col("p_n")) & (F.col("key") == F.col("p_key")), "left_anti")
+    what = F.struct("column", "raw", F.lit("E_VALIDATE_FK").alias("code"), F.concat(F.lit("no such row in "), F.col("parent")).alias("message")).cast(ERROR)
+    return _marked(c, c.rows, lost.select("excel_row", "k", what.alias("e")))
 
 
 def plan_import(sheet: DataFrame, profile: Profile, catalogue: Catalogue) -> ImportPlan:
