@@ -74,6 +74,8 @@ class Bridge:
         if issues:
             return ImportResult(False, issues=issues)
         plan: ImportPlan = plan_import(sheet, profile, catalogue)
+        for c in plan.classes:  # validated once for errors, tables and counts
+            c.rows = c.rows.persist()
         errors = plan.errors().persist()
         result = ImportResult(True, sheet.count(), errors=errors)
         if dry_run:
@@ -129,24 +131,29 @@ class BatchTransfer:
             try:
                 self.spark.sparkContext.setJobGroup(group, "transfer", interruptOnCancel=True)
                 out = work()
-                self.state = "Stopped" if self.state == "Stopping" else "Completed"
+                with self._lock:
+                    self.state = "Stopped" if self.state == "Stopping" else "Completed"
                 return out
             except Exception as e:  # noqa: BLE001
-                self.state, self.error = ("Stopped" if self.state == "Stopping" else "Failed"), e
+                with self._lock:
+                    self.state, self.error = ("Stopped" if self.state == "Stopping" else "Failed"), e
                 return None
 
         return self._pool.submit(run)
 
     def stop(self) -> None:
-        if self.state == "Running":
+        with self._lock:
+            if self.state != "Running":
+                return
             self.state = "Stopping"
-            self.spark.sparkContext.cancelJobGroup(self._group)
+        self.spark.sparkContext.cancelJobGroup(self._group)
 
 
 class Replica:
     """A node: its rows with the precedence of their last change, applied vectors and quarantine."""
 
     COLUMNS = ("table_name", "pk", "origin", "seq", "rank", "op", "payload")
+    CHANGE = "origin string, epoch long, seq long, rank int, table_name string, op string, pk string, payload string, schema_ver long, schema_fp string"
 
     def __init__(self, spark: SparkSession, store: SnapshotStore, schema_ver: int, schema_fp: str):
         self.spark, self.store, self.schema_ver, self.schema_fp = spark, store, schema_ver, schema_fp
@@ -161,23 +168,40 @@ class Replica:
         return self._read("applied", "origin string, epoch long, applied_seq long")
 
     def quarantined(self) -> DataFrame:
-        return self._read("quarantine", "origin string, epoch long, seq long, rank int, table_name string, op string, pk string, payload string, schema_ver long, schema_fp string")
+        return self._read("quarantine", self.CHANGE)
+
+    def waiting(self) -> DataFrame:
+        """Changes that fit the schema and lie behind a gap."""
+        return self._read("waiting", self.CHANGE)
 
     def receive(self, changes: DataFrame) -> int:
-        """Apply what is in sequence and fits the schema; keep the rest in quarantine. Returns the new version."""
-        waiting = replication.replayable(self.quarantined(), self.schema_ver).withColumns({"schema_ver": F.lit(self.schema_ver).cast("long"), "schema_fp": F.lit(self.schema_fp)})
-        inbound = changes.unionByName(waiting)
-        fits = replication.guard(inbound, self.schema_ver, self.schema_fp).filter("accepted").drop("accepted")
-        kept = self.quarantined().filter(F.col("schema_ver") > self.schema_ver).unionByName(replication.quarantine(changes, self.schema_ver, self.schema_fp)).dropDuplicates(["origin", "epoch", "seq"])
-        ready = replication.applicable(fits, self.applied()).filter("decision = 'apply'").select(*fits.columns)
+        """Apply what is in sequence and fits the schema. Returns the new version.
+
+        What fits but lies behind a gap waits; what does not fit is quarantined. Both are taken up again with each
+        receipt, with their own schema marks: a replay passes the guard like any other change.
+        """
+        key, names = ["origin", "epoch", "seq"], self.quarantined().columns
+        waiting, held = self.waiting(), self.quarantined()
+        inbound = changes.select(*names).unionByName(waiting).unionByName(replication.replayable(held, self.schema_ver))
+        judged = replication.guard(inbound, self.schema_ver, self.schema_fp)
+        fits = judged.filter("accepted").drop("accepted").dropDuplicates(key)
+        refused = judged.filter("not accepted").drop("accepted")
+        kept = held.filter(F.col("schema_ver") > self.schema_ver).unionByName(refused).dropDuplicates(key)
+        decided = replication.applicable(fits, self.applied())
+        ready = decided.filter("decision = 'apply'").select(*names)
         folded = replication.winners(self.rows().unionByName(ready.select(*self.COLUMNS)), ["table_name", "pk"], keep_tombstones=True).select(*self.COLUMNS)
         vector = self.applied().unionByName(ready.groupBy("origin", "epoch").agg(F.max("seq").alias("applied_seq"))).groupBy("origin", "epoch").agg(F.max("applied_seq").alias("applied_seq"))
-        return self.store.commit({"winners": folded, "applied": vector, "quarantine": kept})
+        behind = decided.filter("decision = 'gap'").select(*names)
+        return self.store.commit({"winners": folded, "applied": vector, "quarantine": kept, "waiting": behind})
 
     def live(self) -> DataFrame:
         """Rows that are not deleted."""
         return self.rows().filter("op <> 'D'")
 
     def baseline(self, rows: DataFrame, vector: DataFrame) -> int:
-        """Take another node's rows and vector as they are; what waited is void."""
-        return self.store.commit({"winners": rows.select(*self.COLUMNS), "applied": vector, "quarantine": self.quarantined().limit(0)})
+        """Take another node's rows and vector as they are; what waited is void.
+
+        The winners are the baseline's rows with their precedence, so later changes are judged against them.
+        """
+        empty = self.quarantined().limit(0)
+        return self.store.commit({"winners": rows.select(*self.COLUMNS), "applied": vector, "quarantine": empty, "waiting": empty})

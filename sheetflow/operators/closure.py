@@ -128,14 +128,17 @@ def chunk(rows: DataFrame, budget: int, group: str = "push_id", order: str = "to
     selection. A row over the budget has ``too_large``.
     """
     rest = [c for c in rows.columns if c != group]
-    items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o_"), F.col(size).cast("long").alias("b_"), F.struct(*rest).alias("row"))))
-    start = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<long>)").alias("out"))
+    items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o_"), F.col(size).cast("long").alias("b_"))))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<bigint>)").alias("starts"))
 
     def step(acc, x):
         opens = (acc["used"] > 0) & (acc["used"] + x["b_"] > budget)
-        number = acc["chunk"] + opens.cast("long")
-        return F.struct(number.alias("chunk"), F.when(opens, x["b_"]).otherwise(acc["used"] + x["b_"]).alias("used"), F.concat(acc["out"], F.array(number)).alias("out"))
-
-    grouped = rows.groupBy(group).agg(items.alias("items"))
-    dealt = grouped.select(group, F.explode(F.arrays_zip("items", F.aggregate("items", start, step)["out"].alias("chunks"))).alias("z"))
-    return dealt.select(group, F.col("z.items.row.*"), F.col("z.chunks").alias("chunk_seq"), (F.col("z.items.b_") > budget).alias("too_large"))
+        # only the places where a chunk opens are kept: a fold over n rows of c chunks copies no more than c of them
+        return F.struct(F.when(opens, x["b_"]).otherwise(acc["used"] + x["b_"]).alias("used"), F.when(opens, F.concat(acc["starts"], F.array(x["o_"].cast("long")))).otherwise(acc["starts"]).alias("starts"))
+
+    starts = rows.groupBy(F.col(group).alias("g_")).agg(F.aggregate(items, start, step)["starts"].alias("starts"))
+    each = starts.select("g_", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), "starts")).alias("chunk_", "from_"), F.concat("starts", F.array(F.lit(None).cast("bigint"))).alias("ends"))
+    each = each.select("g_", F.col("chunk_").cast("long").alias("chunk_seq"), "from_", F.expr("ends[chunk_]").alias("to_"))
+    inside = (F.col("from_").isNull() | (F.col(order) >= F.col("from_"))) & (F.col("to_").isNull() | (F.col(order) < F.col("to_")))
+    dealt = rows.join(each, F.col(group).eqNullSafe(F.col("g_")) & inside)
+    return dealt.select(group, *rest, "chunk_seq", (F.col(size) > budget).alias("too_large"))

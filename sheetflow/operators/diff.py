@@ -9,6 +9,15 @@ from ..functions.hashing import as_number, modulo, row_hash
 from .merge import upsert
 
 
+def _union_columns(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with the columns of either; what a table lacks is null in it."""
+    def widened(mine: DataFrame, other: DataFrame) -> DataFrame:
+        return mine.withColumns({c: F.lit(None).cast(other.schema[c].dataType) for c in other.columns if c not in mine.columns})
+
+    a = widened(a, b)
+    return a, widened(b, a).select(a.columns)
+
+
 def _side(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
     return df.select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], F.struct(*df.columns).alias(tag))
 
@@ -35,8 +44,9 @@ def row_kind(columns: list[str], added="Added", deleted="Deleted", modified="Mod
 
 
 def row_diff(local: DataFrame, remote: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, kind: Added (remote only), Deleted (local only), Modified or Same."""
-    columns = [c for c in local.columns if c not in keys and c in remote.columns]
+    """keys, kind: Added (remote only), Deleted (local only), Modified or Same; a column of one side only is null on the other."""
+    local, remote = _union_columns(local, remote)
+    columns = [c for c in local.columns if c not in keys]
     return paired(local, remote, keys).withColumn("kind", row_kind(columns))
 
 
@@ -47,8 +57,9 @@ def diff_page(local: DataFrame, remote: DataFrame, keys: list[str], offset: int,
 
 
 def cell_diff(local: DataFrame, remote: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each changed cell of modified rows: keys, column, local, remote."""
-    columns = [c for c in local.columns if c not in keys and c in remote.columns]
+    """A row for each changed cell of modified rows: keys, column, local, remote; the columns of both sides count."""
+    local, remote = _union_columns(local, remote)
+    columns = [c for c in local.columns if c not in keys]
     changed = lambda c: (~F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`"))).alias("changed")
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"l.`{c}`").cast("string").alias("local"), F.col(f"r.`{c}`").cast("string").alias("remote"), changed(c)) for c in columns])
     both = paired(local, remote, keys).filter("l is not null and r is not null")
@@ -77,7 +88,8 @@ def stale(snapshot_version: int, current_version: int) -> str | None:
 
 
 def capture(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """Changes between two snapshots: keys, op (I, U, D), before and after as JSON."""
+    """Changes between two snapshots: keys, op (I, U, D), before and after as JSON, over the columns of both."""
+    before, after = _union_columns(before, after)
     columns = [c for c in before.columns if c not in keys]
     both = paired(before, after, keys).withColumn("op", row_kind(columns, "I", "D", "U", "-")).filter("op <> '-'")
     js = lambda c: F.to_json(c, {"ignoreNullFields": "false"})

@@ -89,7 +89,7 @@ def outgoing(changelog: DataFrame, peers: DataFrame, acks: DataFrame) -> DataFra
     Peers are the configured nodes of a star, a short list, not data.
     """
     acked = acks.select(F.col("peer").alias("a_peer"), F.col("origin").alias("a_origin"), F.col("epoch").alias("a_epoch"), "acked_seq")
-    routed = changelog.join(F.broadcast(peers), F.col("origin") != F.col("peer"))
+    routed = changelog.join(peers, F.col("origin") != F.col("peer"))
     joined = routed.join(acked, (F.col("peer") == F.col("a_peer")) & (F.col("origin") == F.col("a_origin")) & (F.col("epoch") == F.col("a_epoch")), "left")
     return joined.filter(F.col("seq") > F.coalesce("acked_seq", F.lit(-1))).drop("a_peer", "a_origin", "a_epoch", "acked_seq")
 
@@ -100,17 +100,24 @@ def capped(outbox: DataFrame, most_bytes: int) -> DataFrame:
     return outbox.withColumn("upto", F.sum("byte_size").over(w)).filter(F.col("upto") <= most_bytes).drop("upto")
 
 
-def outbound_watermark(changelog: DataFrame, acks: DataFrame) -> DataFrame:
-    """For each peer: one below the least local sequence it has not acknowledged (or the head)."""
+def outbound_watermark(changelog: DataFrame, acks: DataFrame, block: int = 1024) -> DataFrame:
+    """For each peer: one below the least local sequence it has not acknowledged (or the head).
+
+    The log is reduced to the least local sequence of each block of sequences; only the block in which a peer's
+    acknowledgement ends is looked at change by change, so the log never meets all peers.
+    """
+    key = ["origin", "epoch"]
+    log = changelog.select(*key, "seq", "local_seq", F.floor(F.col("seq") / block).alias("block"))
+    least = log.groupBy(*key, "block").agg(F.min("local_seq").alias("least"))
     peers = acks.select("peer").distinct()
-    acked = acks.select(F.col("peer").alias("a_peer"), F.col("origin").alias("a_origin"), F.col("epoch").alias("a_epoch"), "acked_seq")
-    head = changelog.agg(F.coalesce(F.max("local_seq"), F.lit(-1)).alias("head"))
-    open_ = (
-        changelog.crossJoin(F.broadcast(peers))
-        .join(acked, (F.col("peer") == F.col("a_peer")) & (F.col("origin") == F.col("a_origin")) & (F.col("epoch") == F.col("a_epoch")), "left")
-        .filter(F.col("seq") > F.coalesce("acked_seq", F.lit(-1))).groupBy("peer").agg(F.min("local_seq").alias("least"))
-    )
-    return peers.join(open_, "peer", "left").crossJoin(F.broadcast(head)).select("peer", F.coalesce(F.col("least") - 1, F.col("head")).alias("watermark"))
+    # peers and origins are nodes: two short lists
+    goals = peers.join(log.select(*key).distinct()).join(acks.select("peer", *key, "acked_seq"), ["peer", *key], "left")
+    goals = goals.select("peer", *key, F.coalesce("acked_seq", F.lit(-1)).alias("acked")).withColumn("last", F.floor(F.col("acked") / block))
+    beyond = goals.join(least, key).filter("block > last").select("peer", "least")
+    within = goals.join(log.withColumnRenamed("block", "last"), [*key, "last"]).filter("seq > acked").select("peer", F.col("local_seq").alias("least"))
+    open_ = beyond.unionByName(within).groupBy("peer").agg(F.min("least").alias("least"))
+    top = changelog.agg(F.coalesce(F.max("local_seq"), F.lit(-1)).alias("head"))
+    return peers.join(open_, "peer", "left").join(top).select("peer", F.coalesce(F.col("least") - 1, F.col("head")).alias("watermark"))
 
 
 def ack_vector(acks: DataFrame) -> DataFrame:
