@@ -1,7 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and items are compared in a plain form (lower case, runs of anything but letters and digits
-become one blank). An item of n characters has an error budget ``k = floor(error_rate * n)``; it is
+become one blank) between two blanks, so an item begins and ends where words do, up to its errors ("cat" is not
+found in "concatenation"). An item of n characters has an error budget ``k = floor(error_rate * n)``; it is
 cut into k + 1 pieces, and wherever it occurs with at most k edits one piece occurs unchanged. One
 Aho-Corasick automaton finds all pieces of all items in one walk over a whole text. A hit is verified
 up a binary tree over the pieces: where the whole has at most k errors, some path from the root to a
@@ -13,7 +14,7 @@ is bounded and a larger benchmark means more passes, not a larger automaton. Doc
 row by row without a shuffle, so copies and hot sources are no skew.
 
 Defined results: null or blank texts and items match nothing; repeated items and rows are each
-matched; an item shorter than 1 / error_rate must occur unchanged; empty tables give an empty
+matched; item identifiers may have any type and be null; an item shorter than 1 / error_rate must occur unchanged; empty tables give an empty
 result; other columns of the inputs are not read (in the stage they are passed on).
 """
 
@@ -28,6 +29,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from .common import table
 
@@ -87,8 +90,8 @@ def best_match(pattern: str, text: str, k: int, masks: dict[str, int] | None = N
 
 
 class Finder:
-    def __init__(self, items: list[tuple[int, str]], budget: Budget):
-        self.items = [(i, t, pieces(t, int(budget.error_rate * len(t)))) for i, t in ((i, plain(t)) for i, t in items) if t]
+    def __init__(self, items: list[tuple[object, str]], budget: Budget):
+        self.items = [(i, f" {t} ", pieces(f" {t} ", int(budget.error_rate * len(t)))) for i, t in ((i, plain(t)) for i, t in items) if t]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for at, (_, _, cuts) in enumerate(self.items):
             for k, (_, piece) in enumerate(cuts):
@@ -124,11 +127,12 @@ class Finder:
                 return None
         return distance
 
-    def __call__(self, text: str | None) -> list[tuple[int, int]]:
+    def __call__(self, text: str | None) -> list[tuple[object, int]]:
         """(item identifier, distance) of all items that the text contains."""
         text = plain(text)
         if not text or not self.ready:
             return []
+        text = f" {text} "
         best: dict[int, int] = {}
         for end, (n, where) in self.find.iter(text):
             for at, piece in where:
@@ -136,13 +140,13 @@ class Finder:
                     distance = self._verify(text, end + 1 - n, at, piece)
                     if distance is not None:
                         best[at] = min(distance, best.get(at, distance))
-        return sorted((self.items[at][0], distance) for at, distance in best.items())
+        return [(self.items[at][0], distance) for at, distance in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, budget: Budget, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, budget: Budget, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of bounded size, read through an iterator."""
     block, size = [], 0
-    for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).toLocalIterator():
+    for row in benchmark.select(F.col(id_col), F.col(text_col).cast("string")).toLocalIterator():
         n = len(row[1] or "")
         if block and size + n > budget.block_chars:
             yield block
@@ -153,10 +157,10 @@ def blocks(benchmark: DataFrame, budget: Budget, id_col: str, text_col: str) ->
         yield block
 
 
-def _matches(docs: DataFrame, block, budget: Budget, id_col: str, text_col: str) -> DataFrame:
+def _matches(docs: DataFrame, block, budget: Budget, id_col: str, text_col: str, item_kind: DataType) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    kind, item_type = rows.schema["id"].dataType.simpleString(), to_arrow_type(item_kind)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value, budget)
@@ -167,18 +171,18 @@ def _matches(docs: DataFrame, block, budget: Budget, id_col: str, text_col: str)
                     at.append(k)
                     items.append(item)
                     distances.append(distance)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(items, pa.int64()), pa.array(distances, pa.int32())], ["id", "item_id", "distance"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(items, item_type), pa.array(distances, pa.int32())], ["id", "item_id", "distance"])
 
-    return rows.mapInArrow(run, f"id {kind}, item_id long, distance int").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, item_id {item_kind.simpleString()}, distance int").withColumnRenamed("id", id_col)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: Budget = Budget(), id_col="doc_id", text_col="text", item_col="item_id", item_text="text") -> DataFrame:
     """A row (id, item_id, distance) for each document and item that occurs in it within its budget."""
-    out = None
+    out, kind = None, benchmark.schema[item_col].dataType
     for block in blocks(benchmark, budget, item_col, item_text):
-        found = _matches(docs, block, budget, id_col, text_col)
+        found = _matches(docs, block, budget, id_col, text_col, kind)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else _matches(docs.limit(0), [], budget, id_col, text_col)
+    return out if out is not None else _matches(docs.limit(0), [], budget, id_col, text_col, kind)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, budget: Budget = Budget(), text_col="text", item_col="item_id", item_text="text") -> DataFrame:
