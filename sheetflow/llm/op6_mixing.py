@@ -7,7 +7,8 @@
    above goes to the others by weight until none is above.
 3. A source's blocks stand in a random permuted order. Its target is so many whole passes over all
    blocks, then whole blocks of a further pass, then a part of one *boundary* block, whose documents
-   are taken in hashed order while they fit; the boundary draw is one more draw of the tree.
+   are taken in hashed order while they fit (hash ranges are summed first, so that only one range of a block needs its
+   rows in order); the boundary draw is one more draw of the tree.
 4. The block draws of all sources are dealt to the output shards by a binary tree: at each node the
    draws that go left are a multivariate-hypergeometric sample of the node's quotas, so every shard
    has an exact quota of blocks of each source and the shards' draws are disjoint. Leaves take their
@@ -15,12 +16,13 @@
 5. ``draws`` gives a row for each draw of a document: its shard and its local position there, in the order of
    a hash of the draw. Positions are counted in hash ranges of a shard, so no shard is sorted in one task.
 
-The driver holds block sums only: at most ``max_blocks`` for each source, and no more than
-``max_sources`` sources (checked; more is an error, not a cut).
+The driver holds block sums only: at most ``max_blocks`` for each source and about ``most_blocks`` in all, and no more than
+``max_sources`` sources (checked; more is an error, not a cut). With more documents blocks are larger, not more.
 
 Defined results: a null text has size 0 and is taken 0 words; a null source is a source of its own,
-ordered last; an empty source name sorts first; a source without words has target 0; repeated
-identifiers share a block and are taken alike; an empty table gives an empty table. Column names
+ordered last; an empty source name sorts first; a source without words has target 0; rows of one source
+with one identifier share a block and are taken alike (in other sources the identifier is another document); a null
+identifier is one like any other; an empty table gives an empty table. Column names
 of the input never clash, as only the three named columns are read.
 """
 
@@ -45,6 +47,9 @@ class Mix:
     seed: int = 17
     docs_per_block: int = 64
     max_blocks: int = 4096
+    most_blocks: int = 1 << 18
+    #: Hash ranges of a boundary block, a power of two.
+    ranges: int = 256
     max_sources: int = 100_000
 
 
@@ -116,17 +121,31 @@ def _plan(blocks: list, p: Mix) -> tuple[list, list]:
     return [(s, a, float(t)) for s, a, t in zip(names, sizes, goal, strict=True)], plan
 
 
+def _boundary(rows: DataFrame, order_key, p: Mix) -> DataFrame:
+    """(p_source, p_doc, part_copy) of the documents of boundary blocks (source, doc_id, size, part) that fit in hashed order."""
+    each = rows.groupBy("source", "doc_id").agg(F.sum("size").alias("words"), F.min("part").alias("part"))
+    each = each.withColumn("at", order_key).withColumn("range", F.shiftrightunsigned("at", 64 - (p.ranges.bit_length() - 1)))
+    sums = each.groupBy(F.col("source").alias("z_source"), F.col("range").alias("z_range")).agg(F.sum("words").alias("words_in"))
+    # a row for each range of a source
+    sums = sums.withColumn("before", F.expr("sum(words_in) OVER (PARTITION BY z_source ORDER BY z_range) - words_in"))
+    placed = each.join(sums, F.col("source").eqNullSafe(F.col("z_source")) & (F.col("range") == F.col("z_range"))).filter("before <= part")
+    whole = placed.filter("before + words_in <= part").select("source", "doc_id")
+    last = placed.filter("before + words_in > part").withColumn("upto", F.expr("before + sum(words) OVER (PARTITION BY source, range ORDER BY at, doc_id ROWS UNBOUNDED PRECEDING)"))
+    fits = whole.unionByName(last.filter("upto <= part").select("source", "doc_id"))
+    return fits.select(F.col("source").alias("p_source"), F.col("doc_id").alias("p_doc"), F.lit(1).alias("part_copy"))
+
+
 def mix(docs: DataFrame, p: Mix = Mix(), id_col="doc_id", text_col="text", source_col="source", weights_of=None) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies, part_copy, shards, order_key, part_shard."""
+    """One row per document: doc_id, source, size, source_size, target, taken, copies, part_copy, shards, order_key, part_shard."""
     spark = docs.sparkSession
     where = shared_dir(spark)
     rows = stored(sized(docs, id_col, text_col, source_col), f"{where}/sizes")
     counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs")).limit(p.max_sources + 1).collect()
     if len(counts) > p.max_sources:
         raise ValueError(f"more than {p.max_sources} sources; raise Mix.max_sources")
-    fan = spark.createDataFrame(
-        [(c.source, max(1, min(p.max_blocks, -(-c.docs // p.docs_per_block)))) for c in counts], "source string, fan int"
-    )
+    fans = [min(p.max_blocks, -(-c.docs // p.docs_per_block)) for c in counts]
+    share = min(1.0, p.most_blocks / max(sum(fans), 1))
+    fan = spark.createDataFrame([(c.source, max(1, int(n * share))) for c, n in zip(counts, fans, strict=True)], "source string, fan int")
     hashed = F.xxhash64(F.lit(p.seed), F.col("doc_id"))
     dealt = (
         rows.join(F.broadcast(fan.withColumnRenamed("source", "fan_source")), F.col("source").eqNullSafe(F.col("fan_source")))
@@ -141,14 +160,10 @@ def mix(docs: DataFrame, p: Mix = Mix(), id_col="doc_id", text_col="text", sourc
         F.broadcast(sources), F.col("source").eqNullSafe(F.col("s_source"))
     )
     order_key = F.xxhash64(F.lit(p.seed + 1), F.col("doc_id"))
-    # only boundary blocks (one for each source, of bounded size) need an order
-    fits = joined.filter("part > 0").select(
-        "doc_id", "source", "size", "part",
-        F.expr(f"sum(size) OVER (PARTITION BY source ORDER BY xxhash64({p.seed + 1}, doc_id), doc_id ROWS UNBOUNDED PRECEDING)").alias("upto"),
-    ).filter("upto <= part").groupBy("doc_id").agg(F.lit(1).alias("part_copy")).withColumnRenamed("doc_id", "p_doc")
+    fits = _boundary(joined.filter("part > 0").select("source", "doc_id", "size", "part"), order_key, p)
     extra = F.coalesce(F.col("part_copy"), F.lit(0))
-    return joined.join(fits, F.col("doc_id") == F.col("p_doc"), "left").select(
-        "doc_id", "size", "source_size", "target",
+    return joined.join(fits, F.col("doc_id").eqNullSafe(F.col("p_doc")) & F.col("source").eqNullSafe(F.col("p_source")), "left").select(
+        "doc_id", "source", "size", "source_size", "target",
         (F.col("size") * (F.col("copies") + extra)).cast("long").alias("taken"),
         "copies", extra.alias("part_copy"),
         F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"),
@@ -158,27 +173,29 @@ def mix(docs: DataFrame, p: Mix = Mix(), id_col="doc_id", text_col="text", sourc
 
 
 def draws(mixed: DataFrame, p: Mix = Mix(), ranges: int = 64) -> DataFrame:
-    """One row per draw of a document of ``mix``: shard, position (from 0, shuffled), doc_id, size, draw."""
+    """One row per draw of a document of ``mix``: shard, position (from 0, shuffled), doc_id, source, size, draw."""
     whole = F.filter(F.split("shards", ","), lambda x: x != "").cast("array<int>")
     every = F.concat(whole, F.when(F.col("part_shard").isNull(), F.array().cast("array<int>")).otherwise(F.array("part_shard")))
-    rows = mixed.select("doc_id", "size", F.posexplode(every).alias("draw", "shard"))
-    rows = rows.withColumn("at", F.xxhash64(F.lit(p.seed + 2), "doc_id", "draw")).withColumn("range", F.shiftrightunsigned("at", 32) * ranges / F.lit(1 << 32))
+    rows = mixed.select("doc_id", "source", "size", F.posexplode(every).alias("draw", "shard"))
+    rows = rows.withColumn("at", F.xxhash64(F.lit(p.seed + 2), "doc_id", "source", "draw")).withColumn("range", F.shiftrightunsigned("at", 32) * ranges / F.lit(1 << 32))
     rows = stored(rows.withColumn("range", F.floor("range").cast("int")), f"{shared_dir(mixed.sparkSession)}/draws")
     # at most shards x ranges counts
     before = rows.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("shard").alias("b_shard"), F.col("range").alias("b_range"), F.expr("sum(n) OVER (PARTITION BY shard ORDER BY range) - n").alias("before")
     )
-    placed = rows.withColumn("place", F.expr("row_number() OVER (PARTITION BY shard, range ORDER BY shiftrightunsigned(at, 32), at, doc_id, draw)"))
+    placed = rows.withColumn("place", F.expr("row_number() OVER (PARTITION BY shard, range ORDER BY shiftrightunsigned(at, 32), at, doc_id, source, draw)"))
     placed = placed.join(F.broadcast(before), (F.col("shard") == F.col("b_shard")) & (F.col("range") == F.col("b_range")))
-    return placed.select("shard", (F.col("before") + F.col("place") - 1).cast("long").alias("position"), "doc_id", "size", "draw")
+    return placed.select("shard", (F.col("before") + F.col("place") - 1).cast("long").alias("position"), "doc_id", "source", "size", "draw")
 
 
 def op6_mixing(spark, sf_dir):
     """``mix`` with the shard:position of each document's draws."""
     mixed = stored(mix(table(spark, sf_dir, "documents")), f"{shared_dir(spark)}/mixed")
-    placed = draws(mixed).groupBy(F.col("doc_id").alias("d_doc")).agg(F.array_sort(F.collect_list(F.struct("shard", "position"))).alias("places"))
+    # rows that repeat an identifier have the draws of all of them
+    placed = draws(mixed).groupBy(F.col("doc_id").alias("d_doc"), F.col("source").alias("d_source")).agg(F.array_sort(F.collect_list(F.struct("shard", "position"))).alias("places"))
     text = F.array_join(F.transform("places", lambda x: F.concat_ws(":", x["shard"].cast("string"), x["position"].cast("string"))), ",")
-    return mixed.join(placed, F.col("doc_id") == F.col("d_doc"), "left").select(*mixed.columns, F.coalesce(text, F.lit("")).alias("draws"))
+    on = F.col("doc_id").eqNullSafe(F.col("d_doc")) & F.col("source").eqNullSafe(F.col("d_source"))
+    return mixed.join(placed, on, "left").select(*mixed.columns, F.coalesce(text, F.lit("")).alias("draws"))
 
 
 def mixing_stage(spark, docs, sf_dir):
