@@ -15,8 +15,9 @@ members are located, the index is read, and each record is fetched by its byte r
 Packages are opened with ``pyarrow.fs`` under ``spark.checkpoint.dir``.
 
 Defined results: a null payload is an empty one; payloads under ``min_dedup`` bytes are always
-responses; of equal larger payloads the smallest identifier is the response; a repeated identifier
-with the same payload gives one record per row; an empty table gives an empty table with the same
+responses; of equal larger payloads the smallest identifier is the response; a repeated identifier gives one
+record per row, each judged by its own payload; a page without an identifier is always a response
+and comes back without one; an empty table gives an empty table with the same
 columns; other columns of the input are not read.
 """
 
@@ -42,14 +43,24 @@ CRLF = b"\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_bytes(page_id: int, url: str | None, payload: bytes, n: int, digest: str, refers_to: int | None) -> bytes:
+def record_name(page_id: int | None) -> str:
+    """Record identifier of a page; a page without an identifier has the name ``-``."""
+    return f"urn:page:{'-' if page_id is None else page_id}"
+
+
+def page_of(name: str) -> int | None:
+    key = name.removeprefix("urn:page:")
+    return None if key == "-" else int(key)
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, n: int, digest: str, refers_to: int | None) -> bytes:
     """One WARC record. A revisit keeps the HTTP header of its response, without the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n
     block = http + (payload if refers_to is None else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <{record_name(page_id)}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -58,7 +69,7 @@ def record_bytes(page_id: int, url: str | None, payload: bytes, n: int, digest:
     if url:
         head.append("WARC-Target-URI: " + "".join(c for c in url if c not in "\r\n"))
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
+        head += [f"WARC-Refers-To: <{record_name(refers_to)}>", f"WARC-Profile: {REVISIT_PROFILE}"]
     return "\r\n".join(head).encode() + CRLF * 2 + block + CRLF * 2
 
 
@@ -107,9 +118,10 @@ def write_packages(pages: DataFrame, where: str, min_dedup: int = 100, package_r
     firsts = digests.filter(F.col("n") >= min_dedup).groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     repeats = (
         digests.filter(F.col("n") >= min_dedup).join(firsts.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d"))
-        .filter("id > first").select(F.col("id").alias("r_id"), F.col("first").alias("refers_to")).distinct()
+        .filter("id > first").select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), F.col("first").alias("refers_to")).distinct()
     )
-    records = rows.join(repeats, F.col("id") == F.col("r_id"), "left").select("id", "url", "payload", "refers_to")
+    # of rows with one identifier only those with the repeated payload are revisits
+    records = rows.join(repeats, (F.col("id") == F.col("r_id")) & (F.sha2("payload", 256) == F.col("r_digest")), "left").select("id", "url", "payload", "refers_to")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(where)
@@ -122,7 +134,7 @@ def write_packages(pages: DataFrame, where: str, min_dedup: int = 100, package_r
                 if writer is None:
                     writer = PackageWriter(system, f"{base}/packages/{uuid.uuid4().hex}.wacz")
                 digest = hashlib.sha256(payload).hexdigest()
-                writer.add(f"urn:page:{page}", record_bytes(page, urls[k].as_py(), payload, len(payload), digest, to))
+                writer.add(record_name(page), record_bytes(page, urls[k].as_py(), payload, len(payload), digest, to))
                 if len(writer.index) >= package_records or writer.at >= package_bytes:
                     done.append(writer.close())
                     writer = None
@@ -157,9 +169,9 @@ def read_packages(manifest: DataFrame, where: str) -> DataFrame:
                         if warc["warc-record-id"] != f"<{key}>":
                             raise ValueError(f"{path}: the index leads to another record")
                         kind, digest = warc["warc-type"], warc["warc-payload-digest"].removeprefix("sha256:")
-                        to = warc.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
+                        to = warc.get("warc-refers-to", "").removeprefix("<").removesuffix(">")
                         whole = kind == "revisit" or (hashlib.sha256(payload).hexdigest() == digest and len(payload) == int(http["content-length"]))
-                        rows.append((int(key.removeprefix("urn:page:")), int(http["content-length"]), digest, kind, int(to) if to else None, warc.get("warc-target-uri"), whole))
+                        rows.append((page_of(key), int(http["content-length"]), digest, kind, page_of(to) if to else None, warc.get("warc-target-uri"), whole))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     # one task reads few packages, whatever the size of the manifest's own files
