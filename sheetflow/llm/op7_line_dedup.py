@@ -1,31 +1,34 @@
 """Line dedup by a segment-partition edit join, in DataFrame and SQL functions alone.
 
-A line goes if an equal line stands earlier, or if a line within ``threshold`` edits of it first stood
-earlier (order: identifier, then line number). Lines are compared without outer blanks; blank lines stay,
-and lines under ``min_chars`` characters are compared for equality only. The query compares at the threshold its SQL
-has, the pipeline stage at one that grows with the length (``STAGE``).
+A line goes if an equal line stands earlier, or if a line near it first stood earlier (order: identifier, then line
+number). Lines are compared without outer blanks; blank lines stay. Two lines are near if they are within t edits of
+each other, where t grows with the length n of the shorter: ``t = min(most, floor((n + per_chars / 2) / per_chars))``.
+One rule holds for lines of every length; where it gives 0 edits, near is equal.
 
 * *Equal lines* meet by two 64-bit hashes; minima are taken map-side.
-* *Near lines.* The threshold may grow with the length of the shorter line of a pair. Lines of like lengths form a
-  class with one threshold t and one grid of t + 1 segments; in any line within t edits of a line of the class one
-  of them occurs unchanged, the i-th shifted by less than i places to either side and by no more than t + 1 - i
-  to the left. Each line has index keys (class, segment number, hash of the segment) of its own class and probe keys
-  of the substrings at these shifts for each class a shorter partner may have (27 keys at threshold 5 for most
-  lines). A constant threshold and the rests of hot keys have a class for each length (4 keys at threshold 1).
-  Keys that only one line has are dropped by a map-side minimum and maximum; lines that share the others and
-  whose lengths differ by no more than t are candidate pairs.
-* *Hot keys.* A segment that more than ``most_pairs`` lines share is not paired: the matching segment is
-  cut out and the rest, again within the threshold, is partitioned in the same way, level by level. An
-  empty segment cannot be cut out: it is left of rests no longer than the threshold, which are paired.
-* *Verification* is Spark's ``levenshtein`` with a threshold: a dynamic program in a band of that width.
-  Spark has no bit-parallel form of it and a native path can have no other.
-
-Only hashes are shuffled until the last step; texts of candidate lines are picked by a broadcast of at
-most 2**20 slot numbers, a proven bound. Texts move once, to meet the line numbers that go.
+* *Segments.* Lines of like lengths form a class with one threshold t; their first and last characters make t + 1
+  zones of one width, half of them counted from the left end, half from the right. If two lines are within t
+  edits, then one end has fewer edits than zones, and there a zone i stands unchanged in both, shifted by i - 1 places at
+  most from that end. So no more than three substrings of each zone need to be indexed: those at the offsets
+  0, 1 and 3, whose differences are all shifts up to 3 (``OFFSETS``). Both lines have the same kind of keys, (class,
+  end, zone, hash of the substring): 2 at threshold 1, 6 at 3, 12 at 5, and those of the classes of shorter partners
+  near a class boundary.
+* *Probing.* Keys that only one line has are dropped by a map-side minimum and maximum. Lines that share the others are
+  candidate pairs.
+* *Hot keys.* A key that more than ``most_pairs`` lines share makes no pairs: its lines are cut into blocks of about
+  ``block`` lines, and each two blocks meet in one row, where a line looks for any near line that stands earlier. So the rows
+  grow with the square of blocks, not of lines, and no line is left out.
+* *Verification* is a banded edit distance. Spark's ``levenshtein`` with a threshold is a dynamic program in a band of
+  that width, compiled; the bit-parallel recurrence in native functions (``bit_parallel``) runs interpreted, at
+  hundreds of times its cost (README), and so confirms pairs of cold keys only where their differing middles are short.
+
+Mostly hashes are shuffled; texts of lines that share a key move once for each shared key, and whole texts once, to meet
+the line numbers that go. At most 2**20 slot numbers are broadcast, a proven bound.
 
 Defined results: a null text has no lines and stays null; an empty text is one blank line; repeated rows with
-one identifier count as one document (each loses what is found in any); ties go by line number; an empty
-table gives an empty table; columns of the input may have any other names.
+one identifier count as one document (each loses what is found in any); rows without an identifier keep their text and
+are compared with nothing; ties go by line number; an empty table gives an empty table; columns of the input may have
+any other names (``n_lines`` and ``n_removed`` of the result are lengthened where the input has them).
 """
 
 from __future__ import annotations
@@ -35,80 +38,67 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import fresh, shared_dir, stored, table
 
 SLOTS = 1 << 20
+#: Offsets whose differences are all shifts of 0, 1, 2 and 3 places at most.
+OFFSETS = [(0,), (0, 1), (0, 1, 3), (0, 1, 3)]
 
 
 @dataclass(frozen=True)
 class Lines:
-    threshold: int = 1
-    min_chars: int = 20
+    #: Near lines may have one edit for each so many characters of the shorter line, rounded, up to ``most``.
+    per_chars: int = 20
+    most: int = 3
+    #: From so many lines of one key on they meet in blocks.
     most_pairs: int = 64
-    most_levels: int = 8
-    #: From ``threshold`` to ``most`` edits, one for each so many characters of the shorter line; 0: always ``threshold``.
-    per_chars: int = 0
-    most: int = 5
+    block: int = 128
 
-    @property
-    def highest(self) -> int:
-        return max(self.threshold, self.most) if self.per_chars else self.threshold
+    def __post_init__(self):
+        if not (1 <= self.most <= 7 and self.per_chars >= 6):
+            raise ValueError("most must be 1 to 7 and per_chars 6 at least")  # else zones would be narrower than their offsets
 
     def edits(self, n: Column) -> Column:
         """The threshold of a pair whose shorter line has ``n`` characters."""
-        grown = F.floor(n / self.per_chars).cast("int") if self.per_chars else F.lit(self.threshold)
-        return F.least(F.greatest(grown, F.lit(self.threshold)), F.lit(self.highest))
+        return F.least(F.floor((n + self.per_chars // 2) / self.per_chars).cast("int"), F.lit(self.most))
 
 
-#: The pipeline's near lines: within one edit from 10 characters, two from 40, and so on to five from 100.
-STAGE = Lines(min_chars=10, per_chars=20)
+#: The pipeline's near lines: up to five edits.
+STAGE = Lines(most=5)
 
 
-def shifts(threshold: int) -> list[tuple[int, int]]:
-    """(segment number, shift) of all keys of a line in one class."""
-    return [(i, s) for i in range(1, threshold + 2) for s in range(max(1 - i, i - threshold - 1), i)]
-
-
-def _least(m: Column, t: Column, p: Lines) -> Column:
-    """A length that stands for the class of the lines of ``m`` characters; none of them is shorter."""
-    power = F.pow(F.lit(2.0), F.length(F.bin(m)) - 1).cast("int")
+def _class(n: Column, p: Lines) -> Column:
+    """(t, least) of the class of the lines of ``n`` characters; none of them is shorter than ``least``."""
+    t, power = p.edits(n), F.pow(F.lit(2.0), F.length(F.bin(n)) - 1).cast("int")
     half = (power + power / 2).cast("int")
-    grown = t * p.per_chars
-    return F.greatest(F.when(m >= half, half).otherwise(power), F.lit(p.min_chars), F.when(m >= grown, grown))
-
+    return F.struct(t.alias("t"), F.greatest(F.when(n >= half, half).otherwise(power), t * p.per_chars - p.per_chars // 2).cast("int").alias("least"))
 
-def _exploded(lines: DataFrame, p: Lines, first: bool) -> DataFrame:
-    """(h1, line, group, t) rows to a row for each key; ``own`` is true for segments of the line itself.
 
-    At the first level the threshold follows from the lengths; rests keep that of their class. Where the
-    threshold is given, each length is a class of its own, which also bounds the shifts.
-    """
-    coarse = first and p.per_chars > 0
+def _keys(lines: DataFrame, p: Lines, *more: str) -> DataFrame:
+    """(h1, key) and more columns: a row for each indexed substring of each line."""
     n = F.length("line")
-    rows = lines.select("h1", "line", "group", "t", n.alias("n"), F.explode(F.array(*[F.lit(d) for d in range(p.highest + 1)])).alias("shorter"))
-
-    def of(m: Column) -> tuple[Column, Column]:
-        t = p.edits(m) if first else F.col("t")
-        return t, _least(m, t, p) if coarse else m
-
-    m = F.col("n") - F.col("shorter")
-    (t, least), (next_t, next_least) = of(m), of(m + 1)
-    rows = rows.filter(m >= (p.min_chars if first else 0)).select("h1", "line", "group", "n", "shorter", t.alias("t"), least.alias("least"), next_t.alias("next_t"), next_least.alias("next_least"))
-    # each class once: at its greatest length that a partner may have
-    rows = rows.filter("shorter = 0 or t <> next_t or least <> next_least or (shorter - 1 > next_t)").filter("shorter <= t")
-    every = [F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in shifts(k)]) for k in range(p.highest + 1)]
-    rows = rows.select("h1", "line", "group", "n", "shorter", "t", "least", F.floor(F.col("least") / (F.col("t") + 1)).cast("int").alias("size"), F.explode(F.element_at(F.array(*every), F.col("t") + 1)).alias("k"))
-    rows = rows.select("h1", "line", "group", "n", "shorter", "t", "least", "size", F.col("k.i").alias("i"), F.col("k.s").alias("s"), (F.col("size") * (F.col("k.i") - 1) + F.col("k.s")).alias("at"))
-    if not coarse:
-        rows = rows.filter("s between shorter - (t + 1 - i) and shorter + (t + 1 - i)")
-    rows = rows.filter("at >= 0 and at + size <= n and (size > 0 or (i = 1 and s = 0))")
-    key = F.xxhash64("group", "t", "least", "i", F.expr("substring(line, at + 1, size)"))
-    return rows.select("h1", "line", "n", "t", "at", "size", key.alias("key"), F.expr("shorter = 0 and s = 0").alias("own"))
+    rows = lines.select("h1", "line", *more, n.alias("n"), _class(n, p).alias("c0")).filter("c0.t > 0")
+    for k in (1, 2):  # classes of shorter partners: at their greatest length
+        m = F.col(f"c{k - 1}.least") - 1
+        c = _class(m, p)
+        rows = rows.withColumn(f"c{k}", F.when(F.col(f"c{k - 1}").isNotNull() & (m > 0) & (c["t"] > 0) & (F.col("n") - m <= c["t"]), c))
+    rows = rows.select("h1", "line", *more, "n", F.explode(F.array("c0", "c1", "c2")).alias("c")).filter("c is not null")
+    rows = rows.select("h1", "line", *more, "n", F.col("c.t").alias("t"), F.col("c.least").alias("least"), F.floor(F.col("c.least") / (F.col("c.t") + 1)).cast("int").alias("zone"))
+    keys = []
+    for end in (0, 1):
+        for i in range(1, (p.most + 2 - end) // 2 + 1):
+            fewest = 2 * i - 2 + end  # edits from which this end has i zones
+            for at in OFFSETS[i - 1]:
+                size = F.col("zone") - max(OFFSETS[i - 1])
+                start = F.col("zone") * (i - 1) + at if not end else F.col("n") - F.col("zone") * i + at
+                part = F.col("line").substr(start.cast("int") + 1, size.cast("int"))
+                keys.append(F.when(F.col("t") >= fewest, F.xxhash64("least", F.lit(2 * i + end), part)))
+    return rows.select("h1", *more, *(["line"] if "line" not in more else []), F.explode(F.array(*keys)).alias("key")).filter("key is not null")
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, no, line, h1, h2 of each line that is not blank."""
-    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "whole"))
+    lines = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "whole"))
     line = lines.select("doc", "no", F.trim("whole").alias("line")).filter("line <> ''")
     return line.select("doc", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"))
 
@@ -128,32 +118,45 @@ def _picked(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return near.join(wanted.hint("merge"), F.col(column) == F.col(w)).drop(w)
 
 
-def candidates(lines: DataFrame, p: Lines, where: str) -> DataFrame:
-    """Distinct pairs (a, b) of lines (h1, line) that share an index key."""
-    level, pairs = lines.withColumns({"group": F.lit(0).cast("long"), "t": F.lit(0)}), None
-    for k in range(p.most_levels):
-        last = k + 1 == p.most_levels
-        keys = _exploded(level, p, k == 0)
-        met = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own")).filter("low < high and own").select(F.col("key").alias("m_key"))
-        met = stored(met, f"{where}/met-{k}")
-        rows = _picked(keys.select("key", "h1", "own", "n", "t", (F.col("size") > 0).alias("cut")), "key", met)
-        rows = rows.groupBy("key", "h1").agg(F.max("own").alias("own"), F.max("n").alias("n"), F.max("t").alias("t"), F.max("cut").alias("cut"))
-        rows = stored(rows, f"{where}/rows-{k}")
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.max("cut").alias("cut"))
-        hot = stored(counts.filter((F.col("lines") > p.most_pairs) & F.col("cut")).select(F.col("key").alias("hot_key")), f"{where}/hot-{k}")
-        cold = rows if last else rows.join(hot.hint("merge"), F.col("key") == F.col("hot_key"), "left_anti")
-        mine = cold.filter("own").select(F.col("key").alias("o_key"), F.col("h1").alias("o_h1"), F.col("n").alias("o_n"))
-        new = cold.join(mine.hint("merge"), F.col("key") == F.col("o_key")).filter("h1 <> o_h1 and n >= o_n and n - o_n <= t")
-        new = new.select(F.least("h1", "o_h1").alias("a"), F.greatest("h1", "o_h1").alias("b"))
-        pairs = new if pairs is None else pairs.union(new)
-        if last or hot.isEmpty():
-            break
-        rest = F.concat(F.expr("substring(line, 1, at)"), F.expr("substring(line, at + size + 1)"))
-        ids = stored(rows.join(hot.hint("merge"), F.col("key") == F.col("hot_key"), "left_semi").select("h1").distinct(), f"{where}/hot-lines-{k}")
-        few = _exploded(_picked(level, "h1", ids.withColumnRenamed("h1", "hot_h1")), p, k == 0)
-        level = _picked(few, "key", hot).select("h1", F.col("key").alias("group"), "t", rest.alias("line")).distinct()
-        level = stored(level, f"{where}/level-{k}")
-    return pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+def _near(a: Column, b: Column, p: Lines) -> Column:
+    """Whether two lines are within the threshold of the shorter."""
+    most = p.edits(F.least(F.length(a), F.length(b)))
+    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)
+
+
+def later_lines(lines: DataFrame, groups: DataFrame, p: Lines, where: str) -> DataFrame:
+    """h1 of the lines (h1, line) near which another line first stood earlier."""
+    keys = _keys(lines, p)
+    met = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select(F.col("key").alias("m_key"))
+    met = stored(met, f"{where}/met")
+    rows = _picked(keys, "key", met).groupBy("key", "h1").agg(F.min("line").alias("line"))
+    rows = stored(rows, f"{where}/rows")
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > p.most_pairs)
+    hot = stored(counts.select(F.col("key").alias("hot_key"), F.ceil(F.col("lines") / p.block).cast("int").alias("parts")), f"{where}/hot")
+    ids = rows.groupBy("h1").agg(F.min("line").alias("line"))
+    firsts = _picked(groups.select("h1", "first"), "h1", stored(ids.select(F.col("h1").alias("c_h1")), f"{where}/ids")).groupBy("h1").agg(F.min("first").alias("first"))
+    known = stored(ids.join(firsts.hint("merge"), "h1"), f"{where}/known")
+
+    cold = rows.select("key", "h1").join(hot.hint("merge"), F.col("key") == F.col("hot_key"), "left_anti")
+    mine = cold.select(F.col("key").alias("o_key"), F.col("h1").alias("o_h1"))
+    pairs = cold.join(mine.hint("merge"), F.col("key") == F.col("o_key")).filter("h1 < o_h1")
+    pairs = pairs.groupBy(F.col("h1").alias("a"), F.col("o_h1").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
+    for end in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("h1").alias(end), F.col("line").alias(f"{end}_line"), F.col("first").alias(f"{end}_first")).hint("merge"), end)
+    near = pairs.filter(_near(F.col("a_line"), F.col("b_line"), p))
+    late = stored(near.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("late")).distinct(), f"{where}/late-cold")
+    if hot.isEmpty():
+        return late
+
+    # lines of hot keys that are known to go need no more partners, but may be partners of others
+    many = rows.select("key", "h1").join(hot.hint("merge"), F.col("key") == F.col("hot_key"))
+    many = many.join(known.withColumnRenamed("h1", "k_h1").hint("merge"), F.col("h1") == F.col("k_h1")).join(late.hint("merge"), F.col("h1") == F.col("late"), "left")
+    many = many.select("key", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int").alias("part"), F.struct("h1", "first", "line", F.col("late").isNull().alias("open")).alias("x"))
+    blocks = stored(many.groupBy("key", "part").agg(F.sort_array(F.collect_list("x")).alias("xs")), f"{where}/blocks")
+    other = blocks.select(F.col("key").alias("o_key"), F.col("part").alias("o_part"), F.col("xs").alias("ys"))
+    both = blocks.join(other.hint("merge"), F.col("key") == F.col("o_key"))
+    found = F.filter("xs", lambda x: x["open"] & F.exists("ys", lambda y: (y["first"] < x["first"]) & _near(x["line"], y["line"], p)))
+    return late.union(both.select(F.explode(F.transform(found, lambda x: x["h1"])).alias("late"))).distinct()
 
 
 def repeated(docs: DataFrame, p: Lines, where: str, id_col: str, text_col: str) -> DataFrame:
@@ -163,43 +166,37 @@ def repeated(docs: DataFrame, p: Lines, where: str, id_col: str, text_col: str)
     groups = stored(
         spots.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("first"), F.max(F.struct("doc", "no")).alias("last")), f"{where}/groups"
     )
-    long_ = lines.filter(F.length("line") >= p.min_chars).select("h1", "line")
-    pairs = stored(candidates(long_, p, where), f"{where}/pairs")
-    ids = stored(pairs.select(F.col("a").alias("c_h1")).union(pairs.select("b")).distinct(), f"{where}/candidates")
-    texts = stored(_picked(long_, "h1", ids).groupBy("h1").agg(F.min("line").alias("line")), f"{where}/texts")
-    firsts = stored(_picked(groups.select("h1", "first"), "h1", ids).groupBy("h1").agg(F.min("first").alias("first")), f"{where}/firsts")
-    known = texts.join(firsts.hint("merge"), "h1")
-    for end in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("h1").alias(end), F.col("line").alias(f"{end}_line"), F.col("first").alias(f"{end}_first")).hint("merge"), end)
-    pairs = pairs.withColumn("edits", p.edits(F.least(F.length("a_line"), F.length("b_line"))))
-    near = pairs.filter(F.expr("levenshtein(a_line, b_line, edits)") >= 0)
-    later = stored(near.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("late")).distinct(), f"{where}/late")
+    later = stored(later_lines(lines.select("h1", "line"), groups, p, where), f"{where}/late")
     bad = groups.join(later.hint("merge"), F.col("h1") == F.col("late"), "left").filter("late is not null or first < last")
     bad = stored(bad.select("h1", "h2", "first", F.col("late").isNotNull().alias("near")), f"{where}/repeats").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first", "near")
     gone = spots.join(bad.hint("merge"), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")))
     gone = gone.filter(F.col("near") | (F.struct("doc", "no") != F.col("first")))
-    return gone.groupBy("doc").agg(F.collect_set("no").alias("numbers"))
+    return gone.groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("numbers"))
+
+
+def _kept(text: Column, numbers: Column) -> Column:
+    """The text without the lines of these sorted numbers, in time linear in the text."""
+    parts = F.struct(F.split(text, "\n").alias("p"), F.concat(F.array(F.lit(-1)), numbers, F.array(F.size(F.split(text, "\n")))).alias("g"))
+    stretches = lambda v: F.flatten(F.transform(F.sequence(F.lit(1), F.size(v["g"]) - 1), lambda k: F.slice(v["p"], F.get(v["g"], k - 1) + 2, F.get(v["g"], k) - F.get(v["g"], k - 1) - 1)))
+    return F.array_join(F.element_at(F.transform(F.array(parts), stretches), 1), "\n")
 
 
 def dedup_lines(docs: DataFrame, p: Lines = Lines(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with the kept text in ``text_col``, and n_lines and n_removed."""
-    gone = repeated(docs, p, shared_dir(docs.sparkSession), id_col, text_col).withColumnsRenamed({"doc": "__gone_doc", "numbers": "__gone"})
-    joined = docs.join(gone, F.col(id_col) == F.col("__gone_doc"), "left").drop("__gone_doc")
-    parts = F.split(F.col(text_col), "\n")
-    kept = F.filter(parts, lambda _, i: ~F.array_contains(F.col("__gone"), i))
+    gone_doc, numbers = fresh("gone_doc", docs.columns), fresh("gone_numbers", docs.columns)
+    gone = repeated(docs, p, shared_dir(docs.sparkSession), id_col, text_col).withColumnsRenamed({"doc": gone_doc, "numbers": numbers})
+    joined = docs.join(gone, F.col(id_col) == F.col(gone_doc), "left")
+    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n")))
     return joined.select(
-        *[F.col(c) if c != text_col else F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) for c in docs.columns],
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_removed"),
+        *[F.col(c) if c != text_col else F.when(F.col(numbers).isNull(), F.col(c)).otherwise(_kept(F.col(c), F.col(numbers))).alias(c) for c in docs.columns],
+        n.cast("long").alias(fresh("n_lines", docs.columns)),
+        F.when(F.col(numbers).isNull() | F.col(text_col).isNull(), 0).otherwise(F.size(numbers)).cast("long").alias(fresh("n_removed", docs.columns)),
     )
 
 
 def op7_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, Lines(threshold=1, min_chars=20)).select(  # as the SQL below
-        "doc_id", F.greatest("__n_lines", F.lit(0)).alias("n_lines"), F.greatest("__n_removed", F.lit(0)).alias("n_removed"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
-    )
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def line_dedup_stage(spark, docs, sf_dir):
@@ -209,13 +206,18 @@ def line_dedup_stage(spark, docs, sf_dir):
 
 
 QUERIES = {"op7_line_dedup": op7_line_dedup}
+#: DuckDB's distance counts bytes: letters beyond ASCII (of which there are few) become one byte each.
 ORACLES = {
     "op7_line_dedup": """
 WITH l AS (SELECT doc_id, unnest(range(len(parts))) AS no, unnest(parts) AS whole FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
 t AS (SELECT doc_id, no, whole, trim(whole, ' ') AS line FROM l),
-g AS (SELECT line, min(struct_pack(d := doc_id, n := no)) AS first_at FROM t WHERE line <> '' GROUP BY line),
-n AS (SELECT DISTINCT b.line FROM g a JOIN g b ON a.first_at < b.first_at AND length(a.line) >= 20 AND length(b.line) >= 20
-    AND length(a.line) BETWEEN length(b.line) - 1 AND length(b.line) + 1 AND levenshtein(a.line, b.line) <= 1),
+x AS (SELECT string_agg(c, '' ORDER BY c) AS letters FROM (SELECT DISTINCT unnest(regexp_extract_all(line, '[^\x00-\x7F]')) AS c FROM t)),
+g AS (SELECT line, min(struct_pack(d := doc_id, n := no)) AS first_at, length(line) AS n,
+    translate(line, any_value(letters), (SELECT string_agg(chr(CAST(k AS INTEGER)), '' ORDER BY k) FROM unnest(range(1, 32)) r(k) WHERE k NOT BETWEEN 9 AND 13)) AS coded
+    FROM t, x WHERE line <> '' GROUP BY line),
+p AS (SELECT g.*, least(3, (n + 10) // 20) AS edits FROM g),
+n AS (SELECT DISTINCT b.line FROM p a JOIN p b ON a.first_at < b.first_at AND a.n BETWEEN b.n - 3 AND b.n + 3
+    WHERE least(a.edits, b.edits) > 0 AND abs(a.n - b.n) <= least(a.edits, b.edits) AND levenshtein(a.coded, b.coded) <= least(a.edits, b.edits)),
 j AS (SELECT t.doc_id, t.no, t.whole, t.line <> '' AND (n.line IS NOT NULL OR struct_pack(d := t.doc_id, n := t.no) <> g.first_at) AS gone
     FROM t LEFT JOIN g ON t.line = g.line LEFT JOIN n ON t.line = n.line)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
