@@ -67,23 +67,26 @@ class Lines:
 STAGE = Lines(most=5)
 
 
-def _class(n: Column, p: Lines) -> Column:
-    """(t, least) of the class of the lines of ``n`` characters; none of them is shorter than ``least``."""
-    t, power = p.edits(n), F.pow(F.lit(2.0), F.length(F.bin(n)) - 1).cast("int")
-    half = (power + power / 2).cast("int")
-    return F.struct(t.alias("t"), F.greatest(F.when(n >= half, half).otherwise(power), t * p.per_chars - p.per_chars // 2).cast("int").alias("least"))
-
-
-def _keys(lines: DataFrame, p: Lines, *more: str) -> DataFrame:
-    """(h1, key) and more columns: a row for each indexed substring of each line."""
-    n = F.length("line")
-    rows = lines.select("h1", "line", *more, n.alias("n"), _class(n, p).alias("c0")).filter("c0.t > 0")
-    for k in (1, 2):  # classes of shorter partners: at their greatest length
-        m = F.col(f"c{k - 1}.least") - 1
-        c = _class(m, p)
-        rows = rows.withColumn(f"c{k}", F.when(F.col(f"c{k - 1}").isNotNull() & (m > 0) & (c["t"] > 0) & (F.col("n") - m <= c["t"]), c))
-    rows = rows.select("h1", "line", *more, "n", F.explode(F.array("c0", "c1", "c2")).alias("c")).filter("c is not null")
-    rows = rows.select("h1", "line", *more, "n", F.col("c.t").alias("t"), F.col("c.least").alias("least"), F.floor(F.col("c.least") / (F.col("c.t") + 1)).cast("int").alias("zone"))
+def _class(n: Column, p: Lines) -> tuple[Column, Column]:
+    """Threshold and least length of the class of the lines of ``n`` characters."""
+    t = p.edits(n)
+    power = F.call_function("shiftleft", F.lit(1), F.floor(F.log2(n + F.lit(0.5))).cast("int"))
+    half = power + F.shiftright(power, 1)
+    return t, F.greatest(F.when(n >= half, half).otherwise(power), t * p.per_chars - p.per_chars // 2)
+
+
+def _keys(lines: DataFrame, p: Lines) -> DataFrame:
+    """(h1, key): a row for each indexed substring of each line.
+
+    Characters are cut from four bytes each, where a place is found at once. Exploded arrays of one entry keep what
+    is computed once from being computed again wherever it is used.
+    """
+    rows = lines.select("h1", F.explode(F.array(F.encode("line", "UTF-32"))).alias("u")).select("h1", "u", (F.octet_length("u") / 4).cast("int").alias("n"))
+    # the class of each length that a shorter partner may have, once: at the greatest length
+    rows = rows.select("h1", "u", "n", F.explode(F.sequence(F.lit(0), p.edits(F.col("n")))).alias("d")).select("h1", "u", "n", "d", (F.col("n") - F.col("d")).alias("m"))
+    (t, least), (_, above) = _class(F.col("m"), p), _class(F.col("m") + 1, p)
+    rows = rows.filter((F.col("m") > 0) & (t > 0) & (t >= F.col("d")) & ((F.col("d") == 0) | (least != above)))
+    rows = rows.select("h1", "u", "n", t.alias("t"), least.alias("least")).select("h1", "u", "n", "t", "least", F.floor(F.col("least") / (F.col("t") + 1)).cast("int").alias("zone"))
     keys = []
     for end in (0, 1):
         for i in range(1, (p.most + 2 - end) // 2 + 1):
@@ -91,9 +94,9 @@ def _keys(lines: DataFrame, p: Lines, *more: str) -> DataFrame:
             for at in OFFSETS[i - 1]:
                 size = F.col("zone") - max(OFFSETS[i - 1])
                 start = F.col("zone") * (i - 1) + at if not end else F.col("n") - F.col("zone") * i + at
-                part = F.col("line").substr(start.cast("int") + 1, size.cast("int"))
+                part = F.col("u").substr(4 * start + 1, 4 * size)
                 keys.append(F.when(F.col("t") >= fewest, F.xxhash64("least", F.lit(2 * i + end), part)))
-    return rows.select("h1", *more, *(["line"] if "line" not in more else []), F.explode(F.array(*keys)).alias("key")).filter("key is not null")
+    return rows.select("h1", F.explode(F.array(*keys)).alias("key")).filter("key is not null")
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,13 +132,13 @@ def later_lines(lines: DataFrame, groups: DataFrame, p: Lines, where: str) -> Da
     keys = _keys(lines, p)
     met = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select(F.col("key").alias("m_key"))
     met = stored(met, f"{where}/met")
-    rows = _picked(keys, "key", met).groupBy("key", "h1").agg(F.min("line").alias("line"))
-    rows = stored(rows, f"{where}/rows")
+    rows = stored(_picked(keys, "key", met).groupBy("key", "h1").agg(F.lit(1).alias("one")).select("key", "h1"), f"{where}/rows")
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > p.most_pairs)
     hot = stored(counts.select(F.col("key").alias("hot_key"), F.ceil(F.col("lines") / p.block).cast("int").alias("parts")), f"{where}/hot")
-    ids = rows.groupBy("h1").agg(F.min("line").alias("line"))
-    firsts = _picked(groups.select("h1", "first"), "h1", stored(ids.select(F.col("h1").alias("c_h1")), f"{where}/ids")).groupBy("h1").agg(F.min("first").alias("first"))
-    known = stored(ids.join(firsts.hint("merge"), "h1"), f"{where}/known")
+    ids = stored(rows.select(F.col("h1").alias("c_h1")).distinct(), f"{where}/ids")
+    texts = _picked(lines, "h1", ids).groupBy("h1").agg(F.min("line").alias("line"))
+    firsts = _picked(groups.select("h1", "first"), "h1", ids).groupBy("h1").agg(F.min("first").alias("first"))
+    known = stored(texts.join(firsts.hint("merge"), "h1"), f"{where}/known")
 
     cold = rows.select("key", "h1").join(hot.hint("merge"), F.col("key") == F.col("hot_key"), "left_anti")
     mine = cold.select(F.col("key").alias("o_key"), F.col("h1").alias("o_h1"))
@@ -148,14 +151,23 @@ def later_lines(lines: DataFrame, groups: DataFrame, p: Lines, where: str) -> Da
     if hot.isEmpty():
         return late
 
-    # lines of hot keys that are known to go need no more partners, but may be partners of others
-    many = rows.select("key", "h1").join(hot.hint("merge"), F.col("key") == F.col("hot_key"))
-    many = many.join(known.withColumnRenamed("h1", "k_h1").hint("merge"), F.col("h1") == F.col("k_h1")).join(late.hint("merge"), F.col("h1") == F.col("late"), "left")
-    many = many.select("key", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int").alias("part"), F.struct("h1", "first", "line", F.col("late").isNull().alias("open")).alias("x"))
-    blocks = stored(many.groupBy("key", "part").agg(F.sort_array(F.collect_list("x")).alias("xs")), f"{where}/blocks")
+    # most lines of a hot key are near its earliest line; one comparison for each tells
+    many = rows.select("key", "h1").join(hot.hint("merge"), F.col("key") == F.col("hot_key")).drop("hot_key")
+    many = many.join(known.withColumnRenamed("h1", "k_h1").hint("merge"), F.col("h1") == F.col("k_h1")).drop("k_h1")
+    many = stored(many.join(late.hint("merge"), F.col("h1") == F.col("late"), "left").select("key", "h1", "parts", "line", "first", F.col("late").isNull().alias("open")), f"{where}/hot-lines")
+    earliest = many.groupBy(F.col("key").alias("e_key")).agg(F.min(F.struct("first", "line")).alias("e"))
+    near = many.filter("open").join(earliest.hint("merge"), F.col("key") == F.col("e_key")).filter(F.col("e.first") < F.col("first"))
+    late = stored(late.union(near.filter(_near(F.col("line"), F.col("e.line"), p)).select("h1")).distinct(), f"{where}/late-hot")
+
+    # lines that are known to go need no more partners, but may be partners of others
+    many = many.join(late.hint("merge"), F.col("h1") == F.col("late"), "left")
+    many = many.select("key", "parts", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int").alias("part"), F.struct("first", "line", "h1", F.col("late").isNull().alias("open")).alias("x"))
+    blocks = stored(many.groupBy("key", "parts", "part").agg(F.sort_array(F.collect_list("x")).alias("xs")), f"{where}/blocks")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = blocks.select("key", F.filter("xs", lambda x: x["open"]).alias("xs"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to")).filter("size(xs) > 0")
     other = blocks.select(F.col("key").alias("o_key"), F.col("part").alias("o_part"), F.col("xs").alias("ys"))
-    both = blocks.join(other.hint("merge"), F.col("key") == F.col("o_key"))
-    found = F.filter("xs", lambda x: x["open"] & F.exists("ys", lambda y: (y["first"] < x["first"]) & _near(x["line"], y["line"], p)))
+    both = mine.repartition(n, "key", "to").join(other.repartition(n, "o_key", "o_part").hint("merge"), (F.col("key") == F.col("o_key")) & (F.col("to") == F.col("o_part")))
+    found = F.filter("xs", lambda x: F.exists("ys", lambda y: (y["first"] < x["first"]) & _near(x["line"], y["line"], p)))
     return late.union(both.select(F.explode(F.transform(found, lambda x: x["h1"])).alias("late"))).distinct()
 
 
@@ -176,8 +188,11 @@ def repeated(docs: DataFrame, p: Lines, where: str, id_col: str, text_col: str)
 
 def _kept(text: Column, numbers: Column) -> Column:
     """The text without the lines of these sorted numbers, in time linear in the text."""
-    parts = F.struct(F.split(text, "\n").alias("p"), F.concat(F.array(F.lit(-1)), numbers, F.array(F.size(F.split(text, "\n")))).alias("g"))
-    stretches = lambda v: F.flatten(F.transform(F.sequence(F.lit(1), F.size(v["g"]) - 1), lambda k: F.slice(v["p"], F.get(v["g"], k - 1) + 2, F.get(v["g"], k) - F.get(v["g"], k - 1) - 1)))
+    parts = F.struct(F.split(text, "\n").alias("p"), numbers.alias("g"))
+    from_ = lambda v, k: F.when(k == 0, 0).otherwise(F.get(v["g"], k - 1) + 1)
+    to = lambda v, k: F.when(k == F.size(v["g"]), F.size(v["p"])).otherwise(F.get(v["g"], k))
+    # the stretches between the numbers
+    stretches = lambda v: F.flatten(F.transform(F.sequence(F.lit(0), F.size(v["g"])), lambda k: F.slice(v["p"], from_(v, k) + 1, to(v, k) - from_(v, k))))
     return F.array_join(F.element_at(F.transform(F.array(parts), stretches), 1), "\n")
 
 
@@ -186,7 +201,8 @@ def dedup_lines(docs: DataFrame, p: Lines = Lines(), id_col: str = "doc_id", tex
     gone_doc, numbers = fresh("gone_doc", docs.columns), fresh("gone_numbers", docs.columns)
     gone = repeated(docs, p, shared_dir(docs.sparkSession), id_col, text_col).withColumnsRenamed({"doc": gone_doc, "numbers": numbers})
     joined = docs.join(gone, F.col(id_col) == F.col(gone_doc), "left")
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n")))
+    ends = F.length(F.col(text_col)) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    n = F.when(F.col(text_col).isNull(), 0).otherwise(ends + 1)
     return joined.select(
         *[F.col(c) if c != text_col else F.when(F.col(numbers).isNull(), F.col(c)).otherwise(_kept(F.col(c), F.col(numbers))).alias(c) for c in docs.columns],
         n.cast("long").alias(fresh("n_lines", docs.columns)),
