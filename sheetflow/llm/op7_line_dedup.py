@@ -16,8 +16,9 @@ One rule holds for lines of every length; where it gives 0 edits, near is equal.
 * *Probing.* Keys that only one line has are dropped by a map-side minimum and maximum. Lines that share the others are
   candidate pairs.
 * *Hot keys.* A key that more than ``most_pairs`` lines share makes no pairs: its lines are cut into blocks of about
-  ``block`` lines, and each two blocks meet in one row, where a line looks for any near line that stands earlier. So the rows
-  grow with the square of blocks, not of lines, and no line is left out.
+  ``block`` lines, and each two blocks meet in one row, where a line looks for any near line that stands earlier, after one
+  look at the earliest line of the key. So the rows grow with the square of blocks, not of lines, and no line is left
+  out. Two lines that share several hot keys are compared under the least; letter counts exclude most others.
 * *Verification* is a banded edit distance. Spark's ``levenshtein`` with a threshold is a dynamic program in a band of
   that width, compiled; the bit-parallel recurrence in native functions (``bit_parallel``) runs interpreted, at
   hundreds of times its cost (README), and so confirms pairs of cold keys only where their differing middles are short.
@@ -154,23 +155,46 @@ def later_lines(lines: DataFrame, groups: DataFrame, p: Lines, where: str) -> Da
     # most lines of a hot key are near its earliest line; one comparison for each tells
     many = rows.select("key", "h1").join(hot.hint("merge"), F.col("key") == F.col("hot_key")).drop("hot_key")
     many = many.join(known.withColumnRenamed("h1", "k_h1").hint("merge"), F.col("h1") == F.col("k_h1")).drop("k_h1")
-    many = stored(many.join(late.hint("merge"), F.col("h1") == F.col("late"), "left").select("key", "h1", "parts", "line", "first", F.col("late").isNull().alias("open")), f"{where}/hot-lines")
+    many = many.join(late.hint("merge"), F.col("h1") == F.col("late"), "left").withColumn("open", F.col("late").isNull()).drop("late")
+    many = stored(many, f"{where}/hot-lines")
     earliest = many.groupBy(F.col("key").alias("e_key")).agg(F.min(F.struct("first", "line")).alias("e"))
     near = many.filter("open").join(earliest.hint("merge"), F.col("key") == F.col("e_key")).filter(F.col("e.first") < F.col("first"))
     late = stored(late.union(near.filter(_near(F.col("line"), F.col("e.line"), p)).select("h1")).distinct(), f"{where}/late-hot")
 
     # lines that are known to go need no more partners, but may be partners of others
-    many = many.join(late.hint("merge"), F.col("h1") == F.col("late"), "left")
-    many = many.select("key", "parts", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int").alias("part"), F.struct("first", "line", "h1", F.col("late").isNull().alias("open")).alias("x"))
+    hot_keys = many.groupBy(F.col("h1").alias("x_h1")).agg(F.collect_set("key").alias("keys"))  # no more than a line has
+    many = many.drop("open").join(late.hint("merge"), F.col("h1") == F.col("late"), "left").join(hot_keys.hint("merge"), F.col("h1") == F.col("x_h1"))
+    lower = F.filter("keys", lambda k: k < F.col("key")).alias("lower")
+    x = F.struct("first", "line", "h1", F.col("late").isNull().alias("open"), lower, _letters(F.col("line")).alias("letters"))
+    many = many.select("key", "parts", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int").alias("part"), x.alias("x"))
     blocks = stored(many.groupBy("key", "parts", "part").agg(F.sort_array(F.collect_list("x")).alias("xs")), f"{where}/blocks")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     mine = blocks.select("key", F.filter("xs", lambda x: x["open"]).alias("xs"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to")).filter("size(xs) > 0")
     other = blocks.select(F.col("key").alias("o_key"), F.col("part").alias("o_part"), F.col("xs").alias("ys"))
     both = mine.repartition(n, "key", "to").join(other.repartition(n, "o_key", "o_part").hint("merge"), (F.col("key") == F.col("o_key")) & (F.col("to") == F.col("o_part")))
-    found = F.filter("xs", lambda x: F.exists("ys", lambda y: (y["first"] < x["first"]) & _near(x["line"], y["line"], p)))
+
+    def partner(x: Column, y: Column) -> Column:
+        # two lines that share several hot keys meet under the least of them alone
+        return (y["first"] < x["first"]) & (_unlike(x["letters"], y["letters"]) <= 2 * p.most) & ~F.arrays_overlap(x["lower"], y["lower"]) & _near(x["line"], y["line"], p)
+
+    found = F.filter("xs", lambda x: F.exists("ys", lambda y: partner(x, y)))
     return late.union(both.select(F.explode(F.transform(found, lambda x: x["h1"])).alias("late"))).distinct()
 
 
+#: Disjoint groups of letters, each of about as many characters of a text in Latin letters.
+GROUPS = ("et", "an", "oi", "rs", "hl", "dc", "um ")
+
+
+def _letters(line: Column) -> Column:
+    """How many characters of each group a line has."""
+    return F.struct(*[(F.length(line) - F.length(F.translate(line, g, ""))).alias(f"g{k}") for k, g in enumerate(GROUPS)])
+
+
+def _unlike(a: Column, b: Column) -> Column:
+    """The sum of differences of these numbers: an edit changes it by two at most."""
+    return sum((F.abs(a[f"g{k}"] - b[f"g{k}"]) for k in range(1, len(GROUPS))), F.abs(a["g0"] - b["g0"]))
+
+
 def repeated(docs: DataFrame, p: Lines, where: str, id_col: str, text_col: str) -> DataFrame:
     """doc and the numbers of its lines that go."""
     lines = split_lines(docs, id_col, text_col)
