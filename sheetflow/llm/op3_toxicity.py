@@ -8,8 +8,9 @@ end up telling *which* sentences offend; those are located in the result.
 Features are hashed: each word and its first 4, 5 and 6 bytes (stems of inflected insults). Labels,
 language, source and identifiers are no features. Training uses at most ``max_toxic`` +
 ``max_clean`` labelled documents in a fixed hash order (a documented bound), of those alone whose
-crc32 of the identifier modulo ``folds`` is not ``held_fold``; scoring covers all rows and whole
-texts in one narrow pass.
+crc32 of the identifier modulo ``folds`` is not ``held_fold``. The sample is stored once; its feature counts by class are
+folded by the tasks into a table of fixed size, and the driver gets only the features that speak for toxicity, a few bytes for
+each sentence. Scoring covers all rows and whole texts in one narrow pass.
 
 Defined results: a null text or one without words has score 0.0 (an empty product); rows without a label are scored
 like all others; null labels are no labels; without toxic training documents no
@@ -19,7 +20,6 @@ table gives an empty table; other columns of the inputs are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes, text_slices
+from . import blobs
+from .common import shared_dir, stored, table, text_bytes, text_slices
 from .wordhash import BASE, INVERSE, SLICE, _lower, mix, powers, spans
 
 
@@ -93,18 +94,18 @@ def _softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, x)
 
 
-def ratios(bags: list, labels: np.ndarray, s: Settings) -> np.ndarray:
-    """By feature, how far its log likelihood ratio between the classes is above ``min_ratio``, else 0."""
-    seen = np.zeros((2, 1 << s.bits), np.int32)
-    for y, ids, _ in bags:
-        seen[int(y), np.unique(ids)] += 1
+def ratios(seen: np.ndarray, docs: np.ndarray, s: Settings) -> np.ndarray:
+    """By feature, how far its log likelihood ratio between the classes is above ``min_ratio``, else 0.
+
+    ``seen``: in how many clean and toxic documents each feature is; ``docs``: how many clean and toxic ones there are.
+    """
     clean, toxic = seen.astype(np.float64)
-    ratio = np.log(((toxic + 0.5) / (labels.sum() + 1)) / ((clean + 0.5) / ((~labels).sum() + 1)))
+    ratio = np.log(((toxic + 0.5) / (docs[1] + 1)) / ((clean + 0.5) / (docs[0] + 1)))
     return np.where(toxic + clean >= s.min_docs, np.maximum(ratio - s.min_ratio, 0.0), 0.0)
 
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> tuple[np.ndarray, float]:
-    """Weights and bias from (label, feature identifiers, number of features of each sentence).
+def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], scale: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
+    """Weights and bias from (label, identifiers of features of scale above 0, number of these in each sentence).
 
     Only features seen in ``min_docs`` documents that speak for toxicity can have a weight, never
     below 0: words that a single document has would otherwise explain its label.
@@ -114,15 +115,8 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> tuple[np
     if not labels.any() or labels.all():
         share = float(labels.mean()) if len(labels) else 0.0
         return weights, -700.0 if share == 0 else 700.0
-    scale = ratios(bags, labels, s)
-    ids, sizes = [], []
-    for _, cells, lengths in bags:
-        keep = scale[cells] > 0
-        upto = np.concatenate([[0], np.cumsum(keep)])
-        sizes.append(np.diff(upto[np.concatenate([[0], np.cumsum(lengths)])]))
-        ids.append(cells[keep])
-    docs = np.concatenate([[0], np.cumsum([len(n) for n in sizes])])
-    ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+    docs = np.concatenate([[0], np.cumsum([len(n) for _, _, n in bags])])
+    ids, sizes = np.concatenate([c for _, c, _ in bags]), np.concatenate([n for _, _, n in bags])
     cells = np.concatenate([[0], np.cumsum(sizes)])
     raw, seen, seen_bias = np.zeros(1 << s.bits), np.zeros(1 << s.bits), 1e-6
     for _ in range(s.rounds):
@@ -144,7 +138,7 @@ def held_out(id_col: str, s: Settings):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % s.folds == s.held_fold
 
 
-def _training(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text_col: str, label_col: str) -> list:
+def _training(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text_col: str, label_col: str) -> tuple[list, np.ndarray]:
     known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and l_id is not null")
     known = known.filter(~held_out("l_id", s)).groupBy("l_id").agg(F.max("y").alias("y"))
     order = F.xxhash64(F.lit(5), F.col("l_id"))
@@ -152,25 +146,39 @@ def _training(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text
     # at most max_toxic + max_clean identifiers: a proven bound for the broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("l_id"))
 
+    rows = stored(rows.select("text", "y"), f"{shared_dir(docs.sparkSession)}/sample")
+
+    def count(table: np.ndarray, batch: pa.RecordBatch) -> None:
+        y = batch.column(1).to_numpy(zero_copy_only=False)
+        for a, b, texts in text_slices(batch.column(0), SLICE):
+            ids, sentence, at, starts, _ = features(*text_bytes(texts), s)
+            places = np.append(sentence, len(starts))
+            for k in range(b - a):
+                table[(int(y[a + k]) << s.bits) + np.unique(ids[places[at[k]] : places[at[k + 1]]])] += 1
+
+    seen = blobs.gather(rows, count, 2 << s.bits, "int32", np.add).reshape(2, -1)
+    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    scale = ratios(seen, np.array([sizes.get(0, 0), sizes.get(1, 0)]), s)
+    shared = docs.sparkSession.sparkContext.broadcast(scale > 0)  # 2**bits flags, a fixed size
+
     def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_slices(batch.column(0), SLICE):
                 ids, sentence, at, starts, _ = features(*text_bytes(texts), s)
                 places = np.append(sentence, len(starts))
-                cells, sizes = [], []
+                kept = shared.value[ids]
+                inside = np.concatenate([[0], np.cumsum(kept.sum(1))])[places]
+                cells, each = [], []
                 for k in range(b - a):
                     lo, hi = places[at[k]], places[at[k + 1]]
-                    cells.append(ids[lo:hi].tobytes())
-                    sizes.append((np.diff(places[at[k] : at[k + 1] + 1]) * ids.shape[1]).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(cells, pa.binary()), pa.array(sizes, pa.binary())], ["y", "ids", "sizes"])
+                    cells.append(ids[lo:hi][kept[lo:hi]].tobytes())
+                    each.append(np.diff(inside[at[k] : at[k + 1] + 1]).astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(cells, pa.binary()), pa.array(each, pa.binary())], ["y", "ids", "sizes"])
 
-    found = rows.select("text", "y").mapInArrow(bags, "y int, ids binary, sizes binary").toArrow()
-    out = []
-    for batch in found.to_batches():  # views of the Arrow memory: the sample is held once
-        views = (np.frombuffer(v.as_buffer(), np.int32) for pair in zip(batch.column(1), batch.column(2), strict=True) for v in pair)
-        out += list(zip(batch.column(0).to_pylist(), views, views))
-    # a fixed order: sums of floats, and so the weights, do not depend on the partitions
-    return sorted(out, key=lambda bag: (bag[0], len(bag[1]), zlib.crc32(bag[1])))
+    # at most max_toxic + max_clean rows; a fixed order: sums of floats, and so the weights, do not depend on the partitions
+    found = sorted((r.y, bytes(r.ids), bytes(r.sizes)) for r in rows.mapInArrow(bags, "y int, ids binary, sizes binary").collect())
+    shared.destroy()
+    return [(y, np.frombuffer(ids, np.int32), np.frombuffer(n, np.int32)) for y, ids, n in found], scale
 
 
 @dataclass(frozen=True)
@@ -181,9 +189,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col="doc_id", text_col="text", label_col="toxic") -> Model:
-    model = Model(*fit(_training(docs, labels, s, id_col, text_col, label_col), s), s)
-    pa.default_memory_pool().release_unused()
-    return model
+    return Model(*fit(*_training(docs, labels, s, id_col, text_col, label_col), s), s)
 
 
 SCORED = "score double, n_sentences int, offending array<struct<sentence:int,start:int,end:int,score:double>>"
@@ -235,7 +241,9 @@ def toxicity_stage(spark, docs, sf_dir):
     """Pipeline stage: documents of score ``threshold`` or more go; the others keep their columns."""
     s = Settings()
     model = train(docs, table(spark, sf_dir, "labels"), s)
-    return score(docs, model, keep=docs.columns).filter(F.col("score") < s.threshold).select(*docs.columns)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # columns of any names
+    kept = score(plain, model, text_col=f"c{docs.columns.index('text')}", keep=plain.columns).filter(F.col("score") < s.threshold)
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 QUERIES = {"op3_toxicity": op3_toxicity}
