@@ -2,36 +2,41 @@
 
 A window is judged by all its words, yet no row is made for each window. Inside a window the least
 hash of its 8-word runs is its *anchor*, which equal windows share wherever they stand. Neighbouring
-windows with the same anchor form a *segment*; the index holds a row (anchor, segment hash, first
+windows with the same anchor form a *segment*; the index holds a row (anchor, segment hash, second segment hash, first
 document) for each distinct segment, about one for 22 words.
 
-The index is log-structured: each batch of documents (ascending identifiers) becomes an immutable run,
-sorted by anchor. The runs of history are merged with the run of the new batch:
+The index is log-structured. A batch of documents (ascending identifiers) becomes one immutable run, bucketed and
+sorted by anchor, of the segments that no run before it has. A batch is merge-joined with the runs of history bucket
+by bucket, so history is neither shuffled nor rewritten:
 
-* a segment that starts in an earlier document covers all its words (decided by the merge alone);
-* where one anchor stands in several different segments, single windows may still agree. Only the first
-  document of each such segment lists its windows, and the windows are verified one by one by
-  hash (64 bits of the window, 64 of its anchor).
+* a segment that starts in an earlier document, with both hashes equal, covers all its words;
+* where an anchor of the batch stands in several different segments, single windows may still agree. Only the first
+  document of each such segment lists its windows, and they are verified one by one by an independent hash
+  (64 bits of the window, 64 of its anchor). Of history only the documents of such segments are read again: a window
+  for each word kept in the runs would be larger than the texts.
 
-When more than ``fanout`` runs have piled up they are compacted into one. A Bloom filter of bounded
-size tells the scan which segments to list; a false positive costs a few rows, never a wrong result.
+``fanout`` runs of one level are compacted into one of the next, so a row is rewritten once for each level. A manifest
+names the runs after each batch; an index is opened again from its folder, and what a broken batch left behind is
+not in it. Bloom filters of bounded size tell the scan which documents and segments to list; a false positive
+costs a few rows, never a wrong result.
 
-Hot passages: minima are taken map-side, and joins are plain sort-merge joins over stored tables, which
-Spark splits where they are skewed.
+Hot passages: minima are taken map-side, and a passage is one row of a run however many documents have it.
 
 Defined results: null or empty texts have no words (the digest is that of the empty string); texts of
 fewer than 50 words lose nothing; repetition inside one document is no reason to remove; rows with
-the same identifier never remove each other's words, and ranges found in one apply to all of them;
-an empty table gives an empty table; other columns are not read.
+the same identifier never remove each other's words, and ranges found in one apply to all of them; rows without an
+identifier lose nothing and take nothing from others; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,16 +57,23 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _spans(h: np.ndarray, place: np.ndarray, span: np.ndarray, salt: int) -> np.ndarray:
+    """Hash of the ``span`` words from each place on."""
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h + np.uint64(salt)) * powers(BASE, len(h)), out=sums[1:])
+    return mix((sums[place + span] - sums[place]) * powers(INVERSE, len(h) + 1)[place] + span.astype(np.uint64))
+
+
 def segments(data: np.ndarray, offsets: np.ndarray):
     """All segments of a batch.
 
     Returns word hashes, window anchors, and for each segment: row, first word in the row, number of
-    windows, place of its first window among the words, hash.
+    windows, place of its first window among the words, two hashes.
     """
     h, _, _, rows = words(data, offsets)
     none = np.zeros(0, np.int64)
     if len(h) < WINDOW:
-        return h, np.zeros(0, np.uint64), none, none, none, none, np.zeros(0, np.uint64)
+        return h, np.zeros(0, np.uint64), none, none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     anchor = _least(runs(h, GRAM), WINDOW - GRAM + 1)
     counts = np.diff(rows)
     at = np.repeat(np.arange(len(counts)), np.maximum(counts - WINDOW + 1, 0))
@@ -73,12 +85,10 @@ def segments(data: np.ndarray, offsets: np.ndarray):
     head = np.flatnonzero(new)
     length = np.diff(np.append(head, len(window)))
     place = window[head]
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(mix(h + np.uint64(0x632BE59BD9B4E019)) * powers(BASE, len(h)), out=sums[1:])
     span = length + WINDOW - 1
-    code = mix((sums[place + span] - sums[place]) * powers(INVERSE, len(h) + 1)[place] + span.astype(np.uint64))
+    code, check = (_spans(h, place, span, salt) for salt in (0x632BE59BD9B4E019, 0x8CB92BA72F3D8DD7))
     row = at[head]
-    return h, anchor, row, place - rows[row], length, place, code
+    return h, anchor, row, place - rows[row], length, place, code, check
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -86,36 +96,37 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, anchor, segment, start, windows) for each segment of (doc_id, text) rows."""
+    """A row (doc_id, anchor, segment, check, start, windows) for each segment of (doc_id, text) rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for a, b, texts in text_slices(batch.column(1), SLICE):
-                _, anchor, row, start, length, place, code = segments(*text_bytes(texts))
+                _, anchor, row, start, length, place, code, check = segments(*text_bytes(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a).take(pa.array(row)), _signed(anchor[place]), _signed(code), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))],
-                    ["doc_id", "anchor", "segment", "start", "windows"],
+                    [ids.slice(a, b - a).take(pa.array(row)), _signed(anchor[place]), _signed(code), _signed(check), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))],
+                    ["doc_id", "anchor", "segment", "check", "start", "windows"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, anchor long, segment long, start int, windows int")
+    return docs.mapInArrow(run, "doc_id long, anchor long, segment long, check long, start int, windows int")
 
 
 def _pair(segment: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(segment.view(np.uint64) ^ mix(doc.view(np.uint64) + np.uint64(11)))
 
 
-def list_windows(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """A row (anchor, window, doc_id, start) for each window of the segments that the filter lets pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def list_windows(docs: DataFrame, wanted) -> DataFrame:
+    """A row (anchor, window, doc_id, start) for each window of the documents and segments that the shared filters let pass."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_docs, of_pairs = wanted.value
         for batch in batches:
+            batch = batch.filter(pa.array(blobs.bloom_has(of_docs, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b, texts in text_slices(batch.column(1), SLICE):
-                h, anchor, row, start, length, place, code = segments(*text_bytes(texts))
+                h, anchor, row, start, length, place, code, _ = segments(*text_bytes(texts))
                 doc = ids[a:b][row]
-                keep = np.flatnonzero(blobs.bloom_has(shared.value, _pair(code, doc)))
+                keep = np.flatnonzero(blobs.bloom_has(of_pairs, _pair(code, doc)))
                 n = length[keep]
                 own = np.repeat(keep, n)
                 inner = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
@@ -128,56 +139,137 @@ def list_windows(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, window long, doc_id long, start int")
 
 
+KEY = ["anchor", "segment", "check"]
+
+
+def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A merge join on columns without nulls; the right table's keys go."""
+    named = right.withColumnsRenamed({k: f"j_{k}" for k in keys})
+    met = F.lit(True)
+    for k in keys:
+        met = met & (F.col(k) == F.col(f"j_{k}"))
+    out = left.join(named.hint("merge"), met, how)
+    return out.drop(*[f"j_{k}" for k in keys]) if how in ("inner", "left") else out
+
+
 class WindowIndex:
-    """Immutable sorted runs of (anchor, segment, first) under ``where``."""
+    """Immutable sorted runs of (anchor, segment, check, first) under ``where``, a folder of the shared storage.
 
-    def __init__(self, spark: SparkSession, where: str, fanout: int = 4):
-        self.spark, self.where, self.fanout = spark, where, fanout
-        self.runs: list[DataFrame] = []
-        self.batches = 0
+    An index that is there already is opened again. ``buckets`` is fixed when it is made, the shuffle partitions of the
+    session by default.
+    """
 
-    def _write(self, rows: DataFrame, name: str) -> DataFrame:
-        return stored(rows.repartition("anchor").sortWithinPartitions("anchor", "segment"), f"{self.where}/{name}")
+    def __init__(self, spark: SparkSession, where: str, fanout: int = 4, buckets: int | None = None):
+        self.spark, self.where, self.fanout = spark, where, fanout
+        self.batches, self.runs = 0, []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        last = self._manifest()
+        if last:
+            self.batches, self.buckets = last[0].batch + 1, last[0].buckets
+            self.runs = [(r.name, r.level, self._open(r.name)) for r in sorted(last, key=lambda r: r.place) if r.name]
+
+    def _manifest(self) -> list:
+        """Rows of the last batch: batch, buckets, place, name, level."""
+        try:
+            every = self.spark.read.parquet(f"{self.where}/manifest")
+        except AnalysisException:
+            return []
+        rows = every.collect()  # a few rows for each batch
+        newest = max((r.batch for r in rows), default=None)
+        return [r for r in rows if r.batch == newest]
+
+    def _publish(self) -> None:
+        rows = [(self.buckets, k, name, level) for k, (name, level, _) in enumerate(self.runs)] or [(self.buckets, 0, None, 0)]
+        self.spark.createDataFrame(rows, "buckets int, place int, name string, level int").coalesce(1).write.mode("overwrite").parquet(f"{self.where}/manifest/batch={self.batches - 1}")
+
+    def _open(self, name: str) -> DataFrame:
+        table = f"run_{uuid.uuid4().hex}"
+        self.spark.sql(
+            f"CREATE TABLE {table} (anchor BIGINT, segment BIGINT, `check` BIGINT, first BIGINT, old BOOLEAN) USING parquet "
+            f"CLUSTERED BY (anchor) SORTED BY (anchor, segment) INTO {self.buckets} BUCKETS LOCATION '{self.where}/{name}'"
+        )
+        return self.spark.table(table).filter("not old").select(*KEY, "first")
+
+    def _bucketed(self, rows: DataFrame, name: str) -> DataFrame:
+        """Store rows bucketed and sorted by anchor: joins on anchor with other such tables need no shuffle."""
+        table = f"run_{uuid.uuid4().hex}"
+        sort = [c for c in ("anchor", "segment") if c in rows.columns]
+        rows.write.bucketBy(self.buckets, "anchor").sortBy(*sort).format("parquet").option("path", f"{self.where}/{name}").mode("overwrite").saveAsTable(table)
+        return self.spark.table(table)
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.buckets, "anchor")
 
     def add(self, batch: DataFrame, history: DataFrame | None = None, above: int | None = None) -> DataFrame:
-        """Index a batch; returns its repeated ranges (doc_id, start, length).
+        """Index a batch of (doc_id, text); returns its repeated ranges (doc_id, start, length).
 
         ``history`` are the documents indexed before; their identifiers end at ``above`` and those of
         ``batch`` are greater.
         """
         k, self.batches = self.batches, self.batches + 1
-        at = f"{self.where}/batch{k}"
+        at = f"{self.where}/batch{k}-{uuid.uuid4().hex}"
         found = stored(scan(batch), f"{at}/segments")
-        self.runs.append(self._write(found.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first")), f"batch{k}/run"))
-        merged = self.runs[0]
-        if len(self.runs) > 1:
-            every = self.runs[0]
-            for run in self.runs[1:]:
-                every = every.unionByName(run)
-            merged = self._write(every.groupBy("anchor", "segment").agg(F.min("first").alias("first")), f"batch{k}/merged")
-            if len(self.runs) > self.fanout:
-                self.runs = [merged]
-        m = merged.select(F.col("anchor").alias("m_anchor"), F.col("segment").alias("m_segment"), "first")
-        whole = found.join(m.hint("merge"), (F.col("anchor") == F.col("m_anchor")) & (F.col("segment") == F.col("m_segment"))).filter("first < doc_id")
+        mine = self._dealt(found.groupBy(*KEY).agg(F.min("doc_id").alias("own")))
+        for i, (_, _, run) in enumerate(self.runs):
+            mine = _on(mine, run.withColumnRenamed("first", f"first_{i}"), KEY, "left")
+        known = [F.col(f"first_{i}") for i in range(len(self.runs))]
+        known = F.coalesce(*known) if known else F.lit(None).cast("long")  # runs hold different segments
+        name = f"runs/{k}-{uuid.uuid4().hex}"
+        merged = self._bucketed(mine.select(*KEY, F.coalesce(known, "own").alias("first"), known.isNotNull().alias("old")), name)
+        whole = _on(found, merged.select(*KEY, "first"), KEY).filter("first < doc_id")
         whole = whole.select("doc_id", "start", (F.col("windows") + (WINDOW - 1)).alias("length"))
 
-        contested = merged.groupBy("anchor").agg(F.min("segment").alias("a"), F.max("segment").alias("b")).filter("a <> b").select(F.col("anchor").alias("c_anchor"))
-        contested = stored(contested, f"{at}/contested")
-        firsts = stored(merged.join(contested.hint("merge"), F.col("anchor") == F.col("c_anchor")).select("segment", "first"), f"{at}/firsts")
-        key = lambda b: _pair(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False))
-        wanted = blobs.bloom(firsts, firsts.count(), key)
-        listed = stored(list_windows(batch if history is None else history.unionByName(batch), wanted), f"{at}/windows")
+        # anchors of the batch with several segments, here or in history
+        pair = F.struct("segment", "check")
+        ends = merged.groupBy("anchor").agg(F.min(pair).alias("a"), F.max(pair).alias("b"))
+        for i, (_, _, run) in enumerate(self.runs):
+            there = run.groupBy("anchor").agg(F.min(pair).alias(f"a{i}"), F.max(pair).alias(f"b{i}"))
+            ends = _on(ends, there, ["anchor"], "left").select("anchor", F.least("a", f"a{i}").alias("a"), F.greatest("b", f"b{i}").alias("b"))
+        contested = self._bucketed(ends.filter("a <> b").select("anchor"), f"batch{k}-contested-{uuid.uuid4().hex}")
+        new = merged.filter("not old").select(*KEY, "first")
+        firsts = [_on(run, contested, ["anchor"]).select("segment", "first") for run in (*[r for _, _, r in self.runs], new)]
+        listed = self._listed(firsts, batch if history is None else history.unionByName(batch), at)
         owners = stored(
             listed.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-            .select(F.col("anchor").alias("o_anchor"), F.col("window").alias("o_window"), "first"), f"{at}/owners",
+            .select("anchor", "window", "first"), f"{at}/owners",
         )
-        single = listed.join(owners.hint("merge"), (F.col("anchor") == F.col("o_anchor")) & (F.col("window") == F.col("o_window"))).filter("first < doc_id")
+        single = _on(listed, owners, ["anchor", "window"]).filter("first < doc_id")
         if above is not None:  # windows of history were judged in their own batch
             single = single.filter(F.col("doc_id") > above)
+        self.runs.append((name, 0, new))
+        self._compact()
+        self._publish()
         return whole.unionByName(single.select("doc_id", "start", F.lit(WINDOW).alias("length")))
 
-
-def remove_repeats(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    def _listed(self, firsts: list[DataFrame], docs: DataFrame, at: str) -> DataFrame:
+        every = firsts[0]
+        for part in firsts[1:]:
+            every = every.unionByName(part)
+        every = stored(every, f"{at}/firsts")
+        column = lambda b, i: b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = every.select("first").distinct()
+        filters = blobs.bloom(ids, ids.count(), lambda b: column(b, 0).view(np.uint64)), blobs.bloom(every, every.count(), lambda b: _pair(column(b, 0), column(b, 1)))
+        wanted = self.spark.sparkContext.broadcast(filters)
+        out = stored(list_windows(docs, wanted), f"{at}/windows")
+        wanted.destroy()
+        return out
+
+    def _compact(self) -> None:
+        """While a level has ``fanout`` runs, make them one of the next; runs never share a segment."""
+        level = 0
+        while any(x[1] >= level for x in self.runs):
+            these = [x for x in self.runs if x[1] == level]
+            if len(these) >= self.fanout:
+                every = these[0][2]
+                for x in these[1:]:
+                    every = every.unionByName(x[2])
+                name = f"runs/level{level + 1}-{uuid.uuid4().hex}"
+                whole = self._bucketed(self._dealt(every).withColumn("old", F.lit(False)), name)
+                self.runs = [x for x in self.runs if x[1] != level] + [(name, level + 1, whole.filter("not old").select(*KEY, "first"))]
+            level += 1
+
+
+def remove_repeats(docs: DataFrame, batches: int = 5, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text) of each row, indexed batch by batch."""
     spark = docs.sparkSession
     where = shared_dir(spark)
