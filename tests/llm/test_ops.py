@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheetflow.llm import op1_ngram_join, op2_chat, op3_toxicity, op4_decontamination, op5_fingerprint, op6_mixing, op7_line_dedup, op8_substring, op9_warc, op10_url_filter, registry, zipread
+from sheetflow.llm import op1_ngram_join, op2_chat, op3_toxicity, op4_decontamination, op5_fingerprint, op6_mixing, op7_line_dedup, op8_substring, op9_warc, op10_url_filter, registry, wordhash, zipread
 from sheetflow.llm.common import shared_dir, table
 from sheetflow.llm.components import components
 
@@ -104,6 +104,68 @@ def test_join_counts_every_link(spark):
     assert {r.doc_id: r.n_links for r in op1_ngram_join.join_documents(docs(spark, texts)).collect()} == want
 
 
+def brute_links(texts):
+    sets = [shingle_set(t) for t in texts]
+    return {i: sum(i != k and bool(y) and 5 * len(x & y) >= 4 * len(x | y) for k, y in enumerate(sets)) for i, x in enumerate(sets)}
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_join_splits_and_rings(spark, every):
+    """Small blocks: regions split by new pivots, level by level, and dense ones meet block by block."""
+    rng = np.random.default_rng(8)
+    texts = []
+    shared = [f"s{k}" for k in range(30)]
+    for f in range(12):  # families that share a passage, so that one territory holds several
+        base = [f"f{f}w{k}" for k in range(int(rng.integers(4, 40)))]
+        for _ in range(int(rng.integers(2, 14))):
+            w = shared + base
+            for at in rng.integers(0, len(w), rng.integers(0, 4)):
+                w[at] = f"v{rng.integers(3)}"
+            texts.append(" ".join(w))
+    j = op1_ngram_join.Join(block_docs=6, block_codes=600, sub_pivots=3, most_levels=3, most_rows=3.0, most_share=0.95)
+    got = {r.doc_id: r for r in op1_ngram_join.join_documents(docs(spark, texts), j, every=every).collect()}
+    assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == brute_components(dict(enumerate(texts)))
+    if every:
+        assert {k: r.n_links for k, r in got.items()} == brute_links(texts)
+
+
+def test_join_of_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(100)]
+    texts = []
+    for _ in range(2000):
+        w = list(base)
+        for at in rng.integers(0, 100, rng.integers(0, 4)):
+            w[at] = f"v{rng.integers(40)}"
+        texts.append(" ".join(w))
+    sets, codes = [shingle_set(t) for t in texts], {}
+    has = np.zeros((len(sets), len({c for s in sets for c in s})), np.float32)
+    for i, s in enumerate(sets):
+        for c in s:
+            has[i, codes.setdefault(c, len(codes))] = 1
+    inter, n = has @ has.T, has.sum(1)
+    link = (5 * inter >= 4 * (n[:, None] + n[None, :] - inter)) & ~np.eye(len(n), dtype=bool)
+    got = {r.doc_id: r for r in op1_ngram_join.join_documents(docs(spark, texts)).collect()}
+    assert {k: r.n_links for k, r in got.items()} == dict(enumerate(link.sum(1).tolist()))
+    label = np.arange(len(n))
+    for _ in range(50):
+        label = np.minimum(label, np.where(link, label[None, :], len(n)).min(1))
+    assert {k: r.component_id for k, r in got.items()} == dict(enumerate(label.tolist()))
+    part = {r.doc_id: r.component_id for r in op1_ngram_join.join_documents(docs(spark, texts), every=False).collect()}
+    assert part == dict(enumerate(label.tolist()))
+
+
+def test_join_null_and_repeated_identifiers(spark):
+    t = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(None, t), (4, t), (4, t), (2, t + " x"), (None, None), (7, "")], "doc_id long, text string")
+    got = sorted((r.doc_id is not None, r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in op1_ngram_join.join_documents(df).collect() if r.doc_id is not None)
+    assert got == [(True, 2, 27, 2, 2), (True, 4, 26, 2, 2), (True, 4, 26, 2, 2), (True, 7, 0, 7, 0)]
+    rest = [(r.n_shingles, r.component_id, r.n_links) for r in op1_ngram_join.join_documents(df).collect() if r.doc_id is None]
+    assert sorted(rest) == [(0, None, 0), (26, None, 0)]
+    kept = op1_ngram_join.near_duplicate_stage(spark, df.withColumn("gone", F.lit(1)).withColumn("GONE_", F.lit(2)), None)
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, -1, 2, 7] and kept.columns == ["doc_id", "text", "gone", "GONE_"]
+
+
 def test_join_test_table(spark):
     rows = {r.doc_id: r.text for r in table(spark, SF, "documents").select("doc_id", "text").collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op1_ngram_join.op1_ngram_join(spark, SF).collect()}
@@ -144,6 +206,24 @@ def test_tool_calls(spark):
     assert op2_chat.link(calls.limit(0), results.limit(0), schema).count() == 0
 
 
+def test_tool_calls_in_topological_order(spark):
+    """Chains, a missing need, a circle and what hangs on it, several tools, broken arguments, repeated rows, other columns."""
+    schema = {"t": {"type": "object", "properties": {"x": {"type": "string", "enum": ["a"]}, "y": {"type": "string", "pattern": "^b"}}}}
+    chain = [("c", f"k{i}", 20 - i, "t", '{"x":"a"}', f"k{i - 1}" if i else None) for i in range(11)]
+    more = [("c", "m", 1, "t", '{"x":"z"}', "nobody"), ("c", "o1", 1, "t", '{"y":"c"}', "o2"), ("c", "o2", 1, "t", "{", "o1"), ("c", "o3", 1, "u", "{}", "o1"), ("d", "k0", 1, "t", "{}", None), ("d", "k0", 1, "t", "{}", None)]
+    calls = spark.createDataFrame(chain + more, "conv_id string, call_id string, turn long, name string, arguments string, needs string").withColumn("level", F.lit(1)).withColumn("step", F.lit(2))
+    results = spark.createDataFrame([("c", "k3", 1, "r"), ("c", "o1", 1, "r"), ("c", "k3", 1, "r")], "conv_id string, call_id string, turn long, content string").withColumn("status", F.lit("x"))
+    rows = op2_chat.link(calls, results, schema).collect()
+    got = {(r.conv_id, r.call_id, r.kind): r for r in rows}
+    assert [got["c", f"k{i}", "call"].step for i in range(11)] == [2 * i for i in range(11)] and got["c", "k3", "result"].step == 7
+    assert got["c", "m", "call"].step == 0 and got["c", "m", "call"].problem == "x breaks enum" and got["c", "o1", "call"].problem == "y breaks pattern"
+    assert all(got["c", k, "call"].status == "cyclic" and got["c", k, "call"].step is None for k in ("o1", "o2", "o3")) and got["c", "o1", "result"].status == "cyclic"
+    assert json.loads(got["c", "o2", "call"].json)["arguments"] == "{" and got["c", "o2", "call"].problem == "no object"
+    assert len([r for r in rows if r.conv_id == "d"]) == 2 and len([r for r in rows if r.kind == "result"]) == 3
+    with pytest.raises(ValueError, match="oneOf"):
+        op2_chat.link(calls, results, {"t": {"type": "object", "oneOf": []}})
+
+
 # 3: toxicity
 
 
@@ -187,6 +267,63 @@ def test_toxicity_query_columns(spark):
     assert {r.doc_id: r.held_out for r in out.collect()} == {k: zlib.crc32(str(k).encode()) % 4 == 2 for k in range(out.count())}
 
 
+def plain_score(text, model):
+    """Noisy-or over the sentences of one text, word by word."""
+    s, data = model.settings, (text or "").encode().lower() if (text or "").isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+    m64, sentences, start = (1 << 64) - 1, [[]], None
+    code = [int(c) for c in wordhash._codes]
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & m64
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & m64
+        return x ^ x >> 31
+
+    def feature(word, kind):
+        h = sum(code[c] * pow(wordhash.BASE, i, 1 << 64) for i, c in enumerate(word)) + kind + 1
+        return mixed(h & m64) >> 64 - s.bits
+
+    for at, c in enumerate(data + b" "):
+        solid = c >= 128 or chr(c).isalnum()
+        if solid and start is None:
+            start = at
+        elif not solid and start is not None:
+            word, start = data[start:at], None
+            sentences[-1] += [feature(word, 0)] + [feature(word[:n], k) for k, n in enumerate(s.prefixes, 1)]
+        if c in b"\n\r!.?":
+            sentences.append([])
+    clean = 1.0
+    for ids in sentences:
+        if ids:
+            x = sum(float(model.weights[i]) for i in ids) + model.bias
+            clean *= 1 - 1 / (1 + np.exp(-x))
+    return 1 - clean
+
+
+def test_toxicity_against_plain_scores(spark):
+    """Every row of the test table, recomputed from the weights; and the fold that is held out."""
+    d, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = op3_toxicity.train(d, labels)
+    got = {r.doc_id: r for r in op3_toxicity.op3_toxicity(spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in d.select("doc_id", "text").collect()}
+    assert got.keys() == texts.keys()
+    for k, t in texts.items():
+        assert abs(got[k].score - plain_score(t, model)) < 1e-6 and got[k].predicted == int(got[k].score >= 0.3)
+        assert got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2)
+
+
+def test_toxicity_learns_from_the_other_folds_alone(spark):
+    """Labels of the held-out fold change no weight; repeated rows and columns of any names are carried along."""
+    d, labels = toxic_corpus(spark, 200)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    a = op3_toxicity.train(d, labels)
+    b = op3_toxicity.train(d.withColumn("score", F.lit(1)), labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic"))))
+    assert (a.weights == b.weights).all() and a.bias == b.bias
+    twice = op3_toxicity.score(d.union(d), a).groupBy("doc_id").agg(F.count_distinct("score").alias("n"), F.count(F.lit(1)).alias("rows"))
+    assert twice.filter("n <> 1 or rows <> 2").count() == 0
+
+
 # 4: decontamination
 
 
@@ -215,13 +352,38 @@ def test_leaks_against_brute_force(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.distance) for r in op4_decontamination.find_leaks(docs(spark, texts), bench, budget).collect())
     plain = op4_decontamination.plain
-    want = sorted((d, i, k) for d, t in enumerate(texts) for i, x in enumerate(items) if plain(x) and plain(t) for k in [brute_distance(plain(x), plain(t))] if k <= int(0.15 * len(plain(x))))
+    want = sorted((d, i, k) for d, t in enumerate(texts) for i, x in enumerate(items) if plain(x) and plain(t) for k in [brute_distance(f" {plain(x)} ", f" {plain(t)} ")] if k <= int(0.15 * len(plain(x))))
     assert got == want and len(got) > 20
     kept = {r.doc_id for r in op4_decontamination.drop_leaks(docs(spark, texts), bench, budget).collect()}
     assert kept == set(range(len(texts))) - {d for d, _, _ in want}
     assert op4_decontamination.find_leaks(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_leaks_on_the_test_table(spark):
+    """Every document and item, against a plain edit distance wherever a piece of the item could make a hit."""
+    items = {r.item_id: r.text for r in table(spark, SF, "benchmark").collect()}
+    rows = {r.doc_id: r.text for r in table(spark, SF, "documents").select("doc_id", "text").collect()}
+    plain, want = op4_decontamination.plain, set()
+    coded = {i: f" {plain(x)} " for i, x in items.items() if plain(x)}
+    for d, t in rows.items():
+        text = f" {plain(t)} "
+        for i, x in coded.items():
+            k = (len(x) - 2) // 10
+            # one of k + 1 pieces is unchanged (pigeonhole): without any, the distance is above k
+            if any(x[len(x) * p // (k + 1) : len(x) * (p + 1) // (k + 1)] in text for p in range(k + 1)) and op4_decontamination.best_match(x, text, k) is not None:
+                want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in op4_decontamination.op4_decontamination(spark, SF).collect()}
+    assert got == want and got
+
+
+def test_leaks_identifiers_and_words(spark):
+    bench = spark.createDataFrame([("a", "cat"), (None, "dog"), ("b", "cat")], "item_id string, text string")
+    d = spark.createDataFrame([(1, "concatenation"), (2, "a CAT, dog"), (None, "cat"), (2, "a CAT, dog")], "doc_id int, text string").withColumn("item_id", F.lit(0)).withColumn("distance", F.lit(0))
+    got = sorted((str(r.doc_id), str(r.item_id), r.distance) for r in op4_decontamination.find_leaks(d, bench).collect())
+    assert got == sorted([("2", "a", 0), ("2", "None", 0), ("2", "b", 0)] * 2 + [("None", "a", 0), ("None", "b", 0)])
+    assert [r.doc_id for r in op4_decontamination.drop_leaks(d, bench).collect()] == [1]
+
+
 # 5: fingerprints
 
 
@@ -297,6 +459,55 @@ def test_mix(spark, texts):
         assert all(abs(r.target - want) < 1e-6 for r in by[k]) and want - 50 <= sum(r.taken for r in by[k]) <= want + 1e-6
 
 
+def brute_targets(sizes, weights, cap):
+    """Water filling: the level at which shares, cut at cap times their size, use up the total."""
+    lo, hi = 0.0, 2 * float(sum(sizes)) * max(weights, default=1)
+    for _ in range(200):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(min(cap * n, level * w) for n, w in zip(sizes, weights, strict=True)) < sum(sizes) else (lo, level)
+    return [min(cap * n, hi * w) for n, w in zip(sizes, weights, strict=True)]
+
+
+def check_mix(rows, texts, sources, slack):
+    """Sizes, targets and what is taken of each source, recomputed; every draw is in one shard."""
+    names = sorted({v for v in sources.values() if v is not None}) + ([None] if None in sources.values() else [])
+    sizes = {n: sum(len(word_list(texts[d])) for d in texts if sources[d] == n) for n in names}
+    want = dict(zip(names, brute_targets(list(sizes.values()), [1 + i % 3 for i in range(len(names))], 3), strict=True))
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    taken = dict.fromkeys(names, 0)
+    for r in rows:
+        s = sources[r.doc_id]
+        assert r.size == len(word_list(texts[r.doc_id])) and r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-3
+        assert 0 <= r.taken <= 3 * r.size and r.taken == r.size * (r.copies + r.part_copy)
+        assert len([x for x in r.draws.split(",") if x]) == r.copies + r.part_copy
+        taken[s] += r.taken
+    for n in names:
+        longest = max(len(word_list(texts[d])) for d in texts if sources[d] == n)
+        assert want[n] - longest - slack <= taken[n] <= want[n] + 1e-6
+    places = [x for r in rows for x in r.draws.split(",") if x]
+    assert len(places) == len(set(places))
+
+
+def test_mix_of_the_test_table(spark):
+    rows = {r.doc_id: r for r in table(spark, SF, "documents").collect()}
+    got = op6_mixing.op6_mixing(spark, SF).collect()
+    check_mix(got, {k: r.text for k, r in rows.items()}, {k: r.source for k, r in rows.items()}, 0)
+    assert sorted(map(repr, got)) == sorted(map(repr, op6_mixing.op6_mixing(spark, SF).collect()))
+
+
+def test_mix_with_repeated_and_null_identifiers(spark):
+    """An identifier in several sources is a document of each; within a source rows of one identifier go together."""
+    rng = np.random.default_rng(12)
+    rows = [(None if d == 7 else d, "w " * int(rng.integers(1, 90)), s) for s in "abc" for d in range(200)] + [(3, "w " * 10, "a"), (3, "w " * 10, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = op6_mixing.mix(df).collect()
+    want = brute_targets([sum(t.count("w") for _, t, s in rows if s == x) for x in "abc"], [1, 2, 3], 3)
+    assert len(got) == len(rows)
+    for x, target in zip("abc", want, strict=True):
+        assert target - 120 <= sum(r.taken for r in got if r.source == x) <= target + 1e-6
+    assert all(r.taken <= 3 * r.size for r in got) and len({(r.copies, r.part_copy) for r in got if r.doc_id == 3 and r.source == "a"}) == 1
+
+
 def test_every_draw_has_a_place(spark):
     mixed = op6_mixing.mix(docs(spark, ["w " * (k % 50) for k in range(120)])).cache()
     rows = op6_mixing.draws(mixed, ranges=4).collect()
@@ -311,6 +522,10 @@ def test_every_draw_has_a_place(spark):
 # 7: line dedup
 
 
+def most_edits(a, b, p):
+    return min(p.most, (min(len(a), len(b)) + p.per_chars // 2) // p.per_chars)
+
+
 def brute_lines(texts, p):
     first = {}
     for d, t in sorted(texts.items()):
@@ -320,7 +535,8 @@ def brute_lines(texts, p):
     late = set()
     for a in first:
         for b in first:
-            if first[a] < first[b] and min(len(a), len(b)) >= p.min_chars and abs(len(a) - len(b)) <= p.threshold and edits(a, b) <= p.threshold:
+            k = most_edits(a, b, p)
+            if first[a] < first[b] and abs(len(a) - len(b)) <= k and within(a, b, k):
                 late.add(b)
     out = {}
     for d, t in texts.items():
@@ -329,6 +545,20 @@ def brute_lines(texts, p):
     return out
 
 
+def within(a, b, k):
+    """Edit distance in a band, plainly."""
+    row = {j: j for j in range(min(k, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - k), min(len(b), i + k) + 1):
+            best = min(row.get(j, k + 1), new.get(j - 1, k + 1)) + 1
+            if j:
+                best = min(best, row.get(j - 1, k + 1) + (x != b[j - 1]))
+            new[j] = best
+        row = new
+    return row.get(len(b), k + 1) <= k
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -339,47 +569,57 @@ def edits(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("p", [op7_line_dedup.Lines(), op7_line_dedup.Lines(most_pairs=2), op7_line_dedup.Lines(threshold=2, min_chars=10), op7_line_dedup.Lines(threshold=3, min_chars=12, most_pairs=3)])
+LINES = op7_line_dedup.Lines
+
+
+@pytest.mark.parametrize("p", [LINES(), LINES(most_pairs=2, block=3), LINES(per_chars=6, most=7), LINES(per_chars=7, most=6, most_pairs=3, block=2), op7_line_dedup.STAGE])
 def test_lines_against_brute_force(spark, p):
     rng = np.random.default_rng(2)
     bases = ["".join(rng.choice(list("abcdé "), rng.integers(8, 40))) for _ in range(6)] + ["short", "page 1 of twenty-five", "page 2 of twenty-five", "page 13 of twenty-five"]
+    bases += ["".join(rng.choice(list("abcdefgh "), n)).strip() for n in (9, 12, 19, 23, 47, 50, 61, 91, 97, 104, 131)]
     texts = [None, "", "\n\n", " padded line of some length ", "padded line of some length"]
-    for _ in range(30):
+    for _ in range(60):
         lines = []
         for _ in range(rng.integers(1, 6)):
             e = list(bases[rng.integers(len(bases))])
-            for _ in range(rng.integers(0, 4)):
+            for _ in range(rng.integers(0, 7)):
                 at = rng.integers(len(e)) if e else 0
-                e[at : at + rng.integers(0, 2)] = [str(rng.choice(list("abxy")))]
+                e[at : at + rng.integers(0, 2)] = [str(rng.choice(list("abxy"))) for _ in range(rng.integers(0, 2))]
             lines.append("".join(e))
         texts.append("\n".join(lines))
-    got = {r.doc_id: r.text for r in op7_line_dedup.dedup_lines(docs(spark, texts), p).collect()}
-    assert got == brute_lines(dict(enumerate(texts)), p)
+    want = brute_lines(dict(enumerate(texts)), p)
+    got = {r.doc_id: r for r in op7_line_dedup.dedup_lines(docs(spark, texts), p).collect()}
+    assert {k: r.text for k, r in got.items()} == want
+    for k, r in got.items():
+        assert r.n_lines == (0 if texts[k] is None else texts[k].count("\n") + 1)
     assert op7_line_dedup.dedup_lines(docs(spark, texts).limit(0), p).count() == 0
 
 
-@pytest.mark.parametrize("p", [op7_line_dedup.STAGE, op7_line_dedup.Lines(min_chars=6, per_chars=9, most=4, most_pairs=3)])
-def test_line_threshold_grows_with_the_length(spark, p):
-    rng = np.random.default_rng(5)
-    bases = ["".join(rng.choice(list("abcdefgh "), n)).strip() for n in (9, 12, 19, 23, 40, 61, 97, 104, 131)]
-    texts = {}
-    for _ in range(110):
-        e = list(bases[rng.integers(len(bases))])
-        for _ in range(rng.integers(0, 8)):
-            at = rng.integers(len(e))
-            e[at : at + rng.integers(0, 2)] = [str(rng.choice(list("xyz"))) for _ in range(rng.integers(0, 2))]
-        texts[len(texts)] = "".join(e)
-    lines = sorted({t.strip(" ") for t in texts.values()} - {""})
-    first = {t: min(k for k, v in texts.items() if v.strip(" ") == t) for t in lines}
+def test_lines_edge_cases(spark):
+    t = "a line that is long enough"
+    df = spark.createDataFrame([(1, t + "\n" + t), (1, t + "\n" + t), (None, t), (2, "x" * 20_000 + "\n" + t + "\nkept"), (3, None)], "doc_id long, text string")
+    df = df.withColumn("n_lines", F.lit("mine")).withColumn("gone_doc", F.lit("own"))
+    got = op7_line_dedup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "n_lines", "gone_doc", "n_lines_", "n_removed"]
+    assert sorted((str(r.doc_id), r.text, r["n_lines_"], r.n_removed) for r in got.collect() if r.text is not None and len(r.text) < 100) == [("1", t, 2, 1), ("1", t, 2, 1), ("None", t, 1, 0)]
+    assert [(r["n_lines_"], r.n_removed, r.text) for r in got.filter("doc_id = 2").collect()] == [(3, 1, "x" * 20_000 + "\nkept")]
+    with pytest.raises(ValueError):
+        op7_line_dedup.Lines(most=9)
 
-    def near(a, b):
-        n = min(len(a), len(b))
-        most = min(max(n // p.per_chars, p.threshold), p.most)
-        return n >= p.min_chars and abs(len(a) - len(b)) <= most and edits(a, b) <= most
 
-    late = {b for a in lines for b in lines if first[a] < first[b] and near(a, b)}
-    want = {k: int(bool(t.strip(" ")) and (t.strip(" ") in late or first[t.strip(" ")] != k)) for k, t in texts.items()}
-    assert {r.doc_id: r["__n_removed"] for r in op7_line_dedup.dedup_lines(docs(spark, list(texts.values())), p).collect()} == want
+def test_lines_of_one_shape(spark):
+    """A group far above ``most_pairs``: blocks meet, no line is left out."""
+    rng = np.random.default_rng(9)
+    base = "".join(rng.choice(list("abcdefgh "), 120)).strip()
+    texts = []
+    for _ in range(400):
+        e = list(base)
+        for at in rng.integers(0, len(e), rng.integers(1, 5)):
+            e[at] = str(rng.choice(list("xyz")))
+        texts.append("".join(e))
+    p = LINES(most=3, block=32)
+    got = {r.doc_id: r.text for r in op7_line_dedup.dedup_lines(docs(spark, texts), p).collect()}
+    assert got == brute_lines(dict(enumerate(texts)), p)
 
 
 def test_line_stage_takes_a_changed_word(spark):
@@ -430,6 +670,33 @@ def test_windows_of_the_test_table_and_of_none(spark):
     assert op8_substring.remove_repeats(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_window_index_is_opened_again(spark):
+    """Batches added by two processes: the second finds what the first indexed, and runs are compacted level by level."""
+    rng = np.random.default_rng(14)
+    passage = [f"p{k}" for k in range(90)]
+    texts = {}
+    for k in range(24):
+        w = [f"u{rng.integers(1000)}" for _ in range(20)] + (passage[rng.integers(0, 20) :] if k % 2 else []) + [f"t{rng.integers(1000)}"]
+        texts[k] = " ".join(w)
+    where, covered = shared_dir(spark), {}
+    for k in range(6):
+        index = op8_substring.WindowIndex(spark, where, fanout=2)
+        assert index.batches == k
+        batch = spark.createDataFrame([(d, texts[d]) for d in range(4 * k, 4 * k + 4)], "doc_id long, text string")
+        history = spark.createDataFrame([(d, texts[d]) for d in range(4 * k)], "doc_id long, text string")
+        for r in index.add(batch, history, 4 * k - 1).collect():
+            covered.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.length))
+    assert sorted(level for _, level, _ in index.runs) == [1, 2]
+    assert {d: len(covered.get(d, ())) for d in texts} == {d: n for d, (_, n, _) in brute_windows(texts).items()}
+
+
+def test_windows_with_null_and_repeated_identifiers(spark):
+    t = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(None, t), (4, t), (4, t), (9, t), (None, None)], "doc_id long, text string").withColumn("anchor", F.lit(1)).withColumn("n_words", F.lit(2))
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in op8_substring.remove_repeats(df, 2).collect())
+    assert got == [("4", 60, 0), ("4", 60, 0), ("9", 60, 60), ("None", 0, 0), ("None", 60, 0)]
+
+
 # 9: WARC packages
 
 
@@ -446,6 +713,17 @@ def test_packages(spark):
     assert op9_warc.read_packages(op9_warc.write_packages(pages.limit(0), empty), empty).count() == 0
 
 
+def test_warc_null_and_repeated_identifiers(spark):
+    a, b = "a" * 200, "b" * 200
+    pages = spark.createDataFrame([(5, "u", a), (7, "u", a), (7, "u", b), (None, "u", a), (None, None, None), (3, "u", b), (3, "u", b)], "page_id long, url string, html string")
+    where = shared_dir(spark)
+    rows = op9_warc.read_packages(op9_warc.write_packages(pages, where, package_records=3), where).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = sorted((str(r.page_id), r.payload_digest, r.record_type, r.refers_to) for r in rows)
+    assert got == sorted([("5", sha(a), "response", None), ("7", sha(a), "revisit", 5), ("7", sha(b), "revisit", 3), ("None", sha(a), "response", None), ("None", sha(""), "response", None), *[("3", sha(b), "response", None)] * 2])
+    assert all(r.payload_ok for r in rows)
+
+
 def test_zip64_directory(tmp_path):
     path = tmp_path / "z.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
@@ -496,7 +774,7 @@ def test_pipeline(spark):
     assert one.columns == d.columns and {r.doc_id for r in one.collect()} == {k for k, s in scores.items() if s < 0.3}
     small = one.filter("doc_id < 60").cache()
     two = steps["line dedup"](spark, small, SF)
-    assert two.columns == d.columns and {r.doc_id: r.text for r in two.collect()} == brute_lines({r.doc_id: r.text for r in small.collect()}, op7_line_dedup.Lines())
+    assert two.columns == d.columns and {r.doc_id: r.text for r in two.collect()} == brute_lines({r.doc_id: r.text for r in small.collect()}, op7_line_dedup.STAGE)
     three = steps["n-gram join"](spark, d, SF)
     assert {r.doc_id for r in three.collect()} == {k for k, (_, c) in brute_components({r.doc_id: r.text for r in d.collect()}).items() if k == c}
     leaks = {r.doc_id for r in op4_decontamination.op4_decontamination(spark, SF).collect()}
@@ -504,3 +782,21 @@ def test_pipeline(spark):
     assert four.columns == d.columns and {r.doc_id for r in four.collect()} == {r.doc_id for r in d.collect()} - leaks
     out = corpus_pipeline.run(spark, SF)
     assert set(out.columns) >= {"doc_id", "size", "source_size", "target", "taken"} and 0 < out.count() <= one.count()
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Null, empty and repeated rows, no rows at all, and columns named like the operators' own."""
+    import corpus_pipeline
+
+    t = "a text of several words that says nothing much at all, twice over"
+    rows = [(1, t, "en", "s", 5), (1, t, "en", "s", 5), (None, t, None, None, None), (2, None, "en", None, None), (3, "", None, "s", 0), (4, "   ", "en", "s", 3)]
+    names = ["score", "offending", "n_sentences", "gone", "n_lines", "n_removed", "__gone", "copies", "component_id", "id", "c0", "first", "taken"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for n in names:
+        df = df.withColumn(n, F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), SF).count() == 0
+        out = stage(spark, df, SF)
+        if name != "mixing":
+            assert out.columns == df.columns
+        assert {r.doc_id for r in out.collect()} >= {2, 3, 4, None}
