@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators import diff
-from ..sources.registry import TEST_TABLES, test_catalogue
+from ..sources.registry import TEST_TABLES, Catalogue, test_catalogue
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -76,15 +76,31 @@ def row_hashes(spark, sf_dir):
     return c.select("c_custkey", hashing.row_hash(c).alias("row_hash"), hashing.fingerprint(c).alias("fingerprint"))
 
 
-@query()
+def _declared(t) -> str:
+    """What goes into the fingerprint of a table, line by line."""
+    columns = [f"column {c.name} {c.type} pk={t.primary_key.index(c.name) + 1 if c.name in t.primary_key else 0} nn={int(c.not_null)} default=None" for c in sorted(t.columns, key=lambda c: c.name)]
+    keys = [f"fk {f.columns[0]} {f.ref_table} {f.ref_columns[0]}" for f in sorted(t.foreign_keys, key=lambda f: (f.columns, f.ref_table))]
+    return "".join(x + "\n" for x in [f"table {t.name}", *columns, *keys])
+
+
+@query(f"SELECT sha256('{''.join(_declared(TEST_TABLES[n]) for n in sorted(TEST_TABLES))}') AS fingerprint, {len(TEST_TABLES)} AS tables")
 def schema_fingerprint(spark, sf_dir):
     """One fingerprint for the declared tables; any change of a column or key changes it."""
     return spark.createDataFrame([(hashing.schema_fingerprint(list(TEST_TABLES.values())), len(TEST_TABLES))], "fingerprint string, tables int")
 
 
-@query()
+#: A row for each column of a table as DuckDB finds it, with the type that the catalogue gives it.
+_FOUND = "(SELECT column_name, CAST(row_number() OVER () - 1 AS INTEGER) AS position, CASE column_type WHEN 'BIGINT' THEN 'INTEGER' WHEN 'INTEGER' THEN 'INTEGER' WHEN 'DOUBLE' THEN 'REAL' WHEN 'VARCHAR' THEN 'TEXT' ELSE 'DATETIME' END AS declared_type FROM (DESCRIBE SELECT * FROM {t}))"
+
+
+def _key_place(t) -> str:
+    return f"CAST(CASE column_name {' '.join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(t.primary_key, 1))} ELSE 0 END AS INTEGER)" if t.primary_key else "0"
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, position, column_name, declared_type, {_key_place(t)} > 0 AS not_null, {_key_place(t)} AS pk_position FROM {_FOUND.format(t=n)}" for n, t in TEST_TABLES.items()))
 def describe_tables(spark, sf_dir):
-    return test_catalogue(spark, sf_dir).describe(spark)
+    """Columns as they are found in the files, with the declared keys."""
+    return Catalogue.scan({n: table(spark, sf_dir, n) for n in TEST_TABLES}, TEST_TABLES).describe(spark)
 
 
 _N = "(SELECT CAST(count(*) AS VARCHAR) FROM {})"

@@ -133,6 +133,14 @@ RAW = {
     "raw_sql_subquery": "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     "raw_sql_range_join": "SELECT a.event_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '1' HOUR GROUP BY a.event_id",
     "raw_sql_frames": "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS s, coalesce(first_value(event_type) OVER (PARTITION BY user_id ORDER BY event_id), '') AS f FROM events",
+    "raw_sql_rollup": "SELECT coalesce(o_orderstatus, '*') AS status, coalesce(o_orderpriority, '*') AS priority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    "raw_sql_grouping_sets": "SELECT coalesce(o_orderstatus, '*') AS status, coalesce(o_orderpriority, '*') AS priority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+    "raw_sql_ranking": "SELECT o_orderkey, CAST(ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS quarter, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS d FROM orders",
+    "raw_sql_as_of": "SELECT event_id, coalesce(max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS last_purchase FROM events",
+    "raw_sql_theta_join": "SELECT a.n_nationkey, count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND a.n_name > b.n_name GROUP BY a.n_nationkey",
+    "raw_sql_full_join": "SELECT coalesce(c_custkey, k) AS k, CASE WHEN c_custkey IS NULL THEN 'right' WHEN k IS NULL THEN 'left' ELSE 'both' END AS side FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) b ON c_custkey = k",
+    "raw_sql_except_all": "SELECT o_custkey FROM orders EXCEPT ALL SELECT c_custkey FROM customer",
+    "raw_sql_approximate": "SELECT l_returnflag, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.2 * count(DISTINCT l_partkey) AS close FROM lineitem GROUP BY l_returnflag",
     "raw_sql_strings": "SELECT c_custkey, upper(substr(c_name, 1, 4)) AS head, replace(c_mktsegment, 'B', 'b') AS seg, CAST(length(c_name) AS BIGINT) AS n FROM customer",
 }
 for _name, _sql in RAW.items():

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import temporal, validators
 from ..plans.checks import auto_profile
-from ..sources.registry import TEST_TABLES
+from ..sources.registry import TEST_TABLES, Catalogue
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -99,12 +99,18 @@ def chain_first_error(spark, sf_dir):
     return rows.select(c.code.alias("code"), why.alias("why")).groupBy("code", "why").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_AUTO = " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, {str(bool(t.primary_key)).lower()} AS executable, '{','.join(t.primary_key)}' AS conflict, column_name, CASE column_type WHEN 'BIGINT' THEN 'int' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'decimal' ELSE '' END AS validators FROM (DESCRIBE SELECT * FROM {n})"
+    for n, t in TEST_TABLES.items()
+)
+
+
+@query(_AUTO)
 def auto_profile_columns(spark, sf_dir):
-    """Derived profiles of all declared tables: a row for each column."""
-    rows = []
+    """Derived profiles of all tables, from their files and declared keys: a row for each column."""
+    rows, found = [], Catalogue.scan({n: table(spark, sf_dir, n) for n in TEST_TABLES}, TEST_TABLES)
     for name in sorted(TEST_TABLES):
-        doc, executable, _ = auto_profile(TEST_TABLES[name])
+        doc, executable, _ = auto_profile(found.tables[name])
         rows += [(name, executable, ",".join(doc["conflict"]["columns"]), c, ",".join(spec["validators"])) for c, spec in doc["columns"].items()]
     return spark.createDataFrame(rows, "table_name string, executable boolean, conflict string, column_name string, validators string")
 

@@ -59,6 +59,20 @@ class Catalogue:
     def frame(self, name: str) -> DataFrame:
         return self.read[name]
 
+    @classmethod
+    def scan(cls, frames: dict[str, DataFrame], known: dict[str, TableDef] | None = None) -> Catalogue:
+        """Definitions from the schemas of tables; keys and constraints, which files do not tell, from ``known``."""
+        kinds = {"tinyint": "INTEGER", "smallint": "INTEGER", "int": "INTEGER", "bigint": "INTEGER", "float": "REAL", "double": "REAL", "string": "TEXT", "binary": "BLOB", "boolean": "INTEGER"}
+        tables = {}
+        for name, frame in frames.items():
+            given = (known or {}).get(name)
+            columns = tuple(
+                ColumnDef(f.name, "DATETIME" if f.dataType.simpleString().startswith(("timestamp", "date")) else kinds.get(f.dataType.simpleString(), "REAL" if f.dataType.simpleString().startswith("decimal") else "TEXT"), bool(given and f.name in given.primary_key) or not f.nullable)
+                for f in frame.schema
+            )
+            tables[name] = TableDef(name, columns, *((given.primary_key, given.unique, given.foreign_keys, given.kind) if given else ()))
+        return cls(tables, dict(frames))
+
     def user_tables(self) -> list[str]:
         return sorted(n for n in self.tables if not n.startswith(("sqlite_", "__sync_")))
 
