@@ -14,7 +14,7 @@ from .operators import replication
 from .operators.exporter import ExportPlan, plan_export
 from .operators.importer import ImportPlan, plan_import
 from .operators.merge import last_by_key, upsert
-from .plans.checks import check_profile
+from .plans.checks import check_column_order, check_profile, order_warnings
 from .plans.profile import Profile, load_profile
 from .sources.registry import Catalogue, TableDef
 from .sources.snapshots import SnapshotStore
@@ -39,6 +39,8 @@ class ExportResult:
     ok: bool
     rows: int
     errors: DataFrame | None
+    #: Columns of the order whose stored text does not sort by time.
+    warnings: list[tuple[str, str]] = field(default_factory=list)
 
 
 class Bridge:
@@ -110,8 +112,11 @@ class Bridge:
 
     def export_xlsx(self, path: str, name: str, sheet: str | None = None) -> ExportResult:
         """Errors of single cells or rows do not fail an export; they are reported."""
-        plan = self.export(name)
-        return ExportResult(True, export_xlsx(plan.rows, path, sheet or self.profiles[name].sheet), plan.errors)
+        plan, profile = self.export(name), self.profiles[name]
+        wrong = check_column_order(profile, plan.headers)
+        if wrong:
+            return ExportResult(False, 0, None, wrong)
+        return ExportResult(True, export_xlsx(plan.rows, path, sheet or profile.sheet), plan.errors, order_warnings(profile))
 
 
 class BatchTransfer:
@@ -198,10 +203,15 @@ class Replica:
         """Rows that are not deleted."""
         return self.rows().filter("op <> 'D'")
 
-    def baseline(self, rows: DataFrame, vector: DataFrame) -> int:
+    def baseline(self, rows: DataFrame, vector: DataFrame, expected: dict[str, int] | None = None) -> int:
         """Take another node's rows and vector as they are; what waited is void.
 
         The winners are the baseline's rows with their precedence, so later changes are judged against them.
+        ``expected`` are the row counts that came with it, by table; another count refuses the baseline.
         """
+        if expected is not None:
+            found = {r.table_name: r.n for r in rows.filter("op <> 'D'").groupBy("table_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+            if found != expected:
+                raise ValueError(f"E_SYNC_BASELINE_FAILED: {found} rows came, {expected} were announced")
         empty = self.quarantined().limit(0)
         return self.store.commit({"winners": rows.select(*self.COLUMNS), "applied": vector, "quarantine": empty, "waiting": empty})

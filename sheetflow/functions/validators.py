@@ -48,7 +48,25 @@ def _number(token: str, start: str) -> int:
         raise BadToken(f"no number in {token}") from None
 
 
+#: Validators of one's own, by token.
+_OWN: dict[str, Check] = {}
+
+
+def register(token: str, check: Check) -> None:
+    """Make ``token`` a validator for all profiles; the built-in ones cannot be replaced."""
+    try:
+        compile_token(token)
+    except BadToken:
+        _OWN[token] = check
+        return
+    if token not in _OWN:
+        raise BadToken(f"{token} is a built-in validator")
+    _OWN[token] = check
+
+
 def compile_token(token: str) -> Check:
+    if token in _OWN:
+        return _OWN[token]
     if token == "notNull":
         return Check(lambda c: c.isNull() | (c == ""), NULL, lambda c: F.lit("a value is required"))
     if token == "int":

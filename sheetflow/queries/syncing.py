@@ -128,9 +128,10 @@ def catalogue_scan(spark, sf_dir):
     return found.describe(spark).select("table_name", "column_name", "declared_type")
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    text = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower()
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, row)) + ')' for row in rows)}) t({names})"
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 30")
+def table_page(spark, sf_dir):
+    """One page of a table in key order."""
+    return test_catalogue(spark, sf_dir).page("customer", 30, 20).select("c_custkey", "c_name")
 
 
 @query(_LOG + """, g AS (SELECT * FROM log WHERE local_seq % 17 <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY seq) AS k FROM g),

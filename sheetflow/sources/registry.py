@@ -59,6 +59,11 @@ class Catalogue:
     def frame(self, name: str) -> DataFrame:
         return self.read[name]
 
+    def page(self, name: str, offset: int, size: int) -> DataFrame:
+        """A page of a table in key order (of all columns where it has no key)."""
+        keys = self.tables[name].primary_key or tuple(c.name for c in self.tables[name].columns)
+        return self.frame(name).orderBy(*keys).offset(offset).limit(size)
+
     @classmethod
     def scan(cls, frames: dict[str, DataFrame], known: dict[str, TableDef] | None = None) -> Catalogue:
         """Definitions from the schemas of tables; keys and constraints, which files do not tell, from ``known``."""

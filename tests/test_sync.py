@@ -77,3 +77,26 @@ def test_payloads_that_are_not_whole(spark):
     got = payload.decode(spark.createDataFrame([(r,) for r in rows], "p string"), "p").collect()
     assert (got[0].version, got[0].kind, got[0].header, got[0].body, got[0].code) == (2, "push", '{"a":"|"}', "body | with\nbars", None)
     assert all(r.code == "E_SYNC_PAYLOAD_CORRUPT" and r.body is None for r in got[1:])
+
+
+def test_a_validator_of_ones_own(spark):
+    from sheetflow.functions import validators as v
+
+    v.register("even", v.Check(lambda c: F.coalesce(c.try_cast("int") % 2 != 0, F.lit(False)), "E_VALIDATE_TYPE", lambda c: F.lit("an even number is needed")))
+    got = v.chain(F.col("x"), ["notNull", "even"])
+    df = spark.createDataFrame([("2",), ("3",), (None,)], "x string").select(got.code.alias("code"))
+    assert [r.code for r in df.collect()] == [None, "E_VALIDATE_TYPE", "E_VALIDATE_NULL"]
+    with pytest.raises(v.BadToken):
+        v.register("int", v.compile_token("int"))
+
+
+def test_a_baseline_with_missing_rows_is_refused(spark, tmp_path):
+    from sheetflow.api import Replica
+
+    node = Replica(spark, SnapshotStore(spark, f"file://{tmp_path}/n"), 1, "fp")
+    rows = spark.createDataFrame([("t", "k", "a", 1, 0, "U", "p"), ("t", "gone", "a", 2, 0, "D", "p")], "table_name string, pk string, origin string, seq long, rank int, op string, payload string")
+    vector = spark.createDataFrame([("a", 1, 2)], "origin string, epoch long, applied_seq long")
+    with pytest.raises(ValueError, match="E_SYNC_BASELINE_FAILED"):
+        node.baseline(rows, vector, {"t": 2})
+    node.baseline(rows, vector, {"t": 1})
+    assert [r.pk for r in node.live().collect()] == ["k"]
