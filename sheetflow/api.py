@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -78,7 +79,17 @@ class Bridge:
         plan: ImportPlan = plan_import(sheet, profile, catalogue)
         for c in plan.classes:  # validated once for errors, tables and counts
             c.rows = c.rows.persist()
-        errors = plan.errors().persist()
+        try:
+            return self._import(plan, sheet, catalogue, profile, abort_on_error, dry_run)
+        finally:
+            for c in plan.classes:
+                c.rows.unpersist()
+
+    def _import(self, plan: ImportPlan, sheet: DataFrame, catalogue: Catalogue, profile: Profile, abort_on_error: bool, dry_run: bool) -> ImportResult:
+        # the report is kept beside the versions: it must not change with the sheet or the tables
+        report = f"{self.store.root}/errors/{uuid.uuid4().hex}"
+        plan.errors().write.parquet(report)
+        errors = self.spark.read.parquet(report)
         result = ImportResult(True, sheet.count(), errors=errors)
         if dry_run:
             result.payloads = {t: plan.payload(t) for t in plan.tables()}
@@ -99,12 +110,8 @@ class Bridge:
         profile = self.profiles[name]
         try:
             rows = read_xlsx(self.spark, path, sheet or profile.sheet, profile.header_row)
-            rows.schema  # noqa: B018  opens the workbook
-        except Exception as e:  # noqa: BLE001  the reader runs in a Python worker
-            code = e.code if isinstance(e, SheetError) else next((c for c in ("E_OPEN_XLSX", "E_HEADER_NOT_FOUND") if c in str(e)), None)
-            if code is None:
-                raise
-            return ImportResult(False, issues=[(code, path)])
+        except SheetError as e:
+            return ImportResult(False, issues=[(e.code, path)])
         return self.import_sheet(rows, name, **options)
 
     def export(self, name: str) -> ExportPlan:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -152,6 +152,7 @@ for _name, _sql in RAW.items():
 def xlsx_roundtrip(spark, sf_dir):
     """A table to a workbook and back; null cells stay null."""
     s = table(spark, sf_dir, "supplier").orderBy("s_suppkey").select(F.col("s_suppkey").alias("No"), F.expr("CASE WHEN s_suppkey % 7 <> 0 THEN concat(s_name, ' <&\"é') END").alias("Name"), F.col("s_nationkey").alias("Nation"))
-    path = os.path.join(tempfile.mkdtemp(prefix="sheetflow-"), "suppliers.xlsx")
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sheetflow-')}"
+    path = f"{base.rstrip('/')}/suppliers-{uuid.uuid4().hex}.xlsx"
     export_xlsx(s, path, "Suppliers")
     return read_xlsx(spark, path, "Suppliers").withColumn("excel_row", F.col("excel_row").cast("long"))

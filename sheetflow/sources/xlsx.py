@@ -1,23 +1,25 @@
 """Workbooks as a source and a sink: SpreadsheetML by the standard library alone.
 
-``spark.read.format("xlsx")`` gives the rows below the header as strings, with ``excel_row``. A header ends at its first
-blank cell; of two equal headers the last column counts. Blank rows inside the sheet are kept. A workbook is read by one
-task, several files by several.
+``read_xlsx`` gives the rows below the header as strings, with ``excel_row``. Workbooks are read through Spark's binary files,
+from any storage that Spark reads: one by one task, several by several; a workbook is held whole (its format is no
+stream). A header ends at its first blank cell; of two equal headers the last column counts. Blank rows inside the sheet
+are kept. The header is that of the first workbook by path.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import glob
 import io
 import re
+import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -123,51 +125,45 @@ def headers(rows: dict[int, dict[int, str]], header_row: int) -> dict[str, int]:
     return out
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, schema: StructType, paths: list[str], sheet: str | None, header_row: int):
-        self.schema, self.paths, self.sheet, self.header_row = schema, paths, sheet, header_row
-
-    def partitions(self):
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
-            rows, _ = read_rows(f.read(), self.sheet)
-        at = headers(rows, self.header_row)
-        names = self.schema.fieldNames()[1:]
-        for r in range(self.header_row + 1, max(rows, default=0) + 1):
-            cells = rows.get(r, {})
-            yield (r, *(cells.get(at[n]) if n in at else None for n in names))
-
-
-class XlsxSource(DataSource):
-    """Options: path (a file or a glob), sheet, headerRow."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "xlsx"
-
-    def _paths(self) -> list[str]:
-        path = self.options["path"].removeprefix("file://")
-        return sorted(glob.glob(path)) or [path]
-
-    def schema(self) -> StructType:
-        try:
-            with open(self._paths()[0], "rb") as f:
-                rows, _ = read_rows(f.read(), self.options.get("sheet"))
-        except OSError as e:
-            raise SheetError("E_OPEN_XLSX", str(e)) from None
-        names = headers(rows, int(self.options.get("headerRow", 1)))
-        return StructType([StructField("excel_row", IntegerType()), *[StructField(n, StringType()) for n in names]])
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(schema, self._paths(), self.options.get("sheet"), int(self.options.get("headerRow", 1)))
+def _content(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of the workbooks at a path or glob of any file system that Spark reads."""
+    try:
+        return spark.read.format("binaryFile").load(path).select("path", "content")
+    except AnalysisException as e:
+        raise SheetError("E_OPEN_XLSX", str(e).splitlines()[0]) from None
 
 
 def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None, header_row: int = 1) -> DataFrame:
-    spark.dataSource.register(XlsxSource)
-    reader = spark.read.format("xlsx").option("headerRow", header_row)
-    return (reader.option("sheet", sheet) if sheet else reader).load(path)
+    """excel_row and the columns of the first workbook's header, as text; one task for each workbook."""
+
+    def names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(1):
+                try:
+                    found = [None, *headers(read_rows(data.as_py(), sheet)[0], header_row)]
+                except SheetError as e:
+                    found = [f"{e.code}|{e}"]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], ["at", "name"])
+
+    files = _content(spark, path)
+    top = files.orderBy("path").limit(1).mapInArrow(names, "at int, name string").orderBy("at").collect()
+    if not top or top[0].name is not None:
+        code, _, message = (top[0].name if top else "E_OPEN_XLSX|no workbook").partition("|")
+        raise SheetError(code, message)
+    wanted = [r.name for r in top[1:]]
+    schema = StructType([StructField("excel_row", IntegerType()), *[StructField(n, StringType()) for n in wanted]])
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(1):
+                cells = read_rows(data.as_py(), sheet)[0]
+                at, last = headers(cells, header_row), max(cells, default=0)
+                for lo in range(header_row + 1, last + 1, 10_000):
+                    numbers = range(lo, min(lo + 10_000, last + 1))
+                    columns = [pa.array([cells.get(r, {}).get(at[n]) if n in at else None for r in numbers], pa.string()) for n in wanted]
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *columns], ["excel_row", *wanted])
+
+    return files.mapInArrow(rows, schema)
 
 
 def write_xlsx(rows: Iterable[tuple], names: list[str], path: str, sheet: str = "Sheet1") -> int:
@@ -202,8 +198,19 @@ def write_xlsx(rows: Iterable[tuple], names: list[str], path: str, sheet: str =
 
 
 def export_xlsx(df: DataFrame, path: str, sheet: str = "Sheet1") -> int:
-    """A DataFrame as a workbook, streamed through the driver (a sheet is bounded by the format itself)."""
-    return write_xlsx((tuple(r) for r in df.toLocalIterator()), df.columns, path, sheet)
+    """A DataFrame as a workbook, streamed through the driver (a sheet is bounded by the format itself).
+
+    A path with a scheme is written through Hadoop's file systems.
+    """
+    rows = (tuple(r) for r in df.toLocalIterator())
+    if "://" not in path:
+        return write_xlsx(rows, df.columns, path, sheet)
+    context = df.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    with tempfile.TemporaryDirectory(prefix="sheetflow-") as folder:
+        n = write_xlsx(rows, df.columns, f"{folder}/book.xlsx", sheet)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, context._jvm.org.apache.hadoop.fs.Path(f"file://{folder}/book.xlsx"), target)
+    return n
 
 
 def dump_csv(df: DataFrame, path: str) -> None:

@@ -111,6 +111,11 @@ def test_header_rules(spark, tmp_path):
     path = str(tmp_path / "h.xlsx")
     write_xlsx([("x", "y", "z", "lost")], ["A", "B", "A", None, "D"], path)
     assert [tuple(x) for x in read_xlsx(spark, path).collect()] == [(2, "z", "y")]  # of two equal headers the last column counts
+    write_xlsx([("a", "b")], ["B", "C"], str(tmp_path / "i.xlsx"))
+    assert sorted(tuple(map(str, x)) for x in read_xlsx(spark, f"file://{tmp_path}/*.xlsx").collect()) == [("2", "None", "a"), ("2", "z", "y")]
+    for where, name, code in ((path, "Nowhere", "E_OPEN_XLSX"), (str(tmp_path / "none.xlsx"), None, "E_OPEN_XLSX"), (path, None, "E_HEADER_NOT_FOUND")):
+        with pytest.raises(SheetError, match=code):
+            read_xlsx(spark, where, name, 1 if code == "E_OPEN_XLSX" else 9)
     with pytest.raises(SheetError, match="E_OPEN_XLSX"):
         read_rows(open(path, "rb").read(), "Nowhere")
     with pytest.raises(SheetError, match="E_OPEN_XLSX"):
