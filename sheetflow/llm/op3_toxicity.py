@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from .common import shared_dir, stored, table, text_bytes, text_slices
-from .wordhash import BASE, INVERSE, SLICE, _lower, mix, powers, spans
+from .wordhash import BASE, INVERSE, _lower, mix, powers, spans
 
 
 @dataclass(frozen=True)
@@ -52,6 +52,9 @@ class Settings:
     offending: float = 0.3
 
 
+#: Bytes of text handled at once: each takes about 80 bytes of arrays.
+SLICE = 1 << 18
+
 _separator = np.ones(256, bool)
 _separator[128:] = False
 for _a, _b in ((48, 58), (65, 91), (97, 123)):

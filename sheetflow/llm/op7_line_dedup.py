@@ -19,12 +19,14 @@ One rule holds for lines of every length; where it gives 0 edits, near is equal.
   ``block`` lines, and each two blocks meet in one row, where a line looks for any near line that stands earlier, after one
   look at the earliest line of the key. So the rows grow with the square of blocks, not of lines, and no line is left
   out. Two lines that share several hot keys are compared under the least; letter counts exclude most others.
-* *Verification* is a banded edit distance. Spark's ``levenshtein`` with a threshold is a dynamic program in a band of
-  that width, compiled; the bit-parallel recurrence in native functions (``bit_parallel``) runs interpreted, at
-  hundreds of times its cost (README), and so confirms pairs of cold keys only where their differing middles are short.
+* *Verification.* Two lines of a cold key are cut to the part where they differ (``middles``), and its distance is found
+  by the bit-parallel recurrence, one word of bits for each character (``bit_parallel``), for middles of up to 62 characters.
+  Longer middles and the blocks of hot keys are verified by Spark's ``levenshtein`` with a threshold, a dynamic program
+  in a band of that width (figures in the README).
 
-Mostly hashes are shuffled; texts of lines that share a key move once for each shared key, and whole texts once, to meet
-the line numbers that go. At most 2**20 slot numbers are broadcast, a proven bound.
+Mostly hashes are shuffled; texts of lines that share a key move once, those of hot keys once for each block they meet, and
+whole texts once, to meet the line numbers that go. At most 2**20 slot numbers are broadcast, a proven bound, to leave out
+most texts that no key is shared of; where all slots are taken, all lines are shuffled, which is linear.
 
 Defined results: a null text has no lines and stays null; an empty text is one blank line; repeated rows with
 one identifier count as one document (each loses what is found in any); rows without an identifier keep their text and
@@ -128,12 +130,81 @@ def _near(a: Column, b: Column, p: Lines) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _word(f: str, *args) -> Column:
+    return F.call_function(f, *args)
+
+
+def bit_parallel(a: Column, b: Column) -> Column:
+    """Edit distance of two texts of 1 to 62 characters: a column of the table is two words of bits."""
+    bit = lambda k: _word("shiftleft", F.lit(1).cast("bigint"), k)
+
+    def run(v: Column) -> Column:
+        m = F.size(v["p"])
+        mask = bit(m) - 1
+
+        def step(st: Column, c: Column) -> Column:
+            same = F.aggregate(F.sequence(F.lit(0), m - 1), F.lit(0).cast("bigint"), lambda e, i: F.when(F.get(v["p"], i) == c, e.bitwiseOR(bit(i))).otherwise(e))
+
+            def column(eq: Column) -> Column:
+                flat = (eq.bitwiseAND(st["up"]) + st["up"]).bitwiseXOR(st["up"]).bitwiseOR(eq).bitwiseAND(mask)
+                return _let(flat, lambda xh: across(eq, xh))
+
+            def across(eq: Column, xh: Column) -> Column:
+                up, down = st["down"].bitwiseOR(mask - xh.bitwiseOR(st["up"])), st["up"].bitwiseAND(xh)
+                return _let(F.struct(up.alias("up"), down.alias("down"), eq.bitwiseOR(st["down"]).alias("xv")), next_column)
+
+            def next_column(h: Column) -> Column:
+                shifted = F.struct(_word("shiftleft", h["up"], F.lit(1)).bitwiseOR(F.lit(1).cast("bigint")).bitwiseAND(mask).alias("up"), _word("shiftleft", h["down"], F.lit(1)).bitwiseAND(mask).alias("down"))
+                score = st["score"] + _word("shiftright", h["up"], m - 1) - _word("shiftright", h["down"], m - 1)
+                return _let(shifted, lambda g: F.struct(
+                    g["down"].bitwiseOR(mask - h["xv"].bitwiseOR(g["up"]).bitwiseAND(mask)).alias("up"), g["up"].bitwiseAND(h["xv"]).alias("down"), score.alias("score"),
+                ))
+
+            return _let(same, column)
+
+        return F.aggregate(v["q"], F.struct(mask.alias("up"), F.lit(0).cast("bigint").alias("down"), m.cast("bigint").alias("score")), step)["score"]
+
+    return _let(F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("q")), run)
+
+
+def middles(pairs: DataFrame) -> DataFrame:
+    """Adds x and y: a_line and b_line without their common start and end, which are found by halving."""
+
+    def same(most: Column, part) -> Column:
+        steps = F.transform(F.sequence(F.floor(F.log2(most + F.lit(0.5))).cast("int"), F.lit(0)), lambda k: _word("shiftleft", F.lit(1), k))
+        longer = lambda n, k: (n + k <= most) & (part("a_line", n, k) == part("b_line", n, k))
+        return F.when(most > 0, F.aggregate(steps, F.lit(0), lambda n, k: F.when(longer(n, k), n + k).otherwise(n))).otherwise(0)
+
+    n = {c: F.length(c) for c in ("a_line", "b_line")}
+    out = pairs.withColumn("head", same(F.least(*n.values()), lambda c, at, k: F.substring(c, at + 1, k)))
+    out = out.withColumn("tail", same(F.least(*n.values()) - F.col("head"), lambda c, at, k: F.substring(c, n[c] - at - k + 1, k)))
+    cut = lambda c: F.substring(c, F.col("head") + 1, n[c] - F.col("head") - F.col("tail"))
+    return out.withColumns({"x": cut("a_line"), "y": cut("b_line")}).drop("head", "tail")
+
+
+def verified(pairs: DataFrame, p: Lines) -> DataFrame:
+    """The pairs (a_line, b_line, ...) within their threshold."""
+    m, n = F.length("a_line"), F.length("b_line")
+    most = p.edits(F.least(m, n))
+    cut = middles(pairs.withColumn("most", most).filter(F.abs(m - n) <= F.col("most")))
+    x, y = F.length("x"), F.length("y")
+    distance = F.when(F.least(x, y) == 0, F.greatest(x, y)).when(F.greatest(x, y) <= 62, bit_parallel(F.col("x"), F.col("y")))
+    near = F.when(F.greatest(x, y) <= 62, distance <= F.col("most")).otherwise(_word("levenshtein", F.col("x"), F.col("y"), F.col("most")) >= 0)
+    return cut.filter(near).drop("most", "x", "y")
+
+
 def later_lines(lines: DataFrame, groups: DataFrame, p: Lines, where: str) -> DataFrame:
     """h1 of the lines (h1, line) near which another line first stood earlier."""
     keys = _keys(lines, p)
     met = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select(F.col("key").alias("m_key"))
     met = stored(met, f"{where}/met")
-    rows = stored(_picked(keys, "key", met).groupBy("key", "h1").agg(F.lit(1).alias("one")).select("key", "h1"), f"{where}/rows")
+    shared = keys.join(met.hint("merge"), F.col("key") == F.col("m_key"), "left_semi")
+    rows = stored(shared.groupBy("key", "h1").agg(F.lit(1).alias("one")).select("key", "h1"), f"{where}/rows")
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > p.most_pairs)
     hot = stored(counts.select(F.col("key").alias("hot_key"), F.ceil(F.col("lines") / p.block).cast("int").alias("parts")), f"{where}/hot")
     ids = stored(rows.select(F.col("h1").alias("c_h1")).distinct(), f"{where}/ids")
@@ -147,7 +218,7 @@ def later_lines(lines: DataFrame, groups: DataFrame, p: Lines, where: str) -> Da
     pairs = pairs.groupBy(F.col("h1").alias("a"), F.col("o_h1").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
     for end in ("a", "b"):
         pairs = pairs.join(known.select(F.col("h1").alias(end), F.col("line").alias(f"{end}_line"), F.col("first").alias(f"{end}_first")).hint("merge"), end)
-    near = pairs.filter(_near(F.col("a_line"), F.col("b_line"), p))
+    near = verified(pairs, p)
     late = stored(near.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("late")).distinct(), f"{where}/late-cold")
     if hot.isEmpty():
         return late

@@ -607,6 +607,22 @@ def test_lines_edge_cases(spark):
         op7_line_dedup.Lines(most=9)
 
 
+def test_bit_parallel_distance(spark):
+    """Against Spark's own: whole texts, and lines that are cut to their differing middles."""
+    rng = np.random.default_rng(21)
+    rows = [("a", "b"), ("a", "a"), ("é", "éé"), ("x" * 62, "y" * 62), ("ab" * 31, "ba" * 31)]
+    for _ in range(200):
+        a = list(rng.choice(list("abé"), rng.integers(1, 63)))
+        b = [str(c) for c in a if rng.random() > 0.1] + list(rng.choice(list("abx"), rng.integers(1, 4)))
+        rows.append(("".join(a), "".join(b)[:62]))
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.filter(op7_line_dedup.bit_parallel(F.col("x"), F.col("y")) != F.levenshtein("x", "y")).count() == 0
+    lines = df.select(F.concat(F.lit("start "), "x", F.lit(" the end")).alias("a_line"), F.concat(F.lit("start "), "y", F.lit(" the end")).alias("b_line"))
+    for p in (LINES(), op7_line_dedup.STAGE):
+        near = lines.filter(F.call_function("levenshtein", F.col("a_line"), F.col("b_line"), p.edits(F.least(F.length("a_line"), F.length("b_line")))) >= 0)
+        assert sorted(map(tuple, op7_line_dedup.verified(lines, p).collect())) == sorted(map(tuple, near.collect()))
+
+
 def test_lines_of_one_shape(spark):
     """A group far above ``most_pairs``: blocks meet, no line is left out."""
     rng = np.random.default_rng(9)
