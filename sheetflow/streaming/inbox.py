@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,27 +25,40 @@ def read_inbox(spark: SparkSession, path: str, schema: str = CHANGE, per_batch:
     return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).load(path)
 
 
-def release(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Let the contiguous continuation of the applied sequence through; keep the rest."""
-    applied, waiting = 0, {}
-    if state.exists:
-        applied, kept = state.get
-        waiting = {r["seq"] if isinstance(r, dict) else r[0]: tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in kept}
-    for frame in frames:
-        for r in frame[["seq", "pk", "op", "payload"]].itertuples(index=False, name=None):
-            if r[0] > applied:
-                waiting.setdefault(r[0], r)
-    out = []
-    while applied + 1 in waiting:
-        applied += 1
-        out.append(waiting.pop(applied))
-    state.update((applied, [waiting[k] for k in sorted(waiting)]))
-    yield pd.DataFrame([(key[0], key[1], *r) for r in out], columns=["origin", "epoch", "seq", "pk", "op", "payload"])
-
-
-def gated(changes: DataFrame) -> DataFrame:
+FIELDS = ["seq", "pk", "op", "payload"]
+#: ``op`` of the row that asks for a baseline; its ``seq`` is the first one missing.
+GAP = "E_SYNC_GAP"
+
+
+def release(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, gap_timeout_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    """Let the contiguous continuation of the applied sequence through; keep the rest.
+
+    With ``gap_timeout_ms`` an origin whose changes have waited so long gives one row ``GAP`` instead of changes.
+    """
+    applied, kept = state.get if state.exists else (0, [])
+    if state.hasTimedOut:
+        state.update((applied, kept))
+        yield pd.DataFrame([(key[0], key[1], applied + 1, None, GAP, None)], columns=["origin", "epoch", *FIELDS])
+        return
+    waiting = pd.DataFrame([tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in kept], columns=FIELDS)
+    parts = [x for x in (waiting, *(f[FIELDS] for f in frames)) if len(x)]
+    every = pd.concat(parts, ignore_index=True) if parts else waiting
+    every = every[every["seq"] > applied].drop_duplicates("seq").sort_values("seq")
+    n = int((every["seq"].to_numpy(dtype="int64") == applied + 1 + np.arange(len(every))).cumprod().sum())
+    out, rest = every.iloc[:n], every.iloc[n:]
+    state.update((applied + n, list(rest.itertuples(index=False, name=None))))
+    if gap_timeout_ms is not None and len(rest):
+        state.setTimeoutDuration(gap_timeout_ms)
+    out = out.copy()
+    out.insert(0, "origin", key[0])
+    out.insert(1, "epoch", key[1])
+    yield out
+
+
+def gated(changes: DataFrame, gap_timeout_ms: int | None = None) -> DataFrame:
     """Changes in sequence for each (origin, epoch); repeated ones are dropped, those behind a gap wait."""
-    return changes.groupBy("origin", "epoch").applyInPandasWithState(release, RELEASED, STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if gap_timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return changes.groupBy("origin", "epoch").applyInPandasWithState(lambda k, f, s: release(k, f, s, gap_timeout_ms), RELEASED, STATE, "append", timeout)
 
 
 def run_available(changes: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:

@@ -100,3 +100,29 @@ def test_a_baseline_with_missing_rows_is_refused(spark, tmp_path):
         node.baseline(rows, vector, {"t": 2})
     node.baseline(rows, vector, {"t": 1})
     assert [r.pk for r in node.live().collect()] == ["k"]
+
+
+def test_the_stream_gate_and_its_timeout():
+    import pandas as pd
+
+    from sheetflow.streaming import inbox
+
+    class State:
+        exists, hasTimedOut, value, wait = False, False, None, None
+        get = property(lambda self: self.value)
+
+        def update(self, v):
+            self.value, self.exists, self.wait = v, True, None
+
+        def setTimeoutDuration(self, ms):  # noqa: N802
+            self.wait = ms
+
+    state = State()
+    frame = lambda *seqs: pd.DataFrame([(k, f"p{k}", "U", "x") for k in seqs], columns=inbox.FIELDS)
+    step = lambda *frames: [tuple(r) for f in inbox.release(("a", 1), iter(frames), state, 500) for r in f[["origin", "seq", "op"]].itertuples(index=False)]
+    assert step(frame(1, 4), frame(2, 1)) == [("a", 1, "U"), ("a", 2, "U")] and state.wait == 500
+    state.hasTimedOut = True
+    assert step() == [("a", 3, inbox.GAP)] and state.value[0] == 2
+    state.hasTimedOut = False
+    assert step(frame(3, 2)) == [("a", 3, "U"), ("a", 4, "U")] and state.value == (4, []) and state.wait is None
+    assert step(frame(4)) == []
