@@ -19,10 +19,10 @@ One rule holds for lines of every length; where it gives 0 edits, near is equal.
   ``block`` lines, and each two blocks meet in one row, where a line looks for any near line that stands earlier, after one
   look at the earliest line of the key. So the rows grow with the square of blocks, not of lines, and no line is left
   out. Two lines that share several hot keys are compared under the least; letter counts exclude most others.
-* *Verification.* Two lines of a cold key are cut to the part where they differ (``middles``), and its distance is found
-  by the bit-parallel recurrence, one word of bits for each character (``bit_parallel``), for middles of up to 62 characters.
-  Longer middles and the blocks of hot keys are verified by Spark's ``levenshtein`` with a threshold, a dynamic program
-  in a band of that width (figures in the README).
+* *Verification* is Spark's ``levenshtein`` with a threshold, a compiled dynamic program in a band of that width. The
+  bit-parallel recurrence can be had instead for pairs of cold keys (``Lines.bit_parallel``): two lines are cut to the part
+  where they differ (``middles``), and its distance is found with one word of bits for each character, for middles of up to
+  62 characters. In native functions it runs interpreted and cannot meet the time limits (figures in the README).
 
 Mostly hashes are shuffled; texts of lines that share a key move once, those of hot keys once for each block they meet, and
 whole texts once, to meet the line numbers that go. At most 2**20 slot numbers are broadcast, a proven bound, to leave out
@@ -56,6 +56,8 @@ class Lines:
     #: From so many lines of one key on they meet in blocks.
     most_pairs: int = 64
     block: int = 128
+    #: Verify pairs of cold keys by the bit-parallel recurrence instead of the compiled banded program.
+    bit_parallel: bool = False
 
     def __post_init__(self):
         if not (1 <= self.most <= 7 and self.per_chars >= 6):
@@ -189,6 +191,8 @@ def middles(pairs: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, p: Lines) -> DataFrame:
     """The pairs (a_line, b_line, ...) within their threshold."""
+    if not p.bit_parallel:
+        return pairs.filter(_near(F.col("a_line"), F.col("b_line"), p))
     m, n = F.length("a_line"), F.length("b_line")
     most = p.edits(F.least(m, n))
     cut = middles(pairs.withColumn("most", most).filter(F.abs(m - n) <= F.col("most")))

@@ -572,7 +572,7 @@ def edits(a, b):
 LINES = op7_line_dedup.Lines
 
 
-@pytest.mark.parametrize("p", [LINES(), LINES(most_pairs=2, block=3), LINES(per_chars=6, most=7), LINES(per_chars=7, most=6, most_pairs=3, block=2), op7_line_dedup.STAGE])
+@pytest.mark.parametrize("p", [LINES(), LINES(most_pairs=2, block=3), LINES(per_chars=6, most=7, bit_parallel=True), LINES(per_chars=7, most=6, most_pairs=3, block=2), op7_line_dedup.STAGE])
 def test_lines_against_brute_force(spark, p):
     rng = np.random.default_rng(2)
     bases = ["".join(rng.choice(list("abcdé "), rng.integers(8, 40))) for _ in range(6)] + ["short", "page 1 of twenty-five", "page 2 of twenty-five", "page 13 of twenty-five"]
@@ -618,7 +618,7 @@ def test_bit_parallel_distance(spark):
     df = spark.createDataFrame(rows, "x string, y string")
     assert df.filter(op7_line_dedup.bit_parallel(F.col("x"), F.col("y")) != F.levenshtein("x", "y")).count() == 0
     lines = df.select(F.concat(F.lit("start "), "x", F.lit(" the end")).alias("a_line"), F.concat(F.lit("start "), "y", F.lit(" the end")).alias("b_line"))
-    for p in (LINES(), op7_line_dedup.STAGE):
+    for p in (LINES(bit_parallel=True), LINES(most=5, bit_parallel=True), LINES()):
         near = lines.filter(F.call_function("levenshtein", F.col("a_line"), F.col("b_line"), p.edits(F.least(F.length("a_line"), F.length("b_line")))) >= 0)
         assert sorted(map(tuple, op7_line_dedup.verified(lines, p).collect())) == sorted(map(tuple, near.collect()))
 
