@@ -123,7 +123,7 @@ def _acks(spark, sf_dir):
     changes = log(spark, sf_dir)
     peers = spark.sql("SELECT DISTINCT cast(user_id AS STRING) AS peer FROM events WHERE user_id % 40 = 0")
     origins = changes.select("origin", "epoch").distinct()
-    acks = peers.crossJoin(F.broadcast(origins)).filter("(cast(origin AS INT) + cast(peer AS INT)) % 3 > 0").withColumn("acked_seq", (5 + F.length("peer")).cast("long"))
+    acks = peers.crossJoin(origins).filter("(cast(origin AS INT) + cast(peer AS INT)) % 3 > 0").withColumn("acked_seq", (5 + F.length("peer")).cast("long"))
     return changes, peers, acks
 
 
