@@ -148,6 +148,21 @@ def peer_health(lags: DataFrame, soft: dict[str, int], hard: dict[str, int]) ->
     return lags.withColumn("health", F.when(F.coalesce(F.col("evicted"), F.lit(False)), "Dead").when(over(hard), "Dead").when(over(soft), "Lagging").otherwise("Healthy"))
 
 
+def ack_deadline(waiting: DataFrame, now: int, timeout_ms: int) -> DataFrame:
+    """Adds ``code`` to waits (peer, since, done): E_SYNC_ACK_TIMEOUT once a wait that is not done is over its time."""
+    late = ~F.col("done") & (F.lit(now) - F.col("since") > timeout_ms)
+    return waiting.withColumn("code", F.when(late, "E_SYNC_ACK_TIMEOUT"))
+
+
+def due_acks(pending: DataFrame, now: int, delay_ms: int) -> DataFrame:
+    """Acknowledgements (peer, origin, epoch, acked_seq, ts, sent) that go out now: the highest of each origin, for
+    peers of which one has waited for the delay. What was sent and failed (``sent`` false) waits on and counts again."""
+    open_ = pending.filter(~F.coalesce(F.col("sent"), F.lit(False)))
+    ready = open_.groupBy("peer").agg(F.min("ts").alias("oldest")).filter(F.lit(now) - F.col("oldest") >= delay_ms).select(F.col("peer").alias("r_peer"))
+    met = open_.join(ready, F.col("peer") == F.col("r_peer"), "left_semi")
+    return met.groupBy("peer", "origin", "epoch").agg(F.max("acked_seq").alias("acked_seq"))
+
+
 def push_progress(chunks: DataFrame) -> DataFrame:
     """Complete, corrupt (one chunk with two checksums) or partial, for each push."""
     each = chunks.groupBy("push_id", "chunk_seq").agg(F.min("checksum").alias("lo"), F.max("checksum").alias("hi"), F.max("total_chunks").alias("total"))

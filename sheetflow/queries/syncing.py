@@ -219,3 +219,19 @@ def conflict_cases(spark, sf_dir):
     c = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"))
     e = table(spark, sf_dir, "events").withColumn("op", F.expr("CASE event_type WHEN 'view' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END"))
     return push.applied_cases(c, e, ["user_id"], "SourceWins").select("event_id", "action")
+
+
+@query("SELECT event_id, CASE WHEN event_type <> 'click' AND 10000 - event_id > 4000 THEN 'E_SYNC_ACK_TIMEOUT' END AS code FROM events")
+def ack_timeout(spark, sf_dir):
+    """Waits that are not done fail once their time is over."""
+    waits = table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("since"), (F.col("event_type") == "click").alias("done"))
+    return r.ack_deadline(waits, 10_000, 4_000).select("event_id", "code")
+
+
+@query("""WITH p AS (SELECT user_id AS peer, event_type AS origin, event_id AS ts, event_id % 100 AS acked FROM events WHERE event_id % 3 <> 0), d AS (SELECT peer FROM p GROUP BY 1 HAVING 1000 - min(ts) >= 600)
+SELECT CAST(peer AS VARCHAR) AS peer, origin, max(acked) AS acked_seq FROM p WHERE peer IN (SELECT peer FROM d) GROUP BY 1, 2""")
+def ack_batches(spark, sf_dir):
+    """Acknowledgements go out together once one of a peer has waited long enough; those that failed are tried again."""
+    sent = F.expr("CASE WHEN event_id % 3 = 0 THEN true WHEN event_id % 3 = 1 THEN false END")
+    pending = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("peer"), F.col("event_type").alias("origin"), F.lit(1).alias("epoch"), (F.col("event_id") % 100).alias("acked_seq"), F.col("event_id").alias("ts"), sent.alias("sent"))
+    return r.due_acks(pending, 1_000, 600).select("peer", "origin", "acked_seq")
