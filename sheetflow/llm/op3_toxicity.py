@@ -203,13 +203,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     s, spark = model.settings, docs.sparkSession
     shared = spark.sparkContext.broadcast((model.weights, model.bias))  # 2**bits floats, a fixed size
     keep = [id_col] if keep is None else keep
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__scored_text"))
+    # a text that is kept anyway is sent once
+    at_hand = text_col in keep and docs.schema[text_col].dataType.simpleString() == "string"
+    rows = docs.select(*[F.col(c) for c in keep], *([] if at_hand else [F.col(text_col).cast("string").alias("__scored_text")]))
+    place = keep.index(text_col) if at_hand else len(keep)
     spot = pa.list_(pa.struct([("sentence", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         for batch in batches:
-            for a, b, texts in text_slices(batch.column(len(keep)), SLICE):
+            for a, b, texts in text_slices(batch.column(place), SLICE):
                 data, offsets = text_bytes(texts)
                 ids, sentence, at, starts, ends = features(data, offsets, s)
                 x = _sums(weights[ids].sum(1, dtype=np.float64), np.append(sentence, len(starts))) + bias
@@ -229,7 +232,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     [*keep, "score", "n_sentences", "offending"],
                 )
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
     return rows.mapInArrow(run, f"{kept}, {SCORED}" if kept else SCORED)
 
 
