@@ -247,8 +247,14 @@ class WindowIndex:
             every = every.unionByName(part)
         every = stored(every, f"{at}/firsts")
         column = lambda b, i: b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = every.select("first").distinct()
-        filters = blobs.bloom(ids, ids.count(), lambda b: column(b, 0).view(np.uint64)), blobs.bloom(every, every.count(), lambda b: _pair(column(b, 0), column(b, 1)))
+        size = blobs.bloom_size(every.count()) // 8
+
+        def fill(table: np.ndarray, b: pa.RecordBatch) -> None:
+            blobs.bloom_add(table[:size], column(b, 1).view(np.uint64))
+            blobs.bloom_add(table[size:], _pair(column(b, 0), column(b, 1)))
+
+        both = blobs.gather(every, fill, 2 * size, "uint8", np.bitwise_or)
+        filters = both[:size], both[size:]
         wanted = self.spark.sparkContext.broadcast(filters)
         out = stored(list_windows(docs, wanted), f"{at}/windows")
         wanted.destroy()
