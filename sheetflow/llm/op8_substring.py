@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +153,25 @@ def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner")
     return out.drop(*[f"j_{k}" for k in keys]) if how in ("inner", "left") else out
 
 
+@contextmanager
+def in_place(spark: SparkSession) -> Iterator[None]:
+    """Joins planned here may use buckets by fewer columns than they compare (a setting of the session meanwhile).
+
+    Left alone, Spark shuffles both sides of a join on (anchor, segment, check), history among them, and the rows come out by
+    all three: each task would then write a file for every bucket.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class WindowIndex:
     """Immutable sorted runs of (anchor, segment, check, first) under ``where``, a folder of the shared storage.
 
@@ -200,6 +220,15 @@ class WindowIndex:
     def _dealt(self, rows: DataFrame) -> DataFrame:
         return rows.repartition(self.buckets, "anchor")
 
+    def _merged(self, found: DataFrame) -> DataFrame:
+        """KEY, first, old of the segments of a batch, old if a run of history has them; to be planned ``in_place``."""
+        mine = self._dealt(found.groupBy(*KEY).agg(F.min("doc_id").alias("own")))
+        for i, (_, _, run) in enumerate(self.runs):
+            mine = _on(mine, run.withColumnRenamed("first", f"first_{i}"), KEY, "left")
+        known = [F.col(f"first_{i}") for i in range(len(self.runs))]
+        known = F.coalesce(*known) if known else F.lit(None).cast("long")  # runs hold different segments
+        return mine.select(*KEY, F.coalesce(known, "own").alias("first"), known.isNotNull().alias("old"))
+
     def add(self, batch: DataFrame, history: DataFrame | None = None, above: int | None = None) -> DataFrame:
         """Index a batch of (doc_id, text); returns its repeated ranges (doc_id, start, length).
 
@@ -209,13 +238,9 @@ class WindowIndex:
         k, self.batches = self.batches, self.batches + 1
         at = f"{self.where}/batch{k}-{uuid.uuid4().hex}"
         found = stored(scan(batch), f"{at}/segments")
-        mine = self._dealt(found.groupBy(*KEY).agg(F.min("doc_id").alias("own")))
-        for i, (_, _, run) in enumerate(self.runs):
-            mine = _on(mine, run.withColumnRenamed("first", f"first_{i}"), KEY, "left")
-        known = [F.col(f"first_{i}") for i in range(len(self.runs))]
-        known = F.coalesce(*known) if known else F.lit(None).cast("long")  # runs hold different segments
         name = f"runs/{k}-{uuid.uuid4().hex}"
-        merged = self._bucketed(mine.select(*KEY, F.coalesce(known, "own").alias("first"), known.isNotNull().alias("old")), name)
+        with in_place(self.spark):
+            merged = self._bucketed(self._merged(found), name)
         whole = _on(found, merged.select(*KEY, "first"), KEY).filter("first < doc_id")
         whole = whole.select("doc_id", "start", (F.col("windows") + (WINDOW - 1)).alias("length"))
 

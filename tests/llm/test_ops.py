@@ -706,6 +706,21 @@ def test_window_index_is_opened_again(spark):
     assert {d: len(covered.get(d, ())) for d in texts} == {d: n for d, (_, n, _) in brute_windows(texts).items()}
 
 
+def test_window_index_joins_history_in_place(spark):
+    """A batch is joined with the buckets of history as they lie, and its run has one file for each bucket."""
+    rng = np.random.default_rng(15)
+    texts = [" ".join(f"u{rng.integers(1000)}" for _ in range(400)) for _ in range(20)]
+    first, second = docs(spark, texts[:10]), docs(spark, texts[5:]).filter("doc_id > 9")
+    index = op8_substring.WindowIndex(spark, shared_dir(spark), buckets=8)
+    index.add(first)
+    with op8_substring.in_place(spark):
+        plan = index._merged(op8_substring.scan(second))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2  # of the batch alone
+    index.add(second, first, 9)
+    assert [len(run.inputFiles()) for _, _, run in index.runs] == [8, 8]
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
 def test_windows_with_null_and_repeated_identifiers(spark):
     t = " ".join(f"w{k}" for k in range(60))
     df = spark.createDataFrame([(None, t), (4, t), (4, t), (9, t), (None, None)], "doc_id long, text string").withColumn("anchor", F.lit(1)).withColumn("n_words", F.lit(2))
