@@ -133,12 +133,24 @@ def signatures(rows: DataFrame, j: Join) -> DataFrame:
     return rows.mapInArrow(run, "id long, n int, h1 long, h2 long")
 
 
-def shared_codes(rows: DataFrame, j: Join, zone: float, where: str) -> list[np.ndarray]:
+def _passing(batches: Iterable[pa.RecordBatch], narrowed) -> Iterator[pa.RecordBatch]:
+    """The rows (id first) whose identifier passes a shared Bloom filter, where there is one.
+
+    Called in the function that reads the rows: an operator of its own would be a second Python process for each task.
+    """
+    for batch in batches:
+        if narrowed is not None:
+            batch = batch.filter(pa.array(blobs.bloom_has(narrowed.value, _ids(batch))))
+        if batch.num_rows:
+            yield batch
+
+
+def shared_codes(rows: DataFrame, narrowed, j: Join, zone: float, where: str) -> list[np.ndarray]:
     """Bloom filters of the zone's codes that stand in two documents or more, then in ever more."""
     edge = _edge(zone)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _passing(batches, narrowed):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, texts in text_slices(batch.column(1), SLICE):
                 found = [u[: np.searchsorted(u, edge)] for u in codes(texts, j)]
@@ -156,7 +168,7 @@ def shared_codes(rows: DataFrame, j: Join, zone: float, where: str) -> list[np.n
     return blobs.nested_blooms(shared.select("code", "docs"), counts, _ids, level)
 
 
-def candidates(rows: DataFrame, shared, j: Join, zone: float) -> DataFrame:
+def candidates(rows: DataFrame, narrowed, shared, j: Join, zone: float) -> DataFrame:
     """id, n, rank, codes of the prefix that others may have, and all codes, of documents that can link with any.
 
     The rank is the share of codes that no other document has, in thousandths: of a text and its altered
@@ -165,7 +177,7 @@ def candidates(rows: DataFrame, shared, j: Join, zone: float) -> DataFrame:
     edge = _edge(zone)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _passing(batches, narrowed):
             for a, _, texts in text_slices(batch.column(1), SLICE):
                 at, sizes, ranks, keys, sets = [], [], [], [], []
                 for k, u in enumerate(codes(texts, j), a):
@@ -201,16 +213,6 @@ def territories(points: DataFrame, where: str) -> DataFrame:
     return stored(met.select("region", "id"), f"{where}/territories")
 
 
-def _filtered(rows: DataFrame, shared) -> DataFrame:
-    """The rows (id first) whose identifier passes a shared Bloom filter."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(blobs.bloom_has(shared.value, _ids(batch))))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def intersections(sets: list[np.ndarray], frequent: int = 16) -> np.ndarray:
     """Sizes of the intersections of all sets: frequent codes by a matrix product, the others along runs of equal codes."""
     m = len(sets)
@@ -443,14 +445,13 @@ def _points(rows: DataFrame, sets: DataFrame, j: Join, where: str) -> DataFrame:
     """id, n, copies, rank, keys and codes of one document of each set that can link with another."""
     spark = rows.sparkSession
     firsts = sets.select(F.col("first").alias("f_id"), F.col("n").alias("f_n"), "copies")
-    points, left, narrowed = None, rows.filter("id is not null"), None
+    points, named, narrowed = None, rows.filter("id is not null"), None
     for k, zone in enumerate(j.zones):
         if points is not None:
             ids = points.select("id")
             narrowed = spark.sparkContext.broadcast(blobs.bloom(ids, ids.count(), _ids))
-            left = _filtered(rows.filter("id is not null"), narrowed)
-        shared = spark.sparkContext.broadcast(shared_codes(left, j, zone, f"{where}/narrow-{k}"))
-        able = candidates(left, shared, j, zone).join(firsts.hint("merge"), (F.col("id") == F.col("f_id")) & (F.col("n") == F.col("f_n")))
+        shared = spark.sparkContext.broadcast(shared_codes(named, narrowed, j, zone, f"{where}/narrow-{k}"))
+        able = candidates(named, narrowed, shared, j, zone).join(firsts.hint("merge"), (F.col("id") == F.col("f_id")) & (F.col("n") == F.col("f_n")))
         # rows that repeat an identifier are one point
         points = stored(able.select("id", "n", "copies", "rank", "keys", "codes").dropDuplicates(["id", "n"]), f"{where}/narrow-{k}/points")
         for sent in (shared, narrowed):

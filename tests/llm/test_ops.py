@@ -155,6 +155,22 @@ def test_join_of_a_large_group_of_near_copies(spark):
     assert part == dict(enumerate(label.tolist()))
 
 
+def test_join_takes_one_python_process_a_task(spark, monkeypatch):
+    """No stage chains two Python operators: each holds a process of its own, for every task of an executor."""
+    plans, plain = [], op1_ngram_join.stored
+
+    def stored(df, where):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, where)
+
+    monkeypatch.setattr(op1_ngram_join, "stored", stored)
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join(base), " ".join([*base, "x"]), " ".join(base[:30]), "nothing like the others here at all", None]
+    assert joined(docs(spark, texts)) == brute_components(dict(enumerate(texts)))
+    stages = [part for plan in plans for part in re.split(r"Exchange|Scan", plan)]
+    assert any("MapInArrow" in part for part in stages) and max(part.count("MapInArrow") for part in stages) == 1
+
+
 def test_join_null_and_repeated_identifiers(spark):
     t = " ".join(f"w{k}" for k in range(30))
     df = spark.createDataFrame([(None, t), (4, t), (4, t), (2, t + " x"), (None, None), (7, "")], "doc_id long, text string")
